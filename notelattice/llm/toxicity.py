@@ -2,7 +2,7 @@
 
 Voters look at the whole text and vote "toxic" or abstain: fixed lexicons (several kinds of insult, four languages),
 patterns (address with an insult, repeated insults, several kinds together, shouting with an insult) and lexicons learned
-from the labelled training rows (words whose smoothed log odds are highest, dealt to a few lists by rank).
+from the labelled training rows (words of high smoothed log odds, in a few lists from the surest to the least sure).
 
 The label model is fitted by expectation-maximisation on the counts of vote patterns over *all* training rows (at most
 2**voters patterns, gathered as counts), starting from the labelled rows' rates. Accuracies are each voter's rates of
@@ -41,6 +41,7 @@ LEXICONS = {
     "spanish": "imbécil estúpido estúpida inútil basura asqueroso asquerosa perdedor escoria patético payaso mierda cabrón",
 }
 LEARNED_LISTS = 3
+LEAST_APART, LEAST_ODDS = 4, 3.5  # of a learned word: distinct toxic rows, log odds
 VOTERS = [*LEXICONS, "two_kinds", "repeated", "shouting", *(f"learned_{i}" for i in range(LEARNED_LISTS))]
 
 _LETTER = np.zeros(256, bool)
@@ -159,7 +160,7 @@ def _buckets(words: np.ndarray, bits: int) -> np.ndarray:
     return (mix(words + U64(3)) >> U64(64 - bits)).astype(np.int64)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, bits: int = 17, seed: int = 23) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, bits: int = 17, seed: int = 23) -> ToxicityModel:
     """docs: all training rows (doc_id, text); labels: (doc_id, toxic) of training rows. max_labelled bounds the sample."""
     key = F.xxhash64(F.lit(seed), F.col("doc_id"))
     sample = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(key, "doc_id").limit(max_labelled)
@@ -186,10 +187,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, bits: int
         bad = np.bincount(place, weights=label[row], minlength=len(names))
         good = np.bincount(place, weights=1 - label[row], minlength=len(names))
         odds = np.log((bad + 0.5) / (label.sum() + 1)) - np.log((good + 0.5) / ((1 - label).sum() + 1))
-        # a learned word is in a fair share of the toxic rows and hardly in others
-        sure = np.flatnonzero((bad >= max(5, 0.05 * label.sum())) & (odds > 3))
+        # a learned word is hardly in other rows, and in several toxic ones that are not copies of each other: copies
+        # share the least rehashed word, so equal (word, least) are counted once
+        least = np.array([mix(x ^ U64(0x77)).min() if len(x) else 0 for x in sets], U64)
+        toxic = label[row] > 0
+        once = np.unique(np.stack([place[toxic].astype(U64), least[row[toxic]]], axis=1), axis=0)[:, 0].astype(np.int64)
+        apart = np.bincount(once, minlength=len(names))
+        sure = np.flatnonzero((apart >= LEAST_APART) & (odds > LEAST_ODDS))
         sure = sure[np.lexsort((names[sure], -odds[sure]))]
-        lists += [[int(names[j]) for j in sure[k::LEARNED_LISTS]] for k in range(LEARNED_LISTS)]
+        lists += [[int(names[j]) for j in part] for part in np.array_split(sure, LEARNED_LISTS)]
     table = _table(lists)
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
