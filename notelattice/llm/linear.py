@@ -5,17 +5,28 @@ from __future__ import annotations
 import numpy as np
 
 
+BLOCK = 1 << 19  # stored values handled at once, so that working arrays stay small beside the data
+
+
 def fit(index: np.ndarray, value: np.ndarray, off: np.ndarray, target: np.ndarray, size: int, l2: float = 1e-4, steps: int = 150, rate: float = 0.5) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the mean log loss plus l2, by full-batch Adam. target: labels, or probabilities."""
-    row = np.repeat(np.arange(len(target)), np.diff(off))
+    """Weights and bias that minimise the mean log loss plus l2, by full-batch Adam. target: labels, or probabilities.
+
+    Row i has the values off[i] to off[i + 1]; off may begin anywhere in index and value, which are only read.
+    """
+    cuts = [0]
+    while cuts[-1] < len(target):
+        cuts.append(min(len(target), max(cuts[-1] + 1, int(np.searchsorted(off, off[cuts[-1]] + BLOCK, side="right")) - 1)))
     weight, bias = np.zeros(size), 0.0
-    m, v = np.zeros(size + 1), np.zeros(size + 1)
-    grad = np.zeros(size + 1)
+    m, v, grad = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, steps + 1):
-        margin = np.bincount(row, weights=weight[index] * value, minlength=len(target)) + bias
-        error = (sigmoid(margin) - target) / max(1, len(target))
-        grad[:size] = np.bincount(index, weights=error[row] * value, minlength=size) + l2 * weight
-        grad[size] = error.sum()
+        grad[:size], grad[size] = l2 * weight, 0.0
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            i, x, n = index[off[a] : off[b]], value[off[a] : off[b]], np.diff(off[a : b + 1])
+            row = np.repeat(np.arange(b - a), n)
+            margin = np.bincount(row, weights=weight[i] * x, minlength=b - a) + bias
+            error = (sigmoid(margin) - target[a:b]) / max(1, len(target))
+            grad[:size] += np.bincount(i, weights=error[row] * x, minlength=size)
+            grad[size] += error.sum()
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad * grad
         move = rate * (1 - 0.9 * step / steps) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-10)

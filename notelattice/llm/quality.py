@@ -12,6 +12,7 @@ are scored alike. Columns that clash with those added are replaced; all other co
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -139,28 +140,32 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, bits: int
                 pairs = list(_sparse(chunk, bits))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array([i.astype(np.int32).tobytes() for i, _ in pairs], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in pairs], pa.binary())], ["doc_id", "quality", "fold", "index", "value"])
 
-    got = sorted(rows.mapInArrow(features, "doc_id long, quality int, fold int, index binary, value binary").collect(), key=lambda r: (r.doc_id, bytes(r["index"])))
-    label = np.array([float(r.quality > 0) for r in got])
+    got = rows.mapInArrow(features, "doc_id long, quality int, fold int, index binary, value binary").toPandas()
+    label = (got["quality"].to_numpy() > 0).astype(float)
     if len(set(label)) < 2:
         return QualityModel(None, 0.0, 1.0, 0.0, bits, threshold)
-    held = np.array([r.fold == 0 for r in got])
+    held = got["fold"].to_numpy() == 0
     if len(set(label[held])) < 2 or len(set(label[~held])) < 2:
-        held = np.zeros(len(got), bool)
-    index = [np.frombuffer(r["index"], np.int32) for r in got]
-    value = [np.frombuffer(r.value, np.float32) for r in got]
-
-    def stacked(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at = np.flatnonzero(mask)
-        off = np.concatenate([[0], np.cumsum([len(index[i]) for i in at])])
-        return np.concatenate([index[i] for i in at]), np.concatenate([value[i] for i in at]), off
-
-    weights, bias = linear.fit(*stacked(~held), label[~held], 1 << bits, l2=1e-6, steps=80)
-    fresh = held if held.any() else ~held
-    i, v, off = stacked(fresh)
-    slope, offset = linear.calibrate(row_sums(weights[i] * v, off) + bias, label[fresh])
+        held[:] = False
+    order = np.lexsort((got["index"].map(hash_of), got["doc_id"], held))  # the rows held back for calibrating come last
+    label, n_fit = label[order], int((~held).sum())
+    off = np.concatenate([[0], np.cumsum([len(got["index"][i]) // 4 for i in order])])
+    index = np.frombuffer(b"".join(got["index"][i] for i in order), np.int32)
+    value = np.frombuffer(b"".join(got["value"][i] for i in order), np.float32)
+    del got
+    weights, bias = linear.fit(index, value, off[: n_fit + 1], label[:n_fit], 1 << bits, l2=1e-6, steps=80)
+    fresh = slice(n_fit, None) if n_fit < len(label) else slice(0, None)
+    at = off[n_fit:] if n_fit < len(label) else off
+    i, x = index[at[0] : at[-1]], value[at[0] : at[-1]]
+    slope, offset = linear.calibrate(row_sums(weights[i] * x, at - at[0]) + bias, label[fresh])
     return QualityModel(weights, bias, slope, offset, bits, threshold)
 
 
+def hash_of(data: bytes) -> int:
+    """A stable order for rows that share a doc_id."""
+    return zlib.crc32(data)
+
+
 def score(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame:
     """docs with the base counts, base_failed, quality (the calibrated probability) and kept."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
