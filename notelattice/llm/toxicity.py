@@ -142,7 +142,7 @@ def fit_label_model(masks: np.ndarray, n: np.ndarray, labelled: tuple[np.ndarray
         correlation = np.clip(cov / scale[:, None] / scale, -1, 1)
         np.fill_diagonal(correlation, 1)
         weight = 1 / np.maximum(correlation, 0).sum(axis=1) if turn >= 5 else np.ones(m)
-        model = LabelModel(float(np.clip(sizes[1] / sizes.sum(), 1e-3, 0.5)), rates, correlation, weight)
+        model = LabelModel(float(np.clip((sizes[1] + prior) / (sizes.sum() + 1), 1e-3, 0.5)), rates, correlation, weight)
     return model
 
 
