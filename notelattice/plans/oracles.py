@@ -51,7 +51,7 @@ def _pair(a: str, b: str) -> str:
 
 DOT = "list_sum(list_transform(range(1, 65), lambda i: CAST(e.embedding[i] AS DOUBLE) * CAST(q.embedding[i] AS DOUBLE)))"
 QUERY_VECTOR = "(SELECT embedding FROM embeddings WHERE vec_id = 0) q"
-HERED = _fts({"a": _prefix("hered")}, "{a}", limit=None)
+HERED = _fts({"a": _prefix("therea")}, "{a}", limit=None)
 
 GRAPH = """
 nodes AS (
@@ -104,12 +104,12 @@ def _permalink(path: str) -> str:
 
 
 ORACLES: dict[str, str] = {
-    "fts_prefix_bm25": _fts({"a": _prefix("hered")}, "{a}"),
+    "fts_prefix_bm25": _fts({"a": _prefix("therea")}, "{a}"),
     "fts_and_terms": _fts({"a": _prefix("whst"), "b": _prefix("erea")}, "{a} AND {b}"),
-    "fts_or_not": _fts({"a": _prefix("hered"), "b": _prefix("ereres"), "c": _prefix("license")}, "({a} OR ({b} AND NOT {c}))"),
+    "fts_or_not": _fts({"a": _prefix("therea"), "b": _prefix("ereres"), "c": _prefix("license")}, "({a} OR ({b} AND NOT {c}))"),
     "fts_phrase": _fts({"a": _pair("under", "the")}, "{a}"),
     "fts_title": _fts({"a": _word("doc"), "b": _word("7")}, "{a} AND {b}", legs=("title",)),
-    "fts_relaxed_or": _fts({"a": _prefix("qqqzz"), "b": _prefix("hered"), "c": _prefix("zzqqq")}, "({a} OR {b} OR {c})"),
+    "fts_relaxed_or": _fts({"a": _prefix("qqqzz"), "b": _prefix("therea"), "c": _prefix("zzqqq")}, "({a} OR {b} OR {c})"),
     "fts_query_batch": f"""
 WITH tok AS (SELECT doc_id AS id, {_tokens("'Doc ' || doc_id")} AS t1, {_tokens("text")} AS t2, {_tokens(LINK)} AS t4 FROM documents),
 f AS (SELECT id, len(t1) + 2 * len(t2) + len(t4) AS d, t1, t2 FROM tok),
@@ -167,7 +167,7 @@ WITH s AS (SELECT label, vec_id, {DOT} AS x FROM embeddings e, {QUERY_VECTOR}),
 r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY x DESC, vec_id) AS n FROM s)
 SELECT label, round(max(x), 6) AS score, string_agg(vec_id::VARCHAR, ',' ORDER BY n) AS chunks FROM r WHERE n <= 5 GROUP BY label HAVING max(x) >= 0.2""",
     "hybrid_fusion": f"""
-WITH fts AS ({_fts({"a": _prefix("hered")}, "{a}", limit=None).replace("round(", "(", 1).replace(", 6) AS score", ") AS score")}),
+WITH fts AS ({_fts({"a": _prefix("therea")}, "{a}", limit=None).replace("round(", "(", 1).replace(", 6) AS score", ") AS score")}),
 f AS (SELECT id, abs(score) / max(abs(score)) OVER () AS f FROM fts),
 v AS (SELECT * FROM (SELECT vec_id AS id, {DOT} AS v FROM embeddings e, {QUERY_VECTOR}) WHERE v >= 0.1)
 SELECT id, round(coalesce(f, 0), 6) AS text_score, round(coalesce(v, 0), 6) AS vector_score, round(greatest(coalesce(f, 0), coalesce(v, 0)) + 0.3 * least(coalesce(f, 0), coalesce(v, 0)), 6) AS score FROM f FULL JOIN v USING (id)""",

@@ -34,7 +34,7 @@ def _scored(found: DataFrame, k: int = PAGE) -> DataFrame:
 
 @query
 def fts_prefix_bm25(spark, sf_dir):
-    found, _ = fulltext.search(fulltext.tokenized(corpus.index(spark, sf_dir)), "hered")
+    found, _ = fulltext.search(fulltext.tokenized(corpus.index(spark, sf_dir)), "therea")
     return _scored(found)
 
 
@@ -46,7 +46,7 @@ def fts_and_terms(spark, sf_dir):
 
 @query
 def fts_or_not(spark, sf_dir):
-    found, _ = fulltext.search(fulltext.tokenized(corpus.index(spark, sf_dir)), "hered OR ereres NOT license")
+    found, _ = fulltext.search(fulltext.tokenized(corpus.index(spark, sf_dir)), "therea OR ereres NOT license")
     return _scored(found)
 
 
@@ -62,7 +62,7 @@ def fts_title(spark, sf_dir):
 
 @query
 def fts_relaxed_or(spark, sf_dir):
-    found, _ = fulltext.search(fulltext.tokenized(corpus.index(spark, sf_dir)), "what is qqqzz hered zzqqq")
+    found, _ = fulltext.search(fulltext.tokenized(corpus.index(spark, sf_dir)), "what is qqqzz therea zzqqq")
     return _scored(found)
 
 
@@ -234,7 +234,7 @@ def _vector_leg(spark, sf_dir):
 
 @query
 def hybrid_fusion(spark, sf_dir):
-    found, _ = fulltext.search(fulltext.tokenized(corpus.index(spark, sf_dir)), "hered")
+    found, _ = fulltext.search(fulltext.tokenized(corpus.index(spark, sf_dir)), "therea")
     fused = vectors.fuse(vectors.normalize_scores(found.select("id", "score")), _vector_leg(spark, sf_dir), ["id"])
     return fused.select("id", *[F.round(c, 6).alias(c) for c in ("text_score", "vector_score", "score")])
 
