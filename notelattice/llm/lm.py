@@ -131,7 +131,7 @@ class Nce:
 
     def __init__(self, params: dict[str, np.ndarray], vocab: Vocabulary, noise: int, rate: float, seed: int):
         self.p = {k: v.copy() for k, v in params.items()}
-        self.g = {k: np.full_like(v, 1e-2) for k, v in params.items()}
+        self.g = {k: np.full_like(v, 1e-8) for k, v in params.items()}
         weight = (vocab.head_counts + 1.0) / (vocab.head_counts + 1.0).sum()
         self.log_noise = (np.log(weight) + np.log(noise)).astype(np.float32)
         self.cumulative, self.noise, self.rate, self.rng = np.cumsum(weight), noise, rate, np.random.default_rng(seed)
@@ -163,7 +163,7 @@ class Nce:
             p[k] -= self.rate * g / np.sqrt(self.g[k])
 
 
-def train(docs: DataFrame, vocab: Vocabulary, width: int = 12, noise: int = 24, batch_size: int = 8192, rate: float = 0.05, rounds: int = 1, seed: int = 5) -> dict[str, np.ndarray]:
+def train(docs: DataFrame, vocab: Vocabulary, width: int = 16, noise: int = 32, batch_size: int = 1024, rate: float = 0.03, rounds: int = 1, seed: int = 5) -> dict[str, np.ndarray]:
     params = start(vocab, width, seed)
     names, spark = list(params), docs.sparkSession
     for turn in range(rounds):
