@@ -127,7 +127,7 @@ class Finder:
         return [(self.items[i][0], *x) for i, x in sorted(best.items())]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.05, min_piece: int = 12, block: int = 20_000) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.08, min_piece: int = 12, block: int = 20_000) -> DataFrame:
     """doc_id, item_id, distance, begin, end (in the normalised text) of each item found in each document."""
     items = benchmark.where("text is not null and item_id is not null").select("item_id", "text")
     spark = docs.sparkSession

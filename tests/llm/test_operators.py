@@ -392,7 +392,7 @@ def test_planted_edits_are_found(spark):
     for i, item in items[:30]:
         norm = decontaminate.normalize(item)
         chars = list(norm)
-        budget = decontaminate.pieces_of(norm, 0.05, 12)[0]
+        budget = decontaminate.pieces_of(norm, 0.08, 12)[0]
         for _ in range(i % (budget + 1)):
             k = rng.randrange(len(chars))
             chars[k : k + 1] = rng.choice([["q"], [], ["z", chars[k]]])
