@@ -203,7 +203,7 @@ def tables(params: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nd
     return near, far, bias, (np.log(z) + top_far + top_near.T).astype(np.float32)
 
 
-_KEPT: dict[int, tuple] = {}
+_KEPT: list = []  # the parameters that a worker has seen last, and their tables
 
 
 def score(docs: DataFrame, params: dict[str, np.ndarray], vocab: Vocabulary, counts: DataFrame, keep: list[str]) -> DataFrame:
@@ -219,11 +219,9 @@ def score(docs: DataFrame, params: dict[str, np.ndarray], vocab: Vocabulary, cou
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         params, vocab = shared.value
-        key = id(params)
-        if key not in _KEPT:
-            _KEPT.clear()
-            _KEPT[key] = tables(params)
-        near, far, bias, log_z = _KEPT[key]
+        if not _KEPT or _KEPT[0] is not params:
+            _KEPT[:] = [params, tables(params)]
+        near, far, bias, log_z = _KEPT[1]
         base_log = np.log((vocab.counts + 1.0) / floor)
         class_log = np.log((vocab.counts + 1.0) / class_total)
         end_log = np.log((vocab.ends + 1.0) / floor)

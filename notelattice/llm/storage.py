@@ -22,10 +22,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet in the shared folder, and read from there: its partitions outlive lost executors."""
+    """df written once as Parquet in the shared folder, and read from there: its partitions outlive lost executors.
+
+    The table stays as long as the driver's JVM, since later plans may read it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)  # when the driver ends
     return spark.read.schema(df.schema).parquet(path)
 
 
