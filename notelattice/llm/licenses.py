@@ -6,7 +6,8 @@ every L, so any passage of up to L shingles lies whole in at least one window. A
 the class (at least half of L shingles) has a Jaccard similarity to it of at least 1/4; with `bands` bands of one row each
 the chance that no band collides is at most (1 - 1/4) ** bands, under 1e-4 for 32.
 
-A window without a template shingle has nothing in common with any template and could never collide; such windows are left
+A text is looked at closely only if it has one of the telling words: for each template shingle its longest word. A window
+without a template shingle has nothing in common with any template and could never collide; such windows are left
 out before hashing (a look-up in the bounded set of all template shingles), which changes no result. A collision is
 verified by exact containment: the share of the template's distinct shingles that the window holds.
 
@@ -44,8 +45,17 @@ SHINGLE = 3
 CLASSES = (4, 8, 16, 64, 256, 1024)  # greatest number of shingles of a class
 
 
+BREAK = "[^a-z0-9]+"
+
+
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(text), BREAK), lambda w: w != "")
+
+
+def template_words(text: Column) -> Column:
+    """The words of each shingle of a template, an array of arrays."""
+    w = words(text)
+    return F.transform(F.sequence(F.lit(1), F.size(w) - SHINGLE + 1), lambda i: F.slice(w, i, SHINGLE))
 
 
 def shingles(text: Column) -> Column:
@@ -68,7 +78,7 @@ def template_rows(spark: SparkSession, templates: dict[str, str], max_templates:
     if len(templates) > max_templates:
         raise ValueError(f"more than {max_templates} templates; scan them in parts")
     rows = spark.createDataFrame(sorted(templates.items()), "template string, body string")
-    rows = rows.select("template", F.array_distinct(F.filter(shingles(F.col("body")), lambda x: x.isNotNull())).alias("t_shingles"))
+    rows = rows.select("template", "body", F.array_distinct(F.filter(shingles(F.col("body")), lambda x: x.isNotNull())).alias("t_shingles"))
     size = F.size("t_shingles")
     kind = F.coalesce(*[F.when(size <= c, F.lit(c)) for c in CLASSES])
     return rows.withColumn("class", kind)
@@ -83,19 +93,23 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, bands: int =
         raise ValueError(f"a template has fewer than {SHINGLE} words or more than {CLASSES[-1]} shingles")
     every = sorted({s for r in held for s in r.t_shingles})
     classes = sorted({r["class"] for r in held})
-    listed = docs.select(*keep, shingles(F.col("text")).alias("__s"))
+    # a text with a template shingle has each word of it, so also one of these; a look-up of words is all that most texts cost
+    longest = known.select(F.explode(template_words(F.col("body"))).alias("w")).select(F.element_at(F.array_sort("w", lambda a, b: F.length(a) - F.length(b)), -1).alias("w"))
+    telling = F.array(*[F.lit(r.w) for r in longest.distinct().orderBy("w").collect()])
+    plausible = docs.where(F.arrays_overlap(F.split(F.lower("text"), BREAK), telling))
+    listed = plausible.select(*keep, shingles(F.col("text")).alias("__s"))
     # places of template shingles: the look-up keeps only texts, and then windows, that could collide
     hits = F.filter(F.transform("__s", lambda x, i: F.when(x.isin(every), i)), lambda i: i.isNotNull())
     listed = listed.withColumn("__hits", hits).where("size(__hits) > 0").withColumn("__doc", F.monotonically_increasing_id())
-    parts = []
-    for c in classes:
-        # windows start at multiples of c and hold 2 * c shingles: a place lies in those of its own step and the one before
-        number = F.array_distinct(F.flatten(F.transform("__hits", lambda i: F.array(F.floor(i / c), F.greatest(F.floor(i / c) - 1, F.lit(0))))))
-        part = listed.select(*keep, "__doc", "__s", F.explode(number).alias("__n")).select(*keep, "__doc", (F.col("__n") * c).cast("long").alias("position"), F.filter(F.slice("__s", (F.col("__n") * c + 1).cast("int"), 2 * c), lambda x: x.isNotNull()).alias("window"), F.lit(c).alias("class"))
-        parts.append(part.where("size(window) > 0"))
-    windows = parts[0]
-    for p in parts[1:]:
-        windows = windows.unionByName(p)
+    # windows of a class start at multiples of c and hold 2 * c shingles: a place lies in those of its own step and the one before
+
+    def around(i: Column) -> Column:
+        steps = [(c, back) for c in classes for back in (0, 1)]
+        return F.array(*[F.struct(F.lit(c).alias("class"), F.greatest(F.floor(i / c) - back, F.lit(0)).alias("n")) for c, back in steps])
+
+    spots = listed.select(*keep, "__doc", "__s", F.explode(F.array_distinct(F.flatten(F.transform("__hits", around)))).alias("spot"))
+    spots = spots.select(*keep, "__doc", "__s", F.col("spot.class").alias("class"), (F.col("spot.n") * F.col("spot.class")).alias("position"))
+    windows = spots.select(*keep, "__doc", "position", "class", F.filter(F.slice("__s", (F.col("position") + 1).cast("int"), 2 * F.col("class")), lambda x: x.isNotNull()).alias("window")).where("size(window) > 0")
     sketched = windows.withColumn("bands", F.array(*minhashes(F.col("window"), bands)))
     t_bands = known.select("template", "t_shingles", "class", F.posexplode(F.array(*minhashes(F.col("t_shingles"), bands))).alias("band", "value"))
     t_bands = t_bands.groupBy("class", "band", "value").agg(F.collect_list(F.struct("template", "t_shingles")).alias("templates"))
