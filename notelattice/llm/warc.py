@@ -105,12 +105,13 @@ def _joined(column: str) -> Column:
 
 def tree(rows: DataFrame, levels: int, fan_out: int, leaf: int = LEAF) -> list[DataFrame]:
     """Levels of (archive, node, digest): records by offset first, then ranges of offsets, the last one the archive."""
-    out = [rows.groupBy("archive", F.col("offset").alias("node")).agg(_joined("digest").alias("digest"))]
+    out = [materialize(rows.groupBy("archive", F.col("offset").alias("node")).agg(_joined("digest").alias("digest")), "leaves")]
     for level in range(levels + 1):
         below = F.col("node") / leaf if level == 0 else F.col("node") / fan_out
         entry = F.concat_ws("@", F.lpad(F.hex("node"), 16, "0"), "digest")
         up = F.floor(below).cast("long") if level < levels else F.lit(0).cast("long")
-        out.append(out[-1].select("archive", up.alias("up"), entry.alias("entry")).groupBy("archive", F.col("up").alias("node")).agg(_joined("entry").alias("digest")))
+        ranges = out[-1].select("archive", up.alias("up"), entry.alias("entry")).groupBy("archive", F.col("up").alias("node"))
+        out.append(materialize(ranges.agg(_joined("entry").alias("digest")), "ranges"))  # a level is read again by the next and by the audit
     return out
 
 
@@ -128,8 +129,7 @@ def audit(ours: DataFrame, theirs: DataFrame, levels: int = 3, fan_out: int = 16
     Both have archive, offset and digest. Comparing starts at the roots of the archives; a level's nodes are read only
     below the mismatching nodes of the level above.
     """
-    kept = [materialize(x.select("archive", "offset", "digest"), "leaves") for x in (ours, theirs)]
-    trees = [tree(x, levels, fan_out) for x in kept]
+    trees = [tree(x.select("archive", "offset", "digest"), levels, fan_out) for x in (ours, theirs)]
     suspects = None
     for level in range(levels + 1, -1, -1):
         a, b = (t[level] for t in trees)
@@ -138,6 +138,7 @@ def audit(ours: DataFrame, theirs: DataFrame, levels: int = 3, fan_out: int = 16
             up = F.floor(F.col("node") / divisor).cast("long") if level < levels else F.lit(0).cast("long")
             a, b = (x.withColumn("up", up).join(suspects, ["archive", "up"], "left_semi").drop("up") for x in (a, b))
         both = a.withColumnRenamed("digest", "a").join(b.withColumnRenamed("digest", "b"), ["archive", "node"], "full").where("not (a <=> b)")
+        both = materialize(both, "mismatches")
         suspects = both.select("archive", F.col("node").alias("up"))
     status = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").otherwise("corrupt")
     return both.select("archive", F.col("node").alias("offset"), status.alias("status"))
