@@ -8,14 +8,15 @@ Plan. (1) One Arrow pass over the texts gives each document its set size, a 128-
 band keys. (2) Documents with equal sets collapse to a class, whose representative has the smallest doc_id, so that copies
 never meet in a bucket. (3) Classes are grouped by band key with partial aggregation: only counts and the most popular
 member of each bucket are kept, never a list. (4) Each member is compared with that pivot; pairs are distinct, so a
-group of n near copies costs about n pairs. (5) Members of a bucket that are still in different components are compared
-with each other: no link is lost to the choice of the pivot. Sizes, and the distances to the shared pivot (Jaccard
-distance is a metric), rule pairs out exactly before they are made. (6) Every pair is confirmed on the full sets of
+group of n near copies costs about n pairs. (5) Members of a bucket that are still in different components may be linked
+all the same. In a bucket of at most SMALL_BUCKET members they are compared pair by pair, as far as sizes and distances to
+the pivot (Jaccard distance is a metric) allow; in a larger one by prefix filtering of their differences from the pivot
+(`close_pairs`), which is exact as well. No link is lost to the choice of the pivot. (6) Every pair is confirmed on the full sets of
 shingle hashes. (7) Components come from min-label propagation with pointer jumping over the confirmed links.
 
 Defined cases: a null text, an empty one or one without words has an empty set and links with nothing; a text with fewer
 words than a shingle is one shingle. Ties and repeated rows: equal texts are linked, doc_id decides what stays. A null
-doc_id has no component and is always kept. Extra columns are ignored by `components` and kept by `deduplicate`.
+doc_id has no component and is always kept. Rows that share a doc_id are taken as repetitions of one row. Extra columns are ignored by `components` and kept by `deduplicate`.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from .arrow_text import U64, chunks, mix, shingle_hashes, word_hashes
 from .storage import materialize
 
 CIRCLE = 18
+SMALL_BUCKET = 32  # members of a bucket that are compared pair by pair
 MISS = 1e-6  # the greatest probability that a pair at the threshold shares no band
 
 
@@ -109,8 +111,8 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int, group: int = 500) -> DataFrame:
-    """pairs (a, b) with n_both, the size of the intersection, n_any, that of the union, and linked.
+def with_sets(pairs: DataFrame, sets: DataFrame, group: int = 500) -> DataFrame:
+    """pairs (a, b) with both sets, left_set and right_set.
 
     b may be the same for very many a: its set is repeated for each `group` of them and the join is on (b, part), so no
     task gets more than about `group` pairs of one b.
@@ -118,10 +120,51 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int, group: int = 500) ->
     spread = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).select("b", F.explode(F.sequence(F.lit(0), F.expr(f"cast(n div {group} as int)"))).alias("part"), F.expr(f"cast(n div {group} as int) + 1").alias("parts"))
     right = spread.join(sets.withColumnRenamed("doc_id", "b"), "b").select("b", "part", F.col("shingles").alias("right_set"))
     parts = spread.where("part = 0").select("b", "parts")
-    left = pairs.join(parts, "b").select("a", "b", F.expr("cast(pmod(xxhash64(a), parts) as int)").alias("part")).join(sets.withColumnRenamed("doc_id", "a"), "a")
-    both = F.size(F.array_intersect("shingles", "right_set")).cast("long")
-    out = left.join(right, ["b", "part"]).select("a", "b", both.alias("n_both"), (F.size("shingles") + F.size("right_set")).cast("long").alias("n_sum"))
-    return out.select("a", "b", "n_both", F.expr("n_sum - n_both").alias("n_any")).withColumn("linked", F.expr(f"100 * n_both >= {percent} * n_any"))
+    left = pairs.join(parts, "b").select("a", "b", F.expr("cast(pmod(xxhash64(a), parts) as int)").alias("part"))
+    left = left.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left_set")), "a")
+    return left.join(right, ["b", "part"]).select("a", "b", "left_set", "right_set")
+
+
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """pairs (a, b) with n_both, the size of the intersection, n_any, that of the union, n_a, and linked."""
+    both = F.size(F.array_intersect("left_set", "right_set")).cast("long")
+    out = with_sets(pairs, sets).select("a", "b", both.alias("n_both"), F.size("left_set").cast("long").alias("n_a"), F.size("right_set").cast("long").alias("n_b"))
+    return out.select("a", "b", "n_both", F.expr("n_a + n_b - n_both").alias("n_any"), "n_a").withColumn("linked", F.expr(f"100 * n_both >= {percent} * n_any"))
+
+
+def close_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of members (a, pivot, component) of one pivot whose sets may be linked though their components differ.
+
+    Let D be the symmetric difference of a member's set and the pivot's, and c = (1 - t) / (1 + t). Two sets are linked only
+    if they differ in at most c * (|a| + |b|) shingles, hence only if their D have at least (u_a + u_b) / 2 elements in
+    common, with u = |D| - c * |set|; that is at least one, unless both are linked to the pivot and so to each other's
+    component. Two D with o common elements share one among the |D| - o + 1 rarest of each (prefix filtering), so members
+    meet by equi-joins on rare elements. Classes of u keep prefixes short; the pair's own o is then applied to the places. Nothing is estimated and nothing lost;
+    copies of one source differ from it in elements of their own, so a large group of them makes hardly any pair.
+    """
+    t = percent / 100
+    c = (1 - t) / (1 + t)
+    pairs = members.select("a", F.col("pivot").alias("b"))
+    apart = F.concat(F.array_except("left_set", "right_set"), F.array_except("right_set", "left_set"))
+    width = F.greatest(F.lit(1.0), F.size("right_set") * (2 * c))
+    differ = with_sets(pairs, sets).select("a", F.col("b").alias("pivot"), apart.alias("d"), (F.size(apart) - c * F.size("left_set")).alias("u"), width.alias("width"))
+    differ = materialize(differ.withColumn("own", F.floor(F.col("u") / F.col("width") + 1e-9)).join(members, ["a", "pivot"]), "differences")
+    classes = differ.groupBy("pivot").agg(F.collect_set("own").alias("classes"))  # a few dozen numbers: |D| <= |a| + |b|
+    flat = differ.select("pivot", "a", F.explode("d").alias("e"))
+    # elements of a single member are the rarest, so they come first in every order; they can't meet, and none is kept
+    shared = flat.groupBy("pivot", "e").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    order = flat.join(shared, ["pivot", "e"]).groupBy("pivot", "a").agg(F.array_sort(F.collect_list(F.struct("n", "e"))).alias("ordered"))
+    known = differ.select("pivot", "a", "component", "u", "width", "own").join(order, ["pivot", "a"]).join(classes, "pivot")
+    asked = known.select("pivot", "a", "component", "own", "u", "width", "ordered", F.explode("classes").alias("other"))
+    need = F.greatest(F.lit(1), F.ceil((F.col("u") + F.col("other") * F.col("width")) / 2 - 1e-6))
+    prefix = F.slice("ordered", 1, F.greatest(F.lit(0), F.size("ordered") - need + 1).cast("int"))
+    kept = ["pivot", "a", "component", "own", "other", "u", F.size("ordered").alias("m")]
+    keyed = asked.select(*kept, F.posexplode(prefix).alias("at", "x")).select("pivot", "a", "component", "own", "other", "u", "m", "at", F.col("x.e").alias("e"))
+    keyed = materialize(keyed, "prefixes")
+    mate = keyed.select("pivot", F.col("a").alias("b"), F.col("component").alias("c_b"), F.col("own").alias("other"), F.col("other").alias("own"), F.col("u").alias("u_b"), F.col("m").alias("m_b"), F.col("at").alias("at_b"), "e")
+    common = "greatest(1, ceil((u + u_b) / 2 - 1e-6))"  # of this very pair: what is left behind the place must suffice
+    met = keyed.join(mate, ["pivot", "e", "own", "other"]).where(f"a < b and component <> c_b and at <= m - {common} and at_b <= m_b - {common}")
+    return met.select("a", "b").distinct()
 
 
 def label(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -164,14 +207,13 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80, rows: int = 4)
     # what is still apart in a bucket: all pairs that the sizes and the distances to the pivot do not rule out
     apart = starred.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     open_bands = apart.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-    open_rows = apart.join(open_bands, "band").join(first.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), F.expr("1 - n_both / n_any").alias("far")), ["rep", "pivot"], "left")
-    open_rows = open_rows.select("band", "rep", "n_shingles", "component", F.coalesce("far", F.lit(0.0)).alias("far"), F.expr("rep = pivot").alias("is_pivot")).where("not is_pivot")
-    reach = 1 - threshold
-    cell = F.floor(F.col("far") / reach - 1e-9).cast("int")
-    one = materialize(open_rows.withColumn("cell", cell), "open")
-    other = one.select("band", F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), F.col("component").alias("c_b"), F.col("far").alias("far_b"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
-    rest = one.join(other, ["band", "cell"]).where(f"rep < b and component <> c_b and abs(far - far_b) <= {reach} + 1e-9 and 100 * least(n_shingles, n_b) >= {percent} * greatest(n_shingles, n_b)")
-    rest = materialize(rest.select(F.col("rep").alias("a"), "b").distinct(), "rest")
+    far = first.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), F.expr("1 - n_both / n_any").alias("far"))
+    open_rows = materialize(apart.where("rep <> pivot").join(open_bands, "band", "left_semi").join(far, ["rep", "pivot"]).select("band", "rep", "pivot", "n_shingles", "n_in", "component", "far"), "open")
+    one = open_rows.where(f"n_in <= {SMALL_BUCKET}")
+    other = one.select("band", F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), F.col("component").alias("c_b"), F.col("far").alias("far_b"))
+    direct = one.join(other, "band").where(f"rep < b and component <> c_b and abs(far - far_b) <= {1 - threshold} + 1e-9 and 100 * least(n_shingles, n_b) >= {percent} * greatest(n_shingles, n_b)").select(F.col("rep").alias("a"), "b")
+    large = open_rows.where(f"n_in > {SMALL_BUCKET}").select(F.col("rep").alias("a"), "pivot", "component").distinct()
+    rest = materialize(direct.union(close_pairs(large, sets, percent)).distinct(), "rest")
     second = verify(rest, sets, percent).where("linked").select("a", "b")
     links = materialize(links.union(second), "links")
     labels = label(links)
