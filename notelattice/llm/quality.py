@@ -128,7 +128,7 @@ def _sparse(chunk: Chunk, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, bits: int = 16, threshold: float = 0.5, seed: int = 17) -> QualityModel:
-    """A model from the labels (doc_id, quality). max_labelled bounds what reaches the driver: a row is about 1500 numbers."""
+    """A model from the labels (doc_id, quality). max_labelled bounds what one task holds: a row is about 1500 numbers."""
     key = F.xxhash64(F.lit(seed), F.col("doc_id"))
     sample = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(key, "doc_id").limit(max_labelled)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("quality"), F.pmod(key, F.lit(5)).cast("int").alias("fold"))
@@ -140,19 +140,36 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, bits: int
                 pairs = list(_sparse(chunk, bits))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array([i.astype(np.int32).tobytes() for i, _ in pairs], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in pairs], pa.binary())], ["doc_id", "quality", "fold", "index", "value"])
 
-    got = rows.mapInArrow(features, "doc_id long, quality int, fold int, index binary, value binary").toPandas()
-    label = (got["quality"].to_numpy() > 0).astype(float)
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches), FEATURES)
+        model = _fit_rows(table, bits, threshold)
+        weights = None if model.weights is None else model.weights.tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([weights], pa.binary()), pa.array([model.bias]), pa.array([model.slope]), pa.array([model.offset])], ["weights", "bias", "slope", "offset"])
+
+    # the sample is bounded, so one task fits the model; the driver gets the weights alone
+    got = rows.mapInArrow(features, "doc_id long, quality int, fold int, index binary, value binary").repartition(1).mapInArrow(train, "weights binary, bias double, slope double, offset double").collect()
+    if not got or got[0].weights is None:
+        return QualityModel(None, 0.0, 1.0, 0.0, bits, threshold)
+    return QualityModel(np.frombuffer(bytes(got[0].weights)), got[0].bias, got[0].slope, got[0].offset, bits, threshold)
+
+
+FEATURES = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("fold", pa.int32()), ("index", pa.binary()), ("value", pa.binary())])
+
+
+def _fit_rows(table: pa.Table, bits: int, threshold: float) -> QualityModel:
+    """The model of featurised labelled rows (FEATURES)."""
+    label = (table["quality"].to_numpy() > 0).astype(float)
     if len(set(label)) < 2:
         return QualityModel(None, 0.0, 1.0, 0.0, bits, threshold)
-    held = got["fold"].to_numpy() == 0
+    held = table["fold"].to_numpy() == 0
     if len(set(label[held])) < 2 or len(set(label[~held])) < 2:
-        held[:] = False
-    order = np.lexsort((got["index"].map(hash_of), got["doc_id"], held))  # the rows held back for calibrating come last
+        held = np.zeros(len(label), bool)
+    buckets, values = table["index"].to_pylist(), table["value"].to_pylist()
+    order = np.lexsort(([hash_of(x) for x in buckets], table["doc_id"].to_numpy(), held))  # the rows held back for calibrating come last
     label, n_fit = label[order], int((~held).sum())
-    off = np.concatenate([[0], np.cumsum([len(got["index"][i]) // 4 for i in order])])
-    index = np.frombuffer(b"".join(got["index"][i] for i in order), np.int32)
-    value = np.frombuffer(b"".join(got["value"][i] for i in order), np.float32)
-    del got
+    off = np.concatenate([[0], np.cumsum([len(buckets[i]) // 4 for i in order])])
+    index = np.frombuffer(b"".join(buckets[i] for i in order), np.int32)
+    value = np.frombuffer(b"".join(values[i] for i in order), np.float32)
     weights, bias = linear.fit(index, value, off[: n_fit + 1], label[:n_fit], 1 << bits, l2=1e-6, steps=80)
     fresh = slice(n_fit, None) if n_fit < len(label) else slice(0, None)
     at = off[n_fit:] if n_fit < len(label) else off
