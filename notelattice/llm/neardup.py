@@ -12,7 +12,7 @@ group of n near copies costs about n pairs. (5) Members of a bucket that are sti
 all the same. In a bucket of at most SMALL_BUCKET members they are compared pair by pair, as far as sizes and distances to
 the pivot (Jaccard distance is a metric) allow; in a larger one by prefix filtering of their differences from the pivot
 (`close_pairs`), which is exact as well. No link is lost to the choice of the pivot. (6) Every pair is confirmed on the full sets of
-shingle hashes. (7) Components come from min-label propagation with pointer jumping over the confirmed links.
+shingle hashes. (7) Components come from min-label propagation with hooking and pointer jumping over the confirmed links.
 
 Defined cases: a null text, an empty one or one without words has an empty set and links with nothing; a text with fewer
 words than a shingle is one shingle. Ties and repeated rows: equal texts are linked, doc_id decides what stays. A null
@@ -167,19 +167,25 @@ def close_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.select("a", "b").distinct()
 
 
-def label(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node and component (the smallest node reachable) of every node of links (a, b)."""
+def label(links: DataFrame) -> DataFrame:
+    """node and component (the smallest node reachable) of every node of links (a, b).
+
+    Each round a node takes the least label of its neighbours, hands it to the node its own label names (hooking, so whole
+    trees join, not nodes one by one), and then takes the label of its label. Rounds grow with the logarithm of a chain's
+    length; they end when nothing changes, and then all nodes of a component have one label, that of its smallest node.
+    """
     edges = materialize(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
     nodes = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), "labels")
-    for _ in range(most_rounds):
+    while True:
         near = edges.join(nodes.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        moved = nodes.join(near, "node").select("node", "component", F.least("component", "near").alias("next"))
-        jump = nodes.select(F.col("node").alias("next"), F.col("component").alias("beyond"))
-        after = materialize(moved.join(jump, "next").select("node", F.least("next", "beyond").alias("component"), (F.least("next", "beyond") < F.col("component")).alias("changed")), "labels")
+        moved = materialize(nodes.join(near, "node").select("node", "component", F.least("component", "near").alias("next")), "moved")
+        hooks = moved.where("next < component").groupBy(F.col("component").alias("node")).agg(F.min("next").alias("hook"))
+        hooked = moved.join(hooks, "node", "left").select("node", "component", F.least("next", "hook").alias("next"))
+        jump = hooked.select(F.col("node").alias("next"), F.col("next").alias("beyond"))
+        after = materialize(hooked.join(jump, "next").select("node", F.least("next", "beyond").alias("component"), (F.least("next", "beyond") < F.col("component")).alias("changed")), "labels")
         nodes = after.select("node", "component")
         if not after.where("changed").limit(1).count():
             return nodes
-    raise RuntimeError("components did not settle; raise most_rounds")
 
 
 def components(docs: DataFrame, size: int = 5, percent: int = 80, rows: int = 4) -> DataFrame:

@@ -1,0 +1,14 @@
+"""Inputs on which an operator once did less than its whole job."""
+
+import numpy as np
+
+from notelattice.llm import neardup
+
+
+def test_label_of_long_shuffled_chains(spark):
+    rng = np.random.default_rng(3)
+    ids = rng.permutation(4000)
+    links = [*zip(ids[:2999].tolist(), ids[1:3000].tolist(), strict=True), *zip(ids[3000:3999].tolist(), ids[3001:].tolist(), strict=True)]
+    got = {r.node: r.component for r in neardup.label(spark.createDataFrame(links, "a long, b long")).collect()}
+    low, high = int(ids[:3000].min()), int(ids[3000:].min())
+    assert got == {int(x): low if k < 3000 else high for k, x in enumerate(ids)}
