@@ -7,7 +7,8 @@ Both are smoothed along the tree (a path takes a share of what its parent path's
 mean, damped by the share of link text, and weighted by what the tags say: nothing is left of paths through menus,
 footers, forms, scripts, adverts or comments. Paths above a threshold (a share of the page's length-weighted mean) are
 content. The smallest container that holds nearly all content paths then lends its short blocks (headings, one-line
-paragraphs), so that nothing inside the article is dropped for being short.
+paragraphs), so that nothing inside the article is dropped for being short. A block whose own text is kept is kept with
+all that stands in it inline, link text too; outside a marked article, a block of nothing but links is not content.
 
 Blocks are what block-level tags separate; character references are decoded, white space inside a block becomes one space,
 blocks are trimmed and joined by a line feed.
@@ -184,12 +185,17 @@ def main_text(page: str | None, share: float = 0.4, hold: float = 0.9) -> str:
             if len(top) > len(best) and sum(weight[p] for p in chosen if p[:k] == top) >= hold * held:
                 best = top
     marked = any(x in CONTENT for p in chosen for x in p)
+
+    def inside(node: _Node) -> bool:
+        return node.path in chosen or (node.content if marked else node.path[: len(best)] == best and len(best) > 2)
+
+    # blocks with text of their own that is kept: what stands in them inline, link text too, belongs to that text
+    spoken = {block for node, block, text in nodes if text.strip() and scores.get(node.path) and inside(node)}
     blocks: dict[int, list[str]] = {}
     for node, block, text in nodes:
-        if node.away or (text.strip() and not scores.get(node.path) and not (node.link and node.content)):
+        if node.away:
             continue
-        inside = node.path in chosen or (node.content if marked else node.path[: len(best)] == best and len(best) > 2)
-        if inside:
+        if block in spoken or (inside(node) and (not text.strip() or (node.link and node.content))):
             blocks.setdefault(block, []).append(text)
     lines = (_SPACE.sub(" ", "".join(parts)).strip() for _, parts in sorted(blocks.items()))
     return "\n".join(x for x in lines if x)

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from notelattice.llm import neardup
+from notelattice.llm import html, neardup
 
 
 def test_label_of_long_shuffled_chains(spark):
@@ -12,3 +12,9 @@ def test_label_of_long_shuffled_chains(spark):
     got = {r.node: r.component for r in neardup.label(spark.createDataFrame(links, "a long, b long")).collect()}
     low, high = int(ids[:3000].min()), int(ids[3000:].min())
     assert got == {int(x): low if k < 3000 else high for k, x in enumerate(ids)}
+
+
+def test_link_text_in_unmarked_pages():
+    page = '<html><body><div id="menu"><a href="/">Home</a> <a href="/a">About us</a></div><div id="wrap"><p>Long text, with <a href=x>linked <b>words</b></a> in it. It goes on, and on; it has more to say.</p><p>So<a> </a>it <em>is</em>.</p></div></body></html>'
+    assert html.main_text(page) == "Long text, with linked words in it. It goes on, and on; it has more to say.\nSo it is."
+    assert html.main_text('<div id="wrap"><p>Long text with <a href=x>linked words</a> in it.</p></div>') == "Long text with linked words in it."
