@@ -2,9 +2,10 @@
 
 Words are lower-cased runs of ASCII letters and digits; a shingle is three of them, hashed by xxhash64. Templates are
 grouped by length into classes; a class with templates of up to L shingles is looked for in windows of 2 * L shingles, one
-every L, so any passage of up to L shingles lies whole in at least one window. A window that holds a whole template of
-the class (at least half of L shingles) has a Jaccard similarity to it of at least 1/4; with `bands` bands of one row each
-the chance that no band collides is at most (1 - 1/4) ** bands, under 1e-4 for 32.
+every L, so any passage of up to L shingles lies whole in at least one window. A class has as many bands of one row as any
+of its templates needs (`bands_for`): a window that holds `percent` of a template of t shingles, k of them, has a Jaccard
+similarity to it of at least J = k / (2 * L + t - k), and with n bands the chance that no band collides is at most
+(1 - J) ** n, which is kept to `miss`.
 
 A text is looked at closely only if it has one of the telling words: for each template shingle its longest word. A window
 without a template shingle has nothing in common with any template and could never collide; such windows are left
@@ -20,6 +21,8 @@ the best containment and the earliest place.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,13 +67,19 @@ def shingles(text: Column) -> Column:
     return F.when(F.size(w) >= SHINGLE, F.zip_with(F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.slice(w, 3, F.greatest(F.size(w) - 2, F.lit(0))), lambda p, c: F.when(c.isNotNull(), F.xxhash64(p["a"], p["b"], c)))).otherwise(F.array().cast("array<bigint>"))
 
 
-def minhashes(column: Column, bands: int) -> list[Column]:
-    """The least of each of `bands` rehashes of the shingles."""
+MISS = 1e-4  # the greatest probability that a window with enough of a template shares no band with it
+
+
+def bands_for(size: int, longest: int, percent: int, miss: float = MISS) -> int:
+    """The least number of bands that miss `percent` of a template of `size` shingles, in a window of its class, with at most this probability."""
+    held = max(1, math.ceil(percent * size / 100))
+    similarity = held / (2 * longest + size - held)
+    return max(1, math.ceil(math.log(miss) / math.log(1 - similarity)))
 
-    def least(k: int) -> Column:
-        return F.array_min(F.transform(column, lambda x: F.xxhash64(x, F.lit(k))))
 
-    return [least(k) for k in range(bands)]
+def minhashes(column: Column, bands: Column) -> Column:
+    """The least of each of `bands` rehashes of the shingles, an array."""
+    return F.transform(F.sequence(F.lit(0), bands - 1), lambda k: F.array_min(F.transform(column, lambda x: F.xxhash64(x, k))))
 
 
 def template_rows(spark: SparkSession, templates: dict[str, str], max_templates: int = 5000) -> DataFrame:
@@ -84,7 +93,7 @@ def template_rows(spark: SparkSession, templates: dict[str, str], max_templates:
     return rows.withColumn("class", kind)
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, bands: int = 32, percent: int = 80, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, percent: int = 80, miss: float = MISS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, template, containment (percent of the template's shingles, double) and position (of the window's first shingle)."""
     spark = docs.sparkSession
     known = template_rows(spark, TEMPLATES if templates is None else templates)
@@ -93,6 +102,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, bands: int =
         raise ValueError(f"a template has fewer than {SHINGLE} words or more than {CLASSES[-1]} shingles")
     every = sorted({s for r in held for s in r.t_shingles})
     classes = sorted({r["class"] for r in held})
+    needed = {c: max(bands_for(len(r.t_shingles), c, percent, miss) for r in held if r["class"] == c) for c in classes}
+    bands = F.coalesce(*[F.when(F.col("class") == c, F.lit(n)) for c, n in needed.items()], F.lit(1))
     # a text with a template shingle has each word of it, so also one of these; a look-up of words is all that most texts cost
     longest = known.select(F.explode(template_words(F.col("body"))).alias("w")).select(F.element_at(F.array_sort("w", lambda a, b: F.length(a) - F.length(b)), -1).alias("w"))
     telling = F.array(*[F.lit(r.w) for r in longest.distinct().orderBy("w").collect()])
@@ -110,8 +121,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, bands: int =
     spots = listed.select(*keep, "__doc", "__s", F.explode(F.array_distinct(F.flatten(F.transform("__hits", around)))).alias("spot"))
     spots = spots.select(*keep, "__doc", "__s", F.col("spot.class").alias("class"), (F.col("spot.n") * F.col("spot.class")).alias("position"))
     windows = spots.select(*keep, "__doc", "position", "class", F.filter(F.slice("__s", (F.col("position") + 1).cast("int"), 2 * F.col("class")), lambda x: x.isNotNull()).alias("window")).where("size(window) > 0")
-    sketched = windows.withColumn("bands", F.array(*minhashes(F.col("window"), bands)))
-    t_bands = known.select("template", "t_shingles", "class", F.posexplode(F.array(*minhashes(F.col("t_shingles"), bands))).alias("band", "value"))
+    sketched = windows.withColumn("bands", minhashes(F.col("window"), bands))
+    t_bands = known.select("template", "t_shingles", "class", F.posexplode(minhashes(F.col("t_shingles"), bands)).alias("band", "value"))
     t_bands = t_bands.groupBy("class", "band", "value").agg(F.collect_list(F.struct("template", "t_shingles")).alias("templates"))
     met = sketched.select(*keep, "__doc", "position", "window", "class", F.posexplode("bands").alias("band", "value")).join(F.broadcast(t_bands), ["class", "band", "value"]).select(*keep, "__doc", "position", "window", F.explode("templates").alias("t"))
     share = F.size(F.array_intersect("window", "t.t_shingles")) * 100.0 / F.size("t.t_shingles")

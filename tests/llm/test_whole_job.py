@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from notelattice.llm import html, neardup
+from notelattice.llm import html, licenses, neardup
 
 
 def test_label_of_long_shuffled_chains(spark):
@@ -18,3 +18,20 @@ def test_link_text_in_unmarked_pages():
     page = '<html><body><div id="menu"><a href="/">Home</a> <a href="/a">About us</a></div><div id="wrap"><p>Long text, with <a href=x>linked <b>words</b></a> in it. It goes on, and on; it has more to say.</p><p>So<a> </a>it <em>is</em>.</p></div></body></html>'
     assert html.main_text(page) == "Long text, with linked words in it. It goes on, and on; it has more to say.\nSo it is."
     assert html.main_text('<div id="wrap"><p>Long text with <a href=x>linked words</a> in it.</p></div>') == "Long text with linked words in it."
+
+
+def test_license_copies_in_other_text_are_found(spark):
+    rng = np.random.default_rng(8)
+    body = licenses.TEMPLATES["BSD-redistribution"].split()
+    copy = " ".join(body[:18])  # 16 of the 19 shingles
+    other = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, n))
+    rows = [(i, f"{other(64 + i % 128)} {copy} {other(200)}") for i in range(3000)]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).where("template = 'BSD-redistribution'")
+    assert found.count() == len(rows)
+
+
+def test_license_bands_keep_the_bound():
+    for longest, least in zip(licenses.CLASSES, (1, *(c + 1 for c in licenses.CLASSES)), strict=False):
+        for size in range(least, longest + 1):
+            held = -(-80 * size // 100)
+            assert (1 - held / (2 * longest + size - held)) ** licenses.bands_for(size, longest, 80) <= licenses.MISS
