@@ -1,7 +1,7 @@
 """WARC records, and the Merkle fixity audit of replicas.
 
 `records` turns pages into WARC response records with their archive and offset; `read_warc` reads records of stored
-archives (plain or gzip by record). `audit` compares two replicas: a leaf is the SHA-256 of one record with its offset;
+archives (plain or gzip by record) and the ranges that can't be read. `audit` compares two replicas: a leaf is the SHA-256 of one record with its offset;
 each level above hashes the ordered digests of `fan_out` neighbouring ranges of offsets, up to one root for each archive,
 and archives are grouped in the same way up to a single root. Comparing goes from the roots down: only ranges below a
 mismatch are looked at on the next level. What is shuffled is digests, never records; no task gets more than `fan_out`
@@ -17,9 +17,9 @@ if they repeat alike; null payloads are hashed as empty with a mark of their own
 
 from __future__ import annotations
 
-import gzip
 import hashlib
-import io
+import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -57,46 +57,94 @@ def records(pages: DataFrame, per_archive: int = 1000, stored: str = "html") ->
     return rows.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")).select("archive", "offset", "page_id", "length", "digest")
 
 
-def parse(data: bytes) -> Iterator[tuple[int, int, str, str, bytes]]:
-    """(offset, length, type, target URI, payload) of the records of a stored archive; offsets are those in the file."""
+_RECORD = re.compile(rb"WARC/\d+\.\d+\r\n")
+_SIZE = re.compile(rb"\d+")
+_BEGIN = re.compile(rb"\x1f\x8b\x08|(?<=\n)WARC/")
+UNREADABLE = "unreadable"
+
+
+def _member(data: bytes, at: int, most: int | None = None) -> tuple[bytes, int]:
+    """The content of the gzip member at `at`, its checksum confirmed, and where it ends; or only the first `most` bytes."""
+    stream, inner, view = zlib.decompressobj(31), [], memoryview(data)
+    while not stream.eof:
+        part = view[at : at + (1 << 16)]
+        if not part:
+            raise zlib.error("truncated member")
+        inner.append(stream.decompress(part, most or 0))
+        at += len(part)
+        if most:
+            break
+    return b"".join(inner), at - len(stream.unused_data)
+
+
+def _starts(data: bytes, at: int) -> bool:
+    """Does a record, plain or in a gzip member, begin here?"""
+    if data[at : at + 3] == b"\x1f\x8b\x08":
+        try:
+            return _RECORD.match(_member(data, at, 16)[0]) is not None
+        except zlib.error:
+            return False
+    return _RECORD.match(data, at) is not None
+
+
+def _plain(data: bytes, at: int) -> tuple[int, dict[bytes, bytes], bytes] | None:
+    """Where the plain record at `at` ends, its fields and its payload; None if it is not whole and well formed."""
+    end = data.find(b"\r\n\r\n", at)
+    if end < 0 or not _RECORD.match(data, at):
+        return None
+    lines = data[at:end].split(b"\r\n")[1:]
+    fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(b":") for line in lines)}
+    size = fields.get(b"content-length", b"")
+    if not _SIZE.fullmatch(size):
+        return None
+    stop = end + 4 + int(size)
+    return (stop + 4, fields, data[end + 4 : stop]) if data[stop : stop + 4] == b"\r\n\r\n" else None
+
+
+def parse(data: bytes) -> Iterator[tuple[int, int, str, str, bytes | None]]:
+    """(offset, length, type, target URI, payload) of all that a stored archive holds; offsets and lengths are those in the file.
+
+    A gzip member is unpacked by itself; records that share one have its place. A range that can't be read (a damaged
+    member, a malformed header, a wrong length) is a row of the type `unreadable` without payload, and reading goes on at
+    the next place where a record begins. The rows cover the file without gaps.
+    """
     at = 0
     while at < len(data):
-        if data[at : at + 2] == b"\x1f\x8b":  # one gzip member for each record
-            stream = io.BytesIO(data[at:])
-            member = gzip.GzipFile(fileobj=stream)
+        found, stop = [], at
+        if data[at : at + 2] == b"\x1f\x8b":
             try:
-                inner = member.read1(-1)
-                while more := member.read1(-1):
-                    if stream.tell() > len(data) - at:
-                        break
-                    inner += more
-            except (OSError, EOFError):
-                return
-            for _, _, kind, uri, payload in parse(inner):
-                yield at, len(data) - at, kind, uri, payload
-            return
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            return
-        fields = dict(line.split(b":", 1) for line in data[at:end].split(b"\r\n")[1:] if b":" in line)
-        fields = {k.strip().lower(): v.strip() for k, v in fields.items()}
-        size = int(fields.get(b"content-length", b"0"))
-        stop = end + 4 + size
-        yield at, stop + 4 - at, fields.get(b"warc-type", b"").decode("latin-1"), fields.get(b"warc-target-uri", b"").decode("utf-8", "replace"), data[end + 4 : stop]
-        at = stop + 4
+                inner, stop = _member(data, at)
+                found = [(kind, uri, payload) for _, _, kind, uri, payload in parse(inner)] if not inner.startswith(b"\x1f\x8b") else []
+                found = found or [(UNREADABLE, "", None)]
+            except zlib.error:
+                pass
+        elif record := _plain(data, at):
+            stop, fields, payload = record
+            found = [(fields.get(b"warc-type", b"").decode("latin-1"), fields.get(b"warc-target-uri", b"").decode("utf-8", "replace"), payload)]
+        if not found:
+            places = (m.start() for m in _BEGIN.finditer(data, at + 1))
+            stop = next((p for p in places if _starts(data, p)), len(data))
+            found = [(UNREADABLE, "", None)]
+        for kind, uri, payload in found:
+            yield at, stop - at, kind, uri, payload
+        at = stop
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """archive, offset, length, type, uri, payload and digest of the records of the archives under path."""
+    """archive, offset, length, type, uri, payload and digest (of the stored bytes, headers too) of the records of the archives under path.
+
+    Ranges that can't be read are rows of the type `unreadable`, so that an audit names them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for offset, length, kind, uri, payload in parse(content):
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([offset]), pa.array([length]), pa.array([kind]), pa.array([uri]), pa.array([payload], pa.binary())], ["archive", "offset", "length", "type", "uri", "payload"])
+                    digest = hashlib.sha256(memoryview(content)[offset : offset + length]).hexdigest()
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([offset]), pa.array([length]), pa.array([kind]), pa.array([uri]), pa.array([payload], pa.binary()), pa.array([digest])], ["archive", "offset", "length", "type", "uri", "payload", "digest"])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "archive string, offset long, length long, type string, uri string, payload binary").withColumn("digest", F.sha2("payload", 256))
+    return files.mapInArrow(run, "archive string, offset long, length long, type string, uri string, payload binary, digest string")
 
 
 def _joined(column: str) -> Column:

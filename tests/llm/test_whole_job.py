@@ -1,8 +1,10 @@
 """Inputs on which an operator once did less than its whole job."""
 
+import gzip
+
 import numpy as np
 
-from notelattice.llm import html, licenses, neardup
+from notelattice.llm import html, licenses, neardup, warc
 
 
 def test_label_of_long_shuffled_chains(spark):
@@ -35,3 +37,31 @@ def test_license_bands_keep_the_bound():
         for size in range(least, longest + 1):
             held = -(-80 * size // 100)
             assert (1 - held / (2 * longest + size - held)) ** licenses.bands_for(size, longest, 80) <= licenses.MISS
+
+
+def test_warc_members_and_damage(spark, tmp_path):
+    def record(k, length=None):
+        body = f"body {k} ".encode() * 50
+        return b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: http://%d\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (k, len(body) if length is None else length, body)
+
+    members = [gzip.compress(record(k)) for k in range(5)]
+    starts = [sum(map(len, members[:k])) for k in range(5)]
+    whole = b"".join(members)
+    assert [x[:4] for x in warc.parse(whole)] == [(starts[k], len(members[k]), "response", f"http://{k}") for k in range(5)]
+    hurt = bytearray(whole)
+    hurt[starts[2] + len(members[2]) // 2] ^= 0xFF
+    got = list(warc.parse(bytes(hurt)))
+    assert [x[:2] for x in got] == [(starts[k], len(members[k])) for k in range(5)]
+    assert [x[2] for x in got] == ["response", "response", "unreadable", "response", "response"] and got[2][4] is None
+    plain = [record(0), record(1, 7), record(2).replace(b"WARC/1.0", b"WORC/1.0"), record(3)]
+    got = list(warc.parse(b"".join(plain)))
+    assert [(x[0], x[2], x[3]) for x in got] == [(0, "response", "http://0"), (len(plain[0]), "unreadable", ""), (len(b"".join(plain[:3])), "response", "http://3")]
+    assert sum(x[1] for x in got) == len(b"".join(plain))
+    assert [x[2] for x in warc.parse(whole[:-3])] == ["response"] * 4 + ["unreadable"] and list(warc.parse(b"junk")) == [(0, 4, "unreadable", "", None)]
+    digests = []
+    for k, data in enumerate((whole, bytes(hurt), b"".join(plain), b"".join(plain).replace(b"http://3", b"http://4"))):
+        (tmp_path / f"{k}").mkdir()
+        (tmp_path / f"{k}" / "a").write_bytes(data)
+        digests.append({r.offset: r.digest for r in warc.read_warc(spark, str(tmp_path / f"{k}")).collect()})
+    assert [o for o in digests[0] if digests[0][o] != digests[1][o]] == [starts[2]]
+    assert [o for o in digests[2] if digests[2][o] != digests[3][o]] == [len(b"".join(plain[:3]))]
