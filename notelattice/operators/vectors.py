@@ -78,8 +78,11 @@ def rerank(ranked: DataFrame, scores: DataFrame, key: list[str], candidates: int
     """ranked (key, pos from 1): the first `candidates` by their new score, then the others in order below the least one.
 
     The tail keeps its order with scores floor / (index + 2). Only the tail's size is unbounded, and it is not reordered.
+    A candidate without a score has 0, as in the reference's fixture provider; of several scores the highest counts.
     """
-    pool = ranked.where(F.col("pos") <= candidates).join(F.broadcast(scores.limit(candidates * 10)), key)
+    first = ranked.where(F.col("pos") <= candidates)
+    known = scores.join(F.broadcast(first.select(*key)), key, "left_semi").groupBy(*key).agg(F.max("rerank_score").alias("rerank_score"))
+    pool = first.join(F.broadcast(known), key, "left").withColumn("rerank_score", F.coalesce("rerank_score", F.lit(0.0)))
     floor = pool.agg(F.min("rerank_score").alias("floor"))
     tail = ranked.where(F.col("pos") > candidates).crossJoin(F.broadcast(floor))
     head = pool.select(*key, F.col("rerank_score").alias("score"), F.lit(0).alias("part"), "pos")

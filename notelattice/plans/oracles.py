@@ -175,6 +175,11 @@ SELECT id, round(coalesce(f, 0), 6) AS text_score, round(coalesce(v, 0), 6) AS v
 WITH v AS (SELECT * FROM (SELECT vec_id AS id, {DOT} AS v FROM embeddings e, {QUERY_VECTOR}) WHERE v >= 0.1),
 r AS (SELECT id, row_number() OVER (ORDER BY v DESC, id) AS pos FROM v ORDER BY pos LIMIT 60),
 h AS (SELECT id, pos, (pos * 7) % 20 / 20.0 AS s FROM r WHERE pos <= 20)
+SELECT id, pos, round(s, 6) AS score FROM h UNION ALL SELECT id, pos, round((SELECT min(s) FROM h) / (pos - 19), 6) FROM r WHERE pos > 20""",
+    "rerank_tail_whole": f"""
+WITH v AS (SELECT * FROM (SELECT vec_id AS id, {DOT} AS v FROM embeddings e, {QUERY_VECTOR}) WHERE v >= 0.1),
+r AS (SELECT id, row_number() OVER (ORDER BY v DESC, id) AS pos FROM v),
+h AS (SELECT id, pos, (pos * 7) % 20 / 20.0 AS s FROM r WHERE pos <= 20)
 SELECT id, pos, round(s, 6) AS score FROM h UNION ALL SELECT id, pos, round((SELECT min(s) FROM h) / (pos - 19), 6) FROM r WHERE pos > 20""",
     "resolve_links": f"""
 SELECT doc_id AS link_id, CASE doc_id % 4 WHEN 0 THEN {LINK} WHEN 1 THEN {PATH} WHEN 2 THEN {LINK} || '|label' ELSE {LINK} || '-gone' END AS to_name, CASE WHEN doc_id % 4 < 3 THEN doc_id ELSE -1 END AS to_id FROM documents""",

@@ -247,6 +247,14 @@ def rerank_tail(spark, sf_dir):
     return vectors.rerank(ranked, scores, ["id"]).select("id", F.col("pos").cast("long").alias("pos"), F.round("score", 6).alias("score"))
 
 
+@query
+def rerank_tail_whole(spark, sf_dir):
+    """rerank_tail over the whole leg, with a score for every row of it, of which rerank picks those it needs."""
+    ranked = indexing.ranked(_vector_leg(spark, sf_dir).withColumn("minus", -F.col("score")), ["minus", "id"], "pos").select("id", "pos")
+    scores = ranked.select("id", ((F.col("pos") * 7) % 20 / 20.0).alias("rerank_score"))
+    return vectors.rerank(ranked, scores, ["id"]).select("id", F.col("pos").cast("long").alias("pos"), F.round("score", 6).alias("score"))
+
+
 # -- links, graph, context
 
 
