@@ -121,6 +121,18 @@ df AS (SELECT query_id, leg, count(*) AS n FROM tf GROUP BY ALL),
 scored AS (SELECT query_id, id, leg, -(CASE WHEN ln((n_rows - n + 0.5) / (n + 0.5)) > 0 THEN ln((n_rows - n + 0.5) / (n + 0.5)) ELSE 1e-6 END) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / avg_d)) AS score FROM tf JOIN df USING (query_id, leg), s),
 best AS (SELECT query_id, id, arg_min(score, leg) AS score FROM scored GROUP BY ALL)
 SELECT query_id, count(*) AS n_found, round(sum(score), 4) AS sum_score FROM best GROUP BY ALL""",
+    "fts_query_batch_whole": f"""
+WITH tok AS (SELECT doc_id AS id, {_tokens("'Doc ' || doc_id")} AS t1, {_tokens("text")} AS t2, {_tokens(LINK)} AS t4 FROM documents),
+f AS (SELECT id, len(t1) + 2 * len(t2) + len(t4) AS d, t1, t2 FROM tok),
+s AS (SELECT count(*) AS n_rows, avg(d) AS avg_d FROM f),
+asked AS (SELECT DISTINCT item_id, unnest({_tokens("text")}) AS term FROM benchmark),
+words AS (SELECT id, d, 0 AS leg, unnest(t1) AS term FROM f UNION ALL SELECT id, d, 1, unnest(t2) FROM f),
+tf AS (SELECT term, leg, id, d, count(*) AS f FROM words WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+df AS (SELECT term, leg, count(*) AS n FROM tf GROUP BY ALL),
+scored AS (SELECT term, id, leg, -(CASE WHEN ln((n_rows - n + 0.5) / (n + 0.5)) > 0 THEN ln((n_rows - n + 0.5) / (n + 0.5)) ELSE 1e-6 END) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / avg_d)) AS score FROM tf JOIN df USING (term, leg), s),
+best AS (SELECT term, id, arg_min(score, leg) AS score FROM scored GROUP BY ALL),
+sums AS (SELECT term, count(*) AS n_found, round(sum(score), 4) AS sum_score FROM best GROUP BY ALL)
+SELECT item_id, term, n_found, sum_score FROM asked JOIN sums USING (term)""",
     "posting_counts": f"""
 WITH w AS (SELECT doc_id, unnest(list_concat(list_concat({_tokens("'Doc ' || doc_id")}, {_tokens("text")}), list_concat({_tokens("text")}, {_tokens(LINK)}))) AS term FROM documents)
 SELECT term, count(*) AS n, count(DISTINCT doc_id) AS n_rows FROM w GROUP BY term""",

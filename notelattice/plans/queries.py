@@ -73,6 +73,15 @@ def fts_query_batch(spark, sf_dir):
     return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_found"), F.round(F.sum("score"), 4).alias("sum_score"))
 
 
+@query
+def fts_query_batch_whole(spark, sf_dir):
+    """Every distinct token of every benchmark item; a token of many items is looked up once."""
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.explode(T.tokens(F.col("text"))).alias("term")).distinct()
+    found = fulltext.batch_terms(fulltext.tokenized(corpus.index(spark, sf_dir)), asked.select(F.col("term").alias("query_id"), "term").distinct())
+    sums = found.groupBy(F.col("query_id").alias("term")).agg(F.count(F.lit(1)).alias("n_found"), F.round(F.sum("score"), 4).alias("sum_score"))
+    return asked.join(sums, "term").select("item_id", "term", "n_found", "sum_score")
+
+
 @query
 def posting_counts(spark, sf_dir):
     return fulltext.postings(fulltext.tokenized(corpus.index(spark, sf_dir))).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_rows"))

@@ -1,6 +1,7 @@
 """Inputs on which an operator of the engine once did less than its whole job."""
 
 from notelattice.operators import vectors
+from notelattice.plans.queries import QUERIES
 
 
 def test_rerank_with_many_scores(spark):
@@ -8,3 +9,9 @@ def test_rerank_with_many_scores(spark):
     scores = spark.range(5000, 0, -1, 1).where("id <> 3").selectExpr("id", "0.5 + id / 10000.0 as rerank_score")
     got = {r.id: (r.pos, round(r.score, 6)) for r in vectors.rerank(ranked, scores, ["id"]).collect()}
     assert len(got) == 40 and got[3] == (3, 0.0) and got[20] == (20, 0.502) and got[21] == (21, 0.0)
+
+
+def test_batch_asks_all_items(spark, sf_dir):
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("text <> ''").count()
+    got = QUERIES["fts_query_batch_whole"](spark, sf_dir)
+    assert got.select("item_id").distinct().count() == items and got.count() > items
