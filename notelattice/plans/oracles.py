@@ -157,6 +157,8 @@ SELECT c_custkey, array_to_string(list_sort(list_distinct(list_concat([s, lower(
     "observation_permalinks": f"""
 WITH t AS (SELECT conv_id, turn, role, substr(text, 1, 300) AS s FROM conversations)
 SELECT conv_id, turn, {_permalink("'conv-' || conv_id || '/observations/' || role || '/' || CASE WHEN length(s) > 200 THEN substr(s, 1, 200) || '-' || substr(sha256(s), 1, 12) ELSE s END")} AS permalink FROM t""",
+    "observation_permalinks_whole": f"""
+SELECT conv_id, turn, {_permalink("'conv-' || conv_id || '/observations/' || role || '/' || CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '-' || substr(sha256(text), 1, 12) ELSE text END")} AS permalink FROM conversations""",
     "relation_titles": f"""
 SELECT c_custkey, CASE WHEN n_name IS NULL THEN c_name ELSE c_name || ' -> ' || n_name END AS title, {_permalink("lower(c_name) || '/lives in/' || coalesce(lower(n_name), 'nowhere')")} AS permalink
 FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey < 20""",

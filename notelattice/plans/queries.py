@@ -170,6 +170,13 @@ def observation_permalinks(spark, sf_dir):
     return turns.select("conv_id", "turn", T.observation_permalink(F.concat(F.lit("conv-"), F.col("conv_id")), F.col("role"), F.substring("text", 1, 300)).alias("permalink"))
 
 
+@query
+def observation_permalinks_whole(spark, sf_dir):
+    """observation_permalinks of the whole texts, so that the digest tells long ones apart."""
+    turns = table(spark, sf_dir, "conversations")
+    return turns.select("conv_id", "turn", T.observation_permalink(F.concat(F.lit("conv-"), F.col("conv_id")), F.col("role"), F.col("text")).alias("permalink"))
+
+
 @query
 def relation_titles(spark, sf_dir):
     c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation").where("n_nationkey < 20")
