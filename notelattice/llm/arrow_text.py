@@ -7,6 +7,7 @@ so that working arrays stay small whatever the batch size. Words are maximal run
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,16 @@ IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+
+
+def release() -> None:
+    """Gives what a task has freed back to the system: Python workers are reused, and would keep each stage's peak."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 
