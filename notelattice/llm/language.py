@@ -3,10 +3,13 @@
 Features are the n-grams of 1 to 3 characters of the lower-cased words, each word between two spaces, hashed to 2**bits
 buckets. Training counts buckets by language in one pass over every training row (Arrow batches, partial sums, one
 shuffle of languages x buckets rows at most). The matrix of log probabilities has languages x buckets entries, a size
-bounded by `max_languages` (checked), and is broadcast. Scoring looks rows of the matrix up and sums them by text.
+bounded by `max_languages`, and is broadcast: if the labels hold more languages, those with the most training rows are
+learned. Scoring looks rows of the matrix up and sums them by text.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0. With no training rows every text is `und`.
-Rows without a language are not learned from. Ties go to the language that sorts first. Repeated rows count repeatedly.
+Rows without a language or text are not learned from. Ties go to the language that sorts first. Repeated rows count
+repeatedly and are predicted alike; texts of any length are taken whole; an empty table gives an empty result. Columns
+named like those added are replaced, all others pass through.
 `score` is the posterior probability of the predicted language, tempered by the square root of the number of n-grams
 (n-grams overlap, so their evidence is not independent).
 """
@@ -21,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import row_sums
+from .arrow_text import release, row_sums
+from .storage import fresh, materialize
 
 ADDED = {"lang_pred": "string", "score": "double"}
 PIECE = 1 << 16  # characters handled at once
+PLANES = 0x40000  # no code point from here on is a letter
 
 
 @dataclass(frozen=True)
@@ -39,10 +44,10 @@ _TABLES: list[np.ndarray] = []
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """For each code point of the first three planes: is it a letter, and its lower-case form (one character)."""
+    """For each code point below PLANES: is it a letter, and its lower-case form (one character). The last stands for all beyond."""
     if not _TABLES:
-        letter, lower = np.zeros(0x30000, bool), np.arange(0x30000, dtype=np.uint32)
-        for i in range(0x30000):
+        letter, lower = np.zeros(PLANES, bool), np.arange(PLANES, dtype=np.uint32)
+        for i in range(PLANES):
             c = chr(i)
             letter[i] = c.isalpha()
             low = c.lower()
@@ -57,7 +62,7 @@ def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     letter, lower = _tables()
     joined = " " + " ".join(texts) + " "
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    small = np.minimum(points, 0x2FFFF)
+    small = np.minimum(points, PLANES - 1)
     return np.where(letter[small], lower[small], np.uint32(32)), np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
 
 
@@ -99,8 +104,8 @@ def _pieces(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
         yield start, len(texts), texts[start:]
 
 
-def fit(rows: DataFrame, bits: int = 15, alpha: float = 0.5, max_languages: int = 256) -> LanguageModel:
-    """A model from every row of rows (text, lang); rows without text or lang are not learned from."""
+def fit(rows: DataFrame, bits: int = 15, alpha: float = 0.5, max_languages: int = 512) -> LanguageModel:
+    """A model from every row of rows (text, lang); max_languages bounds the matrix: 2**bits numbers of 4 bytes for each."""
     size = 1 << bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,12 +125,13 @@ def fit(rows: DataFrame, bits: int = 15, alpha: float = 0.5, max_languages: int
         for name, total in sorted(sums.items()):
             found = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([name] * (len(found) + 1)), pa.array(np.append(found, -1).astype(np.int32)), pa.array(np.append(total[found], seen[name]))], ["lang", "bucket", "n"])
+        release()
 
     usable = rows.where("text is not null and lang is not null").select("text", "lang")
     counts = usable.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    got = counts.groupBy("lang").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("n")).orderBy("lang").limit(max_languages + 1).collect()
-    if len(got) > max_languages:
-        raise ValueError(f"more than {max_languages} languages; raise max_languages if the matrix may grow")
+    counts = materialize(counts, "language-counts")
+    learned = counts.where("bucket = -1").orderBy(F.desc("n"), "lang").limit(max_languages).select("lang")
+    got = counts.join(F.broadcast(learned), "lang", "left_semi").groupBy("lang").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("n")).orderBy("lang").collect()
     log_prob, prior = np.zeros((size, max(1, len(got)))), np.zeros(max(1, len(got)))
     for k, r in enumerate(got):
         column = np.zeros(size + 1)
@@ -153,21 +159,21 @@ def predict_texts(texts: list[str], model: LanguageModel) -> tuple[list[str], np
 
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score; columns of those names are replaced, all others pass through."""
+    """docs with lang_pred and score; the text alone goes to Python, and these two alone come back."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop(*ADDED)
-    at = docs.columns.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
-        for batch in batches:
-            for start, stop, texts in _pieces(batch.column(at)):
-                if model.languages:
-                    names, top = predict_texts(texts, model)
-                else:
-                    names, top = ["und"] * len(texts), np.zeros(len(texts))
-                part = batch.slice(start, stop - start)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(top)], [*batch.schema.names, *ADDED])
-
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), *(f"{c} {t}" for c, t in ADDED.items())])
-    return docs.mapInArrow(run, fields)
+        for texts in batches:
+            names, top = [], [np.zeros(0)]
+            for _, _, part in _pieces(texts):
+                got, scores = predict_texts(part, model) if model.languages else (["und"] * len(part), np.zeros(len(part)))
+                names += got
+                top.append(scores)
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(top))], ["lang_pred", "score"])
+        release()
+
+    verdict = fresh(docs, "verdict")
+    judged = docs.withColumn(verdict, judge.asNondeterministic()(F.col(text)))  # not to be computed twice
+    return judged.select(*[c for c in docs.columns if c == text or c not in ADDED], *[F.col(f"{verdict}.{c}").alias(c) for c in ADDED if c != text])

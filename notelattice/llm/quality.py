@@ -1,17 +1,22 @@
 """Quality rules: a calibrated logistic regression on hashed word and character n-grams, after fixed base rules.
 
-Features of a text are the words, the pairs of neighbouring words and the byte n-grams of 1 to 4 bytes, hashed to 2**bits
-buckets; a bucket's value is its share of the text's features of that kind, so a text's length does not matter. The
-model is fitted on a bounded, documented sample of labelled rows (`max_labelled`, lowest keyed hash of doc_id first) and
-calibrated on a fifth of them that the weights have not seen. Scoring is one pass over Arrow batches.
+Features of a text are the words, the pairs of neighbouring words and the n-grams of 1 to 4 characters (code points),
+hashed to 2**bits buckets; a bucket's value is the sum over kinds of its share of the text's features of that kind, so a
+text's length does not matter. The model is fitted on a bounded, documented sample of labelled rows: in the order of a
+keyed hash of doc_id, at most `max_labelled` rows, and of those as many as have `max_values` values together. It is
+calibrated on a fifth of them that the weights have not seen. Scoring is one pass over Arrow batches, in which the text
+alone goes to Python and the verdict alone comes back.
 
 Defined cases: a null or empty text, or one without words, has zero counts, fails the base rules and is not kept. With no
-usable labels (none, or one class only) every text that passes the base rules is kept with probability 1. Repeated rows
-are scored alike. Columns that clash with those added are replaced; all other columns pass through `score`.
+usable labels (none, or one class only) every text that passes the base rules is kept with probability 1; labels without
+doc_id or quality are not learned from, several labels of one doc_id count as the greatest. Texts of any length are taken
+whole. Repeated rows are scored alike, ties at the threshold are kept. Columns that clash with those added are replaced;
+all other columns pass through `score`. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linear
-from .arrow_text import U64, Chunk, IS_WORD, chunks, mix, repeated_in_row, row_sums, span_hashes, word_hashes, BYTE_VALUE
+from .arrow_text import BYTE_VALUE, IS_WORD, U64, Chunk, chunks, mix, release, repeated_in_row, row_sums, span_hashes, word_hashes
+from .storage import fresh
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -79,6 +85,22 @@ def base_counts(chunk: Chunk) -> dict[str, np.ndarray]:
     return out
 
 
+def characters(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each character, its UTF-8 bytes one after another, and the offsets of the rows' characters."""
+    data = chunk.data
+    follows = (data & 0xC0) == 0x80
+    if not follows.any():
+        return data.astype(U64), chunk.off
+    at = np.flatnonzero(~follows)
+    codes = data[at].astype(U64)
+    long = np.arange(len(at))
+    for k in range(1, 4):
+        long = long[at[long] + k < len(data)]
+        long = long[follows[at[long] + k]]
+        codes[long] = codes[long] << U64(8) | data[at[long] + k].astype(U64)
+    return codes, np.searchsorted(at, chunk.off)
+
+
 def hashed_features(chunk: Chunk, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each kind of n-gram: the buckets, and their offsets by row."""
     shift = U64(64 - bits)
@@ -90,16 +112,18 @@ def hashed_features(chunk: Chunk, bits: int) -> list[tuple[np.ndarray, np.ndarra
     inside[(word_off[1:-1] - 1)[(word_off[1:-1] > 0) & (word_off[1:-1] < len(words))]] = False
     pair_off = np.searchsorted(np.flatnonzero(inside), word_off)
     out.append(((pairs[inside] >> shift).astype(np.int32), pair_off))
-    code = np.zeros(len(chunk.data), np.uint32)
-    for n in range(1, 5):  # byte n-grams: a code of n bytes, scattered by a multiplication
-        m = len(chunk.data) - n + 1
+    codes, char_off = characters(chunk)
+    rolled = np.zeros(len(codes), U64)
+    for n in range(1, 5):
+        m = len(codes) - n + 1
         if m < 1:
             out.append((np.zeros(0, np.int32), np.zeros(len(chunk.off), np.int64)))
             continue
-        code = (code[:m] << np.uint32(8)) | chunk.data[n - 1 :]
-        buckets = ((code ^ np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits)
+        rolled = rolled[:m] * U64(0xD6E8FEB86659FD93) + codes[n - 1 :]
+        buckets = ((rolled + U64(n)) * U64(0x9E3779B97F4A7C15)) >> shift
         # n-grams over a row's end belong to no row: offsets end before them
-        out.append((buckets.astype(np.int32), np.stack([np.minimum(chunk.off[:-1], m), np.clip(chunk.off[1:] - n + 1, np.minimum(chunk.off[:-1], m), m)])))
+        begin = np.minimum(char_off[:-1], m)
+        out.append((buckets.astype(np.int32), np.stack([begin, np.clip(char_off[1:] - n + 1, begin, m)])))
     assert len(out) == KINDS and len(counts) == len(chunk)
     return out
 
@@ -116,6 +140,7 @@ def margins(chunk: Chunk, model: QualityModel) -> np.ndarray:
 
 
 def _sparse(chunk: Chunk, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets and values of each row, at most 2**bits of them."""
     kinds = hashed_features(chunk, bits)
     for i in range(len(chunk)):
         index, value = [], []
@@ -124,83 +149,96 @@ def _sparse(chunk: Chunk, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             found, count = np.unique(buckets[begin:end], return_counts=True)
             index.append(found)
             value.append(count / max(1, end - begin))
-        yield np.concatenate(index), np.concatenate(value)
+        found, place = np.unique(np.concatenate(index), return_inverse=True)
+        yield found, np.bincount(place, weights=np.concatenate(value), minlength=len(found))
+
+
+class _Bounded:
+    """The rows with the lowest keys, as many as have `most` values together; whatever the order of arrival, the same ones."""
 
+    def __init__(self, most: int):
+        self.most, self.total, self.rows, self.end = most, 0, [], None
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, bits: int = 16, threshold: float = 0.5, seed: int = 17) -> QualityModel:
-    """A model from the labels (doc_id, quality). max_labelled bounds what one task holds: a row is about 1500 numbers."""
+    def add(self, key: tuple, row: tuple, n: int) -> None:
+        if self.end is not None and key >= self.end:
+            return
+        bisect.insort(self.rows, (key, n, row))
+        self.total += n
+        while self.total > self.most and len(self.rows) > 1:
+            self.end, out, _ = self.rows.pop()
+            self.total -= out
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, max_values: int = 1 << 24, bits: int = 16, threshold: float = 0.5, seed: int = 17) -> QualityModel:
+    """A model from the labels (doc_id, quality). One task holds at most max_values values of 8 bytes, or one row."""
     key = F.xxhash64(F.lit(seed), F.col("doc_id"))
     sample = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(key, "doc_id").limit(max_labelled)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("quality"), F.pmod(key, F.lit(5)).cast("int").alias("fold"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(key.alias("key"), "text", (F.col("quality") > 0).alias("good"), (F.pmod(key, F.lit(5)) == 0).alias("held"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch.column(1)):
                 part = batch.slice(chunk.start, len(chunk))
                 pairs = list(_sparse(chunk, bits))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array([i.astype(np.int32).tobytes() for i, _ in pairs], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in pairs], pa.binary())], ["doc_id", "quality", "fold", "index", "value"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array([i.astype(np.int32).tobytes() for i, _ in pairs], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in pairs], pa.binary())], ["key", "good", "held", "index", "value"])
+        release()
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), FEATURES)
-        model = _fit_rows(table, bits, threshold)
+        kept = _Bounded(max_values)
+        for batch in batches:
+            for key, good, held, index, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                kept.add((key, zlib.crc32(index), zlib.crc32(value)), (good, held, index, value), len(index) // 4)
+        model = fit_rows([row for _, _, row in kept.rows], bits, threshold)
         weights = None if model.weights is None else model.weights.tobytes()
         yield pa.RecordBatch.from_arrays([pa.array([weights], pa.binary()), pa.array([model.bias]), pa.array([model.slope]), pa.array([model.offset])], ["weights", "bias", "slope", "offset"])
+        del kept, model
+        release()
 
     # the sample is bounded, so one task fits the model; the driver gets the weights alone
-    got = rows.mapInArrow(features, "doc_id long, quality int, fold int, index binary, value binary").repartition(1).mapInArrow(train, "weights binary, bias double, slope double, offset double").collect()
+    got = rows.mapInArrow(features, "key long, good boolean, held boolean, index binary, value binary").repartition(1).mapInArrow(train, "weights binary, bias double, slope double, offset double").collect()
     if not got or got[0].weights is None:
         return QualityModel(None, 0.0, 1.0, 0.0, bits, threshold)
     return QualityModel(np.frombuffer(bytes(got[0].weights)), got[0].bias, got[0].slope, got[0].offset, bits, threshold)
 
 
-FEATURES = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("fold", pa.int32()), ("index", pa.binary()), ("value", pa.binary())])
-
-
-def _fit_rows(table: pa.Table, bits: int, threshold: float) -> QualityModel:
-    """The model of featurised labelled rows (FEATURES)."""
-    label = (table["quality"].to_numpy() > 0).astype(float)
-    if len(set(label)) < 2:
+def fit_rows(rows: list[tuple[bool, bool, bytes, bytes]], bits: int, threshold: float) -> QualityModel:
+    """The model of labelled rows: is it good, is it held back for calibrating, buckets (int32) and values (float32)."""
+    if len({r[0] for r in rows}) < 2:
         return QualityModel(None, 0.0, 1.0, 0.0, bits, threshold)
-    held = table["fold"].to_numpy() == 0
-    if len(set(label[held])) < 2 or len(set(label[~held])) < 2:
-        held = np.zeros(len(label), bool)
-    buckets, values = table["index"].to_pylist(), table["value"].to_pylist()
-    order = np.lexsort(([hash_of(x) for x in buckets], table["doc_id"].to_numpy(), held))  # the rows held back for calibrating come last
-    label, n_fit = label[order], int((~held).sum())
-    off = np.concatenate([[0], np.cumsum([len(buckets[i]) // 4 for i in order])])
-    index = np.frombuffer(b"".join(buckets[i] for i in order), np.int32)
-    value = np.frombuffer(b"".join(values[i] for i in order), np.float32)
+    split = all(len({r[0] for r in rows if r[1] == side}) == 2 for side in (False, True))
+    rows = sorted(rows, key=lambda r: r[1]) if split else rows  # the rows held back come last
+    n_fit = sum(not r[1] for r in rows) if split else len(rows)
+    label = np.array([float(r[0]) for r in rows])
+    off = np.concatenate([[0], np.cumsum([len(r[2]) // 4 for r in rows])])
+    index, value = np.frombuffer(b"".join(r[2] for r in rows), np.int32), np.frombuffer(b"".join(r[3] for r in rows), np.float32)
     weights, bias = linear.fit(index, value, off[: n_fit + 1], label[:n_fit], 1 << bits, l2=1e-6, steps=80)
-    fresh = slice(n_fit, None) if n_fit < len(label) else slice(0, None)
-    at = off[n_fit:] if n_fit < len(label) else off
-    i, x = index[at[0] : at[-1]], value[at[0] : at[-1]]
-    slope, offset = linear.calibrate(row_sums(weights[i] * x, at - at[0]) + bias, label[fresh])
+    first = n_fit if split else 0
+    at = off[first:]
+    slope, offset = linear.calibrate(row_sums(weights[index[at[0] :]] * value[at[0] :], at - at[0]) + bias, label[first:])
     return QualityModel(weights, bias, slope, offset, bits, threshold)
 
 
-def hash_of(data: bytes) -> int:
-    """A stable order for rows that share a doc_id."""
-    return zlib.crc32(data)
-
-
 def score(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame:
     """docs with the base counts, base_failed, quality (the calibrated probability) and kept."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop(*[c for c in ADDED if c != text])
-    at = docs.columns.index(text)
+    kind = pa.struct([(c, {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}[t]) for c, t in ADDED.items()])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("struct<" + ", ".join(f"{c}: {t}" for c, t in ADDED.items()) + ">")
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
-        for batch in batches:
-            for chunk in chunks(batch.column(at)):
-                part = batch.slice(chunk.start, len(chunk))
+        for texts in batches:
+            parts = []
+            for chunk in chunks(texts):
                 out = base_counts(chunk)
                 if model.weights is None:
                     out["quality"] = np.ones(len(chunk))
                 else:
                     out["quality"] = linear.sigmoid(model.slope * margins(chunk, model) + model.offset)
                 out["kept"] = ~out["base_failed"] & (out["quality"] >= model.threshold)
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(out[c]) for c in ADDED)], [*batch.schema.names, *ADDED])
+                parts.append(pa.StructArray.from_arrays([pa.array(out[c]).cast(f.type) for c, f in zip(ADDED, kind, strict=True)], fields=list(kind)))
+            yield pa.concat_arrays(parts) if parts else pa.array([], kind)
+        release()
 
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), *(f"{c} {t}" for c, t in ADDED.items())])
-    return docs.mapInArrow(run, fields)
+    verdict = fresh(docs, "verdict")
+    judged = docs.withColumn(verdict, judge.asNondeterministic()(F.col(text)))  # not to be computed twice
+    return judged.select(*[c for c in docs.columns if c == text or c not in ADDED], *[F.col(f"{verdict}.{c}").alias(c) for c in ADDED if c != text])
