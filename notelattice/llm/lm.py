@@ -1,9 +1,11 @@
 """Language-model scoring: a log-bilinear model trained in numpy by noise-contrastive estimation.
 
 Tokens of a text are its words (A-Z folded) and one end. Their counts over all training texts are a distributed table
-(partial sums by task, one shuffle). The model's vocabulary is the `head` most frequent tokens, the end, and one class for
-every other word; within that class a word has its smoothed share of the class's tokens, so a text's probability is
-normalised over all words and one slot for unseen ones.
+(partial sums by task, one shuffle). The probability of a word is factored by classes: the `head` most frequent words and
+the end are classes of their own; every other word, seen in training or not, belongs to one of `kinds` classes by the hash
+of its last three bytes (so endings, and languages, fall together), and has within it its smoothed share of the class's
+training tokens. So every word of the corpus is modelled, as target and as context, however large the corpus is, and a
+text's probability is normalised over all words and one slot of unseen ones in each class.
 
 For a position with the two preceding tokens u, v the score of w is
     s(w | u, v) = q_w . (near * r_v + far * r_u) + b_w
@@ -12,13 +14,18 @@ normalisers of all contexts are one matrix product, and scoring is table look-up
 
 Training is data-parallel: in each of `rounds` passes every task starts from the same parameters, runs minibatch NCE
 (shared noise words drawn from the unigram counts, Adagrad) over all its training rows, and the parameters are averaged
-with the number of tokens as weight. No training text is left out.
+with the number of tokens as weight, FAN_IN tasks' at a time in a tree, so that no task and not the driver holds many. No
+training text is left out.
 
-Looking counts up: the `dictionary` most frequent words are broadcast (a fixed bound); all others are joined by a shuffle
-on the word's hash, which has no hot key because the frequent words are gone. Words are told apart by 64-bit hashes.
+Looking counts up: at most `dictionary` words, those above a count that a histogram of counts gives, are broadcast (a
+fixed bound); all others are joined by a shuffle on the word's hash. A rare or unseen word that very many texts share makes
+one row for each of them there; both sides are plain exchanges, so adaptive execution splits such a key. Words are told
+apart by 64-bit hashes.
 
 Defined cases: a null or empty text is one end token. With no training rows N = V = 0, every word is unknown and the
-model gives the end and the unseen slot equal shares. Repeated rows and doc_ids are scored row by row.
+model gives every class an equal share. Texts of any length are scored whole. Repeated rows and doc_ids are scored row by
+row, ties in counts fall on one side of the dictionary together. An empty table gives an empty result. Of extra columns only those
+in `keep` are returned; they may have any names but those of the scores.
 """
 
 from __future__ import annotations
@@ -31,20 +38,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import chunks, row_sums, word_hashes
+from .arrow_text import BYTE_VALUE, LOWER, U64, Chunk, chunks, mix, release, row_sums, span_hashes
 from .storage import materialize
 
 LN10 = np.log(10.0)
 
 
+END, BEGIN, FIRST = 0, 1, 2  # model ids: the end, what is before the text (context only), the classes by ending; then the head
+FAN_IN = 32
+
+
 @dataclass
 class Vocabulary:
-    """Ids: 0 other words, 1 end, 2 before the text (context only), then the head. hashes are sorted; counts go with them."""
+    """hashes are sorted; counts, kinds and ids go with them."""
 
     hashes: np.ndarray  # of the dictionary, sorted
     counts: np.ndarray
     ids: np.ndarray  # model id of each dictionary word
-    head_counts: np.ndarray  # by model id
+    totals: np.ndarray  # training tokens by model id
+    sizes: np.ndarray  # by class: its training tokens, its distinct words and one unseen
     n: int  # training tokens
     v: int  # distinct training tokens
     ends: int
@@ -75,54 +87,82 @@ class Vocabulary:
         return out
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """word (64-bit hash as long) and c, its count over all rows of docs (text)."""
+def word_kinds(chunk: Chunk, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words (A-Z folded), the class of each by its last three bytes, and the offsets of each row's words."""
+    starts, ends, off = chunk.words()
+    data = LOWER[chunk.data]
+    ending = np.zeros(len(starts), U64)
+    for k in range(1, 4):
+        at = ends - k
+        ending = ending * U64(256) + np.where(at >= starts, data[np.maximum(at, 0)], 0).astype(U64)
+    return span_hashes(BYTE_VALUE[data], starts, ends), (mix(ending + U64(0xE0D)) % U64(kinds)).astype(np.int32), off
+
+
+KINDS = 1024
+
+
+def count_words(docs: DataFrame, kinds: int = KINDS) -> DataFrame:
+    """word (64-bit hash as long), kind (its class) and c, its count over all rows of docs (text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch.column(0), 1 << 22):
-                found, n = np.unique(word_hashes(chunk, lower=True)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "c"])
-
-    return docs.select("text").mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
-
-
-def vocabulary(counts: DataFrame, n_texts: int, head: int = 2048, dictionary: int = 1 << 18) -> Vocabulary:
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    got = counts.orderBy(F.desc("c"), "word").limit(dictionary).toPandas()
-    words, c = got["word"].to_numpy(np.int64).view(np.uint64), got["c"].to_numpy(np.int64)
-    n_head = min(head - 3, len(words))
-    ids = np.zeros(len(words), np.int32)
-    ids[:n_head] = np.arange(3, 3 + n_head)
-    head_counts = np.zeros(3 + n_head, np.int64)
-    head_counts[3:] = c[:n_head]
-    head_counts[0] = int(total.n) - int(c[:n_head].sum())
-    head_counts[1] = n_texts
+                words, kind, _ = word_kinds(chunk, kinds)
+                found, first, n = np.unique(words, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(kind[first]), pa.array(n.astype(np.int64))], ["word", "kind", "c"])
+        release()
+
+    return docs.select("text").mapInArrow(run, "word long, kind int, c long").groupBy("word", "kind").agg(F.sum("c").alias("c"))
+
+
+def vocabulary(counts: DataFrame, n_texts: int, head: int = 2048, dictionary: int = 1 << 18, kinds: int = KINDS) -> Vocabulary:
+    """From the table of counts the driver gets a histogram, sums by class, and at most `dictionary` words."""
+    steps = counts.groupBy(F.floor(F.log2("c") * 16).alias("step")).agg(F.count(F.lit(1)).alias("words")).collect()  # 16 steps to a doubling
+    room, least = dictionary, None
+    for r in sorted(steps, reverse=True):
+        room -= r.words
+        if room < 0:
+            break
+        least = r.step
+    got = counts.where(F.floor(F.log2("c") * 16) >= least).toPandas() if least is not None else counts.limit(0).toPandas()
+    got = got.sort_values(["c", "word"], ascending=[False, True])
+    words, c, kind = got["word"].to_numpy(np.int64).view(U64), got["c"].to_numpy(np.int64), got["kind"].to_numpy(np.int64)
+    total, distinct = np.zeros(kinds, np.int64), np.zeros(kinds, np.int64)
+    for r in counts.groupBy("kind").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():
+        total[r.kind], distinct[r.kind] = r.c, r.v
+    n, v = int(total.sum()), int(distinct.sum())
+    n_head = min(head, len(words))
+    np.subtract.at(total, kind[:n_head], c[:n_head])
+    np.subtract.at(distinct, kind[:n_head], 1)
+    ids = (FIRST + kind).astype(np.int32)
+    ids[:n_head] = FIRST + kinds + np.arange(n_head)
     order = np.argsort(words)
-    return Vocabulary(words[order], c[order], ids[order], head_counts, int(total.n) + n_texts, int(total.v) + bool(n_texts), n_texts)
+    return Vocabulary(words[order], c[order], ids[order], np.concatenate([[n_texts, 0], total, c[:n_head]]), total + distinct + 1, n + n_texts, v + bool(n_texts), n_texts)
 
 
 def start(vocab: Vocabulary, width: int, seed: int) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
-    size = len(vocab.head_counts)
-    unigram = (vocab.head_counts + 1.0) / (vocab.head_counts + 1.0).sum()
+    size = len(vocab.totals)
+    unigram = (vocab.totals + 1.0) / (vocab.totals + 1.0).sum()
     return {"r": rng.normal(0, 0.1, (size, width)).astype(np.float32), "q": rng.normal(0, 0.1, (size, width)).astype(np.float32), "near": np.ones(width, np.float32), "far": np.full(width, 0.5, np.float32), "b": np.log(unigram).astype(np.float32)}
 
 
-def sequences(words: np.ndarray, off: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def sequences(words: np.ndarray, kind: np.ndarray, off: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Model ids with an end after each row, the ids one and two before, row offsets, and the words' dictionary places."""
     place = vocab.find(words)
-    ids = np.where(place >= 0, vocab.ids[np.maximum(place, 0)], 0) if len(vocab.ids) else np.zeros(len(words), np.int32)
+    ids = kind + FIRST
+    known = np.flatnonzero(place >= 0)
+    ids[known] = vocab.ids[place[known]]
     n = len(off) - 1
-    seq = np.insert(ids, off[1:], 1)
+    seq = np.insert(ids, off[1:], END)
     ends = off[1:] + np.arange(n)
     seq_off = np.concatenate([[0], ends + 1])
     one, two = np.empty_like(seq), np.empty_like(seq)
     one[1:], two[2:] = seq[:-1], seq[:-2]
-    one[seq_off[:-1]] = 2
-    two[seq_off[:-1]] = 2
+    one[seq_off[:-1]] = BEGIN
+    two[seq_off[:-1]] = BEGIN
     second = seq_off[:-1] + 1
-    two[second[second < seq_off[1:]]] = 2
+    two[second[second < seq_off[1:]]] = BEGIN
     return seq, one, two, seq_off, place
 
 
@@ -132,7 +172,7 @@ class Nce:
     def __init__(self, params: dict[str, np.ndarray], vocab: Vocabulary, noise: int, rate: float, seed: int):
         self.p = {k: v.copy() for k, v in params.items()}
         self.g = {k: np.full_like(v, 1e-8) for k, v in params.items()}
-        weight = (vocab.head_counts + 1.0) / (vocab.head_counts + 1.0).sum()
+        weight = (vocab.totals + 1.0) / (vocab.totals + 1.0).sum()
         self.log_noise = (np.log(weight) + np.log(noise)).astype(np.float32)
         self.cumulative, self.noise, self.rate, self.rng = np.cumsum(weight), noise, rate, np.random.default_rng(seed)
         self.size = len(weight)
@@ -163,9 +203,26 @@ class Nce:
             p[k] -= self.rate * g / np.sqrt(self.g[k])
 
 
+def _add(rows: DataFrame, n: int) -> DataFrame:
+    """The sums of the vectors in rows (x binary, of doubles) by n tasks; a task holds one vector, and reads FAN_IN or so."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for x in batch.column(0):
+                got = np.frombuffer(x.as_buffer(), np.float64)
+                total = got.copy() if total is None else total + got
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["x"])
+
+    return rows.repartition(n).mapInArrow(run, "x binary")
+
+
 def train(docs: DataFrame, vocab: Vocabulary, width: int = 16, noise: int = 32, batch_size: int = 1024, rate: float = 0.03, rounds: int = 1, seed: int = 5) -> dict[str, np.ndarray]:
     params = start(vocab, width, seed)
     names, spark = list(params), docs.sparkSession
+    kinds = len(vocab.sizes)
+    texts = docs.select("text")
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast((params, vocab))
 
@@ -174,21 +231,27 @@ def train(docs: DataFrame, vocab: Vocabulary, width: int = 16, noise: int = 32,
             model, tokens = Nce(params, vocab, noise, rate, seed + turn), 0
             for batch in batches:
                 for chunk in chunks(batch.column(0)):
-                    w, one, two, _, _ = sequences(*word_hashes(chunk, lower=True), vocab)
+                    w, one, two, _, _ = sequences(*word_kinds(chunk, kinds), vocab)
                     for i in range(0, len(w), batch_size):
                         model.step(w[i : i + batch_size], one[i : i + batch_size], two[i : i + batch_size])
                     tokens += len(w)
             if tokens:
-                flat = np.concatenate([model.p[k].ravel() for k in names]).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1, dtype=np.int32)), pa.array(np.append(flat * tokens, tokens))], ["i", "x"])
-
-        got = docs.select("text").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas().sort_values("i")["x"].to_numpy()
-        if len(got):
-            flat, at = got[:-1] / got[-1], 0
+                flat = np.concatenate([model.p[k].ravel() for k in names]).astype(np.float64) * tokens
+                yield pa.RecordBatch.from_arrays([pa.array([np.append(flat, tokens).tobytes()], pa.binary())], ["x"])
+            release()
+
+        sums, n = texts.mapInArrow(run, "x binary"), texts.rdd.getNumPartitions()
+        while n > 1:
+            n = -(-n // FAN_IN)
+            sums = _add(sums, n)
+        got = [np.frombuffer(bytes(r.x)) for r in sums.collect()]
+        if got:
+            total = np.sum(got, axis=0)
+            flat, at = total[:-1] / total[-1], 0
             for k in names:
-                n = params[k].size
-                params[k] = flat[at : at + n].reshape(params[k].shape).astype(np.float32)
-                at += n
+                size = params[k].size
+                params[k] = flat[at : at + size].reshape(params[k].shape).astype(np.float32)
+                at += size
     return params
 
 
@@ -197,10 +260,15 @@ def tables(params: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nd
     near = (params["r"] * params["near"]) @ params["q"].T
     far = (params["r"] * params["far"]) @ params["q"].T
     bias = params["b"].copy()
-    bias[2] = -np.inf  # never predicted
-    top_near, top_far = (near + bias).max(axis=1, keepdims=True), far.max(axis=1, keepdims=True)
-    z = np.exp(far - top_far) @ np.exp(near + bias - top_near).T
-    return near, far, bias, (np.log(z) + top_far + top_near.T).astype(np.float32)
+    bias[BEGIN] = -np.inf  # never predicted
+    one = near + bias
+    top_near, top_far = one.max(axis=1, keepdims=True), far.max(axis=1, keepdims=True)
+    np.exp(np.subtract(one, top_near, out=one), out=one)
+    log_z = np.empty_like(far)
+    for i in range(0, len(far), 256):
+        block = slice(i, i + 256)
+        log_z[block] = np.log(np.exp(far[block] - top_far[block]) @ one.T) + top_far[block] + top_near.T
+    return near, far, bias, log_z
 
 
 _KEPT: list = []  # the parameters that a worker has seen last, and their tables
@@ -212,9 +280,6 @@ def score(docs: DataFrame, params: dict[str, np.ndarray], vocab: Vocabulary, cou
     shared = spark.sparkContext.broadcast((params, vocab))
     docs = docs.select(*keep, F.col("text").alias("__text"))
     floor = float(vocab.n + vocab.v + 1)
-    head_words = len(vocab.head_counts) - 3
-    in_class = float(max(0, int(vocab.head_counts[0]))), float(max(0, vocab.v - bool(vocab.ends) - head_words))
-    class_total = in_class[0] + in_class[1] + 1.0
     added = {"n_tokens": "long", "n_known": "long", "base_score": "double", "score": "double", "tail": "array<long>"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,33 +287,32 @@ def score(docs: DataFrame, params: dict[str, np.ndarray], vocab: Vocabulary, cou
         if not _KEPT or _KEPT[0] is not params:
             _KEPT[:] = [params, tables(params)]
         near, far, bias, log_z = _KEPT[1]
-        base_log = np.log((vocab.counts + 1.0) / floor)
-        class_log = np.log((vocab.counts + 1.0) / class_total)
-        end_log = np.log((vocab.ends + 1.0) / floor)
+        log_floor, log_count, log_size = np.log(floor), np.log(vocab.counts + 1.0), np.log(vocab.sizes)
+        kinds = len(vocab.sizes)
         for batch in batches:
             for chunk in chunks(batch.column(len(keep))):
-                words, off = word_hashes(chunk, lower=True)
-                w, one, two, seq_off, place = sequences(words, off, vocab)
+                words, kind, off = word_kinds(chunk, kinds)
+                w, one, two, seq_off, place = sequences(words, kind, off, vocab)
                 model = (near[one, w] + far[two, w] + bias[w] - log_z[two, one]).astype(np.float64)
-                at, known = np.maximum(place, 0), place >= 0
-                if len(vocab.counts):
-                    base = row_sums(np.where(known, base_log[at], 0.0), off)
-                    inner = np.where(known & (vocab.ids[at] == 0), class_log[at], 0.0)
-                else:
-                    base, inner = np.zeros(len(chunk)), np.zeros(len(words))
-                out = [np.diff(seq_off), row_sums(known, off).astype(np.int64) + (vocab.ends > 0), (base + end_log) / LN10, (row_sums(model, seq_off) + row_sums(inner, off)) / LN10]
+                known = place >= 0
+                count = np.zeros(len(words))  # of words outside the dictionary it is added by the join below
+                count[known] = log_count[place[known]]
+                alone = np.zeros(len(words), bool)
+                alone[known] = vocab.ids[place[known]] >= FIRST + kinds
+                inner = np.where(alone, 0.0, count - log_size[kind])
+                base = row_sums(count - log_floor, off) + np.log((vocab.ends + 1.0) / floor)
+                out = [np.diff(seq_off), row_sums(known, off).astype(np.int64) + (vocab.ends > 0), base / LN10, (row_sums(model, seq_off) + row_sums(inner, off)) / LN10]
                 outside = np.flatnonzero(~known)
                 tail = pa.ListArray.from_arrays(pa.array(np.searchsorted(outside, off).astype(np.int32)), pa.array(words[outside].view(np.int64)))
                 part = batch.slice(chunk.start, len(chunk))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *map(pa.array, out), tail], [*keep, *added])
+        release()
 
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1]), *(f"{c} {t}" for c, t in added.items())])
     rows = materialize(docs.mapInArrow(run, fields).withColumn("__row", F.monotonically_increasing_id()), "scored")
     tail = rows.select("__row", F.explode("tail").alias("word")).groupBy("__row", "word").agg(F.count(F.lit(1)).alias("tf"))
-    c = F.coalesce("c", F.lit(0))
-    tail = tail.join(counts, "word", "left").groupBy("__row").agg(F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("more_known"), F.sum(F.col("tf") * F.log10((c + 1) / F.lit(floor))).alias("more_base"), F.sum(F.col("tf") * F.log10((c + 1) / F.lit(class_total))).alias("more_score"))
-    zero = F.lit(0)
+    tail = tail.join(counts, "word").groupBy("__row").agg(F.sum("tf").alias("more_known"), F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("more"))  # a word without a count adds log 1
+    more = F.coalesce("more", F.lit(0.0))
     return rows.drop("tail").join(tail, "__row", "left").select(
-        *keep, "n_tokens", (F.col("n_known") + F.coalesce("more_known", zero)).alias("n_known"), F.lit(vocab.n).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("more_base", zero)).alias("base_score"), (F.col("score") + F.coalesce("more_score", zero)).alias("score"),
+        *keep, "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(vocab.n).cast("long").alias("train_tokens"), (F.col("base_score") + more).alias("base_score"), (F.col("score") + more).alias("score"),
     )
