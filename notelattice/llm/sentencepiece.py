@@ -4,16 +4,17 @@ The vocabulary is read from a model file (a parameter) on the driver and broadca
 A text gets a leading word mark, spaces become word marks, and the segments between marks are encoded on their own (no
 piece has a mark after another character, which is checked). Within a segment the best-scored neighbouring pair is merged
 again and again, the leftmost first among equals; a candidate merge is *skipped* for good when its keyed hash falls below
-the dropout. The key is (seed, lane, segment, place of the pair, merged piece): the same run always gives the same
-segmentation, and lanes give the varied ones. A word's lane is a keyed hash of the document's id and the word's place in
-it, modulo `lanes`, so that equal segments of one lane are encoded once for a whole chunk. With dropout 0 the pieces are
-those of the reference algorithm.
+the dropout. The key is (seed, document, place of the segment in the document, place of the pair, merged piece): the same
+run always gives the same segmentation, and every occurrence of a word draws its own. With dropout 0 the pieces are those
+of the reference algorithm.
 
 All segments of a chunk are merged together, one merge for each segment in a round, in numpy; long segments go through a
 heap instead, in O(n log n).
 
 Characters without a piece become byte pieces; so does a literal U+2581, which would otherwise decode to a space.
-Defined cases: null stays null; an empty text has no pieces; repeated rows give equal pieces; any length is encoded whole.
+Defined cases: null stays null; an empty text has no pieces; repeated rows (equal doc_id and text) give equal pieces, and so
+do ties in scores; a null doc_id counts as one more document; any length is encoded whole; an empty table gives an empty
+result. Columns named like those added (ids, decoded) are replaced, all others pass through.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import U64, mix, span_hashes
+from .arrow_text import U64, mix, release, span_hashes
 
 MARK = 0x2581
 LONG = 48  # symbols; longer segments go through the heap
@@ -188,7 +189,10 @@ def merge_segments(symbols: np.ndarray, off: np.ndarray, keys: np.ndarray, piece
         moved = np.cumsum(keep) - 1
         fresh = moved[at]
         ids, seg, place, made = ids[keep], seg[keep], place[keep], made[keep]
-        fresh = np.unique(np.concatenate([fresh - 1, fresh])) if len(fresh) else fresh
+        beside = np.zeros(len(ids), bool)
+        beside[fresh] = True
+        beside[fresh[fresh > 0] - 1] = True
+        fresh = np.flatnonzero(beside)
     ids = np.concatenate([np.zeros(0, np.int64), *done_id])
     seg = np.concatenate([np.zeros(0, np.int64), *done_seg])
     order = np.lexsort((np.concatenate([np.zeros(0, np.int64), *done_place]), seg))
@@ -196,8 +200,8 @@ def merge_segments(symbols: np.ndarray, off: np.ndarray, keys: np.ndarray, piece
     return ids[order], np.searchsorted(seg, np.arange(len(n) + 1))
 
 
-def encode_texts(texts: list[str], doc_keys: np.ndarray, pieces: Pieces, dropout: float, seed: int, lanes: int, distinct: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Pieces of all texts one after another, and their offsets by text. distinct: encode equal segments of a lane once."""
+def encode_texts(texts: list[str], doc_keys: np.ndarray, pieces: Pieces, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of all texts one after another, and their offsets by text."""
     joined = "".join(" " + t if t else "" for t in texts)
     points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     lengths = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
@@ -221,14 +225,12 @@ def encode_texts(texts: list[str], doc_keys: np.ndarray, pieces: Pieces, dropout
     limit = U64(min(int(dropout * 2**64), 2**64 - 1))
     if dropout > 0:
         first = np.searchsorted(starts, text_off[:-1])
-        lane = mix(doc_keys[owner] + mix((np.arange(len(starts)) - first[owner]).astype(U64) + U64(seed & 0xFFFFFFFF))) % U64(lanes)
-        keys = mix(hashes ^ mix(lane + U64((seed * 0x9E3779B97F4A7C15 + 1) % 2**64)))
-    else:
-        keys = hashes
-    if distinct:
-        _, chosen, inverse = np.unique(keys, return_index=True, return_inverse=True)
-    else:
+        place = (np.arange(len(starts)) - first[owner]).astype(U64)
+        keys = mix(hashes ^ mix(doc_keys[owner] + mix(place + U64((seed * 0x9E3779B97F4A7C15 + 1) % 2**64))))
         chosen = inverse = np.arange(len(keys))
+    else:  # equal segments have equal pieces
+        keys = hashes
+        _, chosen, inverse = np.unique(hashes, return_index=True, return_inverse=True)
     size = (ends - starts)[chosen]
     seg_off = np.concatenate([[0], np.cumsum(size)])
     at = np.repeat(starts[chosen] - seg_off[:-1], size) + np.arange(seg_off[-1])
@@ -262,7 +264,7 @@ def decode_ids(ids: np.ndarray, pieces: Pieces) -> str:
     return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
 
-def encode(docs: DataFrame, vocab: str, dropout: float = 0.1, seed: int = 7, lanes: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, vocab: str, dropout: float = 0.1, seed: int = 7, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with ids (array of int). vocab: path of the model file, read on the driver. A null key counts as 0."""
     shared = docs.sparkSession.sparkContext.broadcast(load(vocab))
     docs = docs.drop("ids").withColumn("__key", F.xxhash64(F.lit(seed), F.col(key)))
@@ -280,11 +282,12 @@ def encode(docs: DataFrame, vocab: str, dropout: float = 0.1, seed: int = 7, lan
                     size += len(texts[stop] or "")
                     stop += 1
                 part = [t or "" for t in texts[start:stop]]
-                ids, off = encode_texts(part, keys[start:stop], pieces, dropout, seed, lanes)
+                ids, off = encode_texts(part, keys[start:stop], pieces, dropout, seed)
                 lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids.astype(np.int32)), mask=pa.array([t is None for t in texts[start:stop]]))
                 rows = batch.slice(start, stop - start)
                 yield pa.RecordBatch.from_arrays([*rows.columns[:-1], lists], [*batch.schema.names[:-1], "ids"])
                 start = stop
+        release()
 
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1]), "ids array<int>"])
     return docs.mapInArrow(run, fields)
@@ -306,6 +309,7 @@ def decode(rows: DataFrame, vocab: str, ids: str = "ids") -> DataFrame:
                 raw = b"".join([data[k] for k in flat[off[i] : off[i + 1]].tolist()])
                 texts.append((raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string(), mask=np.asarray(lists.is_null()))], [*batch.schema.names, "decoded"])
+        release()
 
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), "decoded string"])
     return rows.mapInArrow(run, fields)
