@@ -1,20 +1,27 @@
 """Main-text extraction by tag-path ratios.
 
-A page is cut into text nodes, each with its root-to-leaf tag path (tag names, with the class and id words that mark
-boilerplate). For each path the lengths, punctuation marks and link texts of its nodes are summed:
+A page is cut into text nodes, each with its root-to-leaf tag path (tag names, with what class and id words say of them).
+Paths are the nodes of a trie. For each path the lengths, punctuation marks and link texts of its nodes are summed:
     text ratio = characters / nodes, punctuation ratio = punctuation marks / nodes.
 Both are smoothed along the tree (a path takes a share of what its parent path's whole subtree has), fused by a geometric
-mean, damped by the share of link text, and weighted by what the tags say: nothing is left of paths through menus,
-footers, forms, scripts, adverts or comments. Paths above a threshold (a share of the page's length-weighted mean) are
+mean, damped by the share of link text, and weighted by what the tags say. Nothing is left of paths through menus, footers,
+forms, scripts, adverts or comments: elements of such a kind, or with a class or id all of whose words say so ("comments",
+"share-buttons", "ad-slot-2"). A name that has such a word among others ("share-price") is only a doubt: in an article it
+halves the score of a container, whose path must then pass the threshold by itself, and does nothing to a paragraph;
+outside of articles it still excludes containers. Paths above a threshold (a share of the page's length-weighted mean) are
 content. The smallest container that holds nearly all content paths then lends its short blocks (headings, one-line
 paragraphs), so that nothing inside the article is dropped for being short. A block whose own text is kept is kept with
 all that stands in it inline, link text too; outside a marked article, a block of nothing but links is not content.
 
+Parsing keeps the places of open elements by tag, and scoring passes over the trie once up and once down, so both take
+time in proportion to the page, however deep or unclosed its tags are.
+
 Blocks are what block-level tags separate; character references are decoded, white space inside a block becomes one space,
 blocks are trimmed and joined by a line feed.
 
 Defined cases: null or empty html gives an empty text; markup without any tag is one block; unclosed and misnested tags
-are closed by the block that follows; pages of any size are read whole; repeated rows give equal texts.
+are closed by the block that follows; pages of any size are read whole; repeated rows give equal texts, ties in scores are
+decided alike; an empty table gives an empty result. Columns named text or n_chars are replaced, all others pass through.
 """
 
 from __future__ import annotations
@@ -26,6 +33,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .arrow_text import release
+
 # What HTML says of its tags.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav noframes ol option optgroup p pre search section select summary table tbody td tfoot th thead tr ul".split())
@@ -35,9 +44,11 @@ CONTENT = frozenset("article main".split())
 CLOSED_BY_BLOCK = frozenset("p b i u em strong a span font small big s strike tt code".split())
 SAME_CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 LIMITS = frozenset("ul ol dl table select".split())
-# Class and id words that mark what is not the article.
+# Class and id words that mark what is not the article, words of layout that say nothing beside them, and words of the article.
 AWAY = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside footer foot cookie cookies consent notice notices popup modal overlay newsletter subscribe signup login share sharing social comment comments disqus respond reply replies related recommended widget toolbar pagination pager masthead topbar skip hidden".split())
+STRUCTURE = frozenset("area articles bar block bottom box button buttons card cards column container content desktop div entry entries fixed form global group head header heading holder icon icons inline inner item items label left line link links list main media mobile module news outer page pane panel post posts right row section site slot small space story strip tab tabs text thread title tools top unit user users view wrap wrapper zone".split())
 NEAR = frozenset("article content post entry story main body text".split())
+CONTAINER = frozenset("div section ul ol dl table tbody tr td article main center details figure summary".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)>?", re.S)
 _NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -46,151 +57,193 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？]")
 _SPACE = re.compile(r"\s+")
 
 
-def _marks(attributes: str) -> tuple[bool, bool]:
-    """Do the attributes say that the element is not, or is, content?"""
-    away = near = False
+def _marks(attributes: str) -> tuple[int, bool]:
+    """Do the attributes say that the element is not content (2: yes, 1: in doubt), or that it is?"""
+    away, near = 0, False
     for m in _NAMED.finditer(attributes):
-        name, value = m[1].lower(), next((x for x in m.groups()[1:] if x is not None), "").lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            away = True
+        name, value = m[1].lower(), next((x for x in m.groups()[1:] if x is not None), "")
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
+            away = 2
         elif name == "role":
-            away |= value in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog")
-            near |= value in ("main", "article")
+            away = 2 if value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog") else away
+            near |= value.lower() in ("main", "article")
         elif name in ("class", "id"):
-            words = set(_WORDS.findall(value))
-            away |= bool(words & AWAY)
-            near |= bool(words & NEAR)
+            for label in value.split():
+                words = {w.lower() for w in _WORDS.findall(label)}
+                if words & AWAY:
+                    away = max(away, 2 if words <= AWAY | STRUCTURE else 1)
+                near |= bool(words & NEAR)
     return away, near and not away
 
 
 class _Node:
-    __slots__ = ("away", "content", "link", "parent", "path", "tag")
+    __slots__ = ("away", "content", "doubt", "link", "path", "tag")
 
-    def __init__(self, tag: str, parent: "_Node | None", attributes: str = ""):
-        self.tag, self.parent = tag, parent
-        away, near = _marks(attributes) if attributes else (False, False)
+    def __init__(self, tag: str, parent: "_Node | None", attributes: str, paths: "_Paths"):
+        self.tag = tag
+        away, near = _marks(attributes) if attributes else (0, False)
         inside = parent is not None and parent.content
+        if tag in ("html", "body", "article", "main"):
+            away = 0
+        if away == 1 and not (tag in CONTAINER and inside):  # in doubt: a container outside of articles goes, a paragraph stays
+            away = 2 if tag in CONTAINER else 0
         self.content = inside or tag in CONTENT or (near and tag in ("div", "section", "td"))
-        self.away = (parent is not None and parent.away) or tag in DROPPED or (away and tag not in ("html", "body", "article", "main")) or (tag == "header" and not inside)
+        self.away = (parent is not None and parent.away) or tag in DROPPED or away == 2 or (tag == "header" and not inside)
+        self.doubt = away == 1 or (parent is not None and parent.doubt)
         self.link = tag == "a" or (parent is not None and parent.link)
-        self.path = (*parent.path, tag + ("!" if away else "+" if near else "")) if parent else (tag,)
+        self.path = paths.below(parent.path if parent else -1, (tag, away, near), self)
+
+
+class _Paths:
+    """The trie of tag paths: parents and a node of each; a path's number is greater than its parent's."""
+
+    def __init__(self):
+        self.parent, self.depth, self.node, self.numbers = [], [], [], {}
+
+    def below(self, parent: int, label: tuple, node: _Node) -> int:
+        number = self.numbers.setdefault((parent, label), len(self.parent))
+        if number == len(self.parent):
+            self.parent.append(parent)
+            self.depth.append(self.depth[parent] + 1 if parent >= 0 else 0)
+            self.node.append(node)
+        return number
+
 
+class _Open:
+    """The open elements, with the places of each tag among them."""
 
-def text_nodes(page: str) -> list[tuple[_Node, int, str]]:
-    """(node, block number, decoded text) of the text of the page, in order."""
-    root = _Node("", None)
-    stack, block, out, at = [root], 0, [], 0
+    def __init__(self, root: _Node):
+        self.stack, self.places, self.walls, self.limits = [root], {}, [0], [0]
+
+    def push(self, node: _Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in BLOCK and node.tag != "p":
+            self.walls.append(len(self.stack))
+        if node.tag in LIMITS:
+            self.limits.append(len(self.stack))
+        self.stack.append(node)
+
+    def pop(self) -> None:
+        node, at = self.stack.pop(), len(self.stack)
+        self.places[node.tag].pop()
+        for kept in (self.walls, self.limits):
+            if kept[-1] == at:
+                kept.pop()
+
+    def close(self, tag: str, above: int) -> None:
+        """Closes the last open element of this tag, and all in it, if it stands above the place."""
+        places = self.places.get(tag)
+        if places and places[-1] > above:
+            at = places[-1]
+            while len(self.stack) > at:
+                self.pop()
+
+
+def text_nodes(page: str) -> tuple[list[tuple[_Node, int, str]], _Paths]:
+    """(node, block number, decoded text) of the text of the page, in order, and the trie of their paths."""
+    paths = _Paths()
+    open_, block, out, at, endless = _Open(_Node("", None, "", paths)), 0, [], 0, set()
 
     def emit(raw: str) -> None:
         if raw:
-            out.append((stack[-1], block, entities.unescape(raw)))
+            out.append((open_.stack[-1], block, entities.unescape(raw)))
 
     m = _TOKEN.search(page, 0)
     while m:
         emit(page[at : m.start()])
         at = m.end()
-        if m[2]:
-            tag = m[2].lower()
-            if m[1]:
-                if tag in BLOCK:
-                    block += 1
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        del stack[k:]
-                        break
-                    if tag not in BLOCK and stack[k].tag in BLOCK and stack[k].tag != "p":
-                        break  # an inline end tag doesn't close blocks
-            else:
-                if tag in BLOCK:
-                    block += 1
-                    while len(stack) > 1 and stack[-1].tag in CLOSED_BY_BLOCK and any(x.tag == "p" for x in stack):
-                        stack.pop()
-                    for other in SAME_CLOSES.get(tag, "").split():
-                        for k in range(len(stack) - 1, 0, -1):
-                            if stack[k].tag in LIMITS:
-                                break
-                            if stack[k].tag == other:
-                                del stack[k:]
-                                break
-                if tag == "br":
-                    emit(" ")
-                elif tag in RAW:
-                    end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                    at = end.end() if end else (len(page) if tag in ("script", "style", "textarea", "title", "xmp") else at)
-                    if not end and at < len(page):
-                        stack.append(_Node(tag, stack[-1], m[3]))
-                elif tag not in VOID and not m[3].rstrip().endswith("/"):
-                    stack.append(_Node(tag, stack[-1], m[3]))
-                elif m[3].rstrip().endswith("/") and tag not in VOID:  # HTML ignores the slash of a self-closing tag
-                    stack.append(_Node(tag, stack[-1], m[3]))
+        tag = (m[2] or "").lower()
+        if tag in BLOCK:
+            block += 1
+        if tag and m[1]:
+            open_.close(tag, 0 if tag in BLOCK else open_.walls[-1])  # an inline end tag doesn't close blocks
+        elif tag:
+            if tag in BLOCK:
+                while len(open_.stack) > 1 and open_.stack[-1].tag in CLOSED_BY_BLOCK and open_.places.get("p"):
+                    open_.pop()
+                for other in SAME_CLOSES.get(tag, "").split():
+                    open_.close(other, open_.limits[-1])
+            if tag == "br":
+                emit(" ")
+            elif tag in RAW:
+                end = None if tag in endless else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                if end:
+                    at = end.end()
+                elif tag in ("script", "style", "textarea", "title", "xmp"):
+                    at = len(page)
+                else:
+                    endless.add(tag)
+                    open_.push(_Node(tag, open_.stack[-1], m[3], paths))
+            elif tag not in VOID:  # HTML ignores the slash of a self-closing tag
+                open_.push(_Node(tag, open_.stack[-1], m[3], paths))
         m = _TOKEN.search(page, at)
     emit(page[at:])
-    return out
+    return out, paths
 
 
-def path_scores(nodes: list[tuple[_Node, int, str]], blend: float = 0.5) -> dict[tuple[str, ...], float]:
-    """The fused, smoothed score of each tag path with text."""
-    stats: dict[tuple[str, ...], list[float]] = {}
-    away: dict[tuple[str, ...], bool] = {}
-    content: dict[tuple[str, ...], bool] = {}
+def path_scores(nodes: list[tuple[_Node, int, str]], paths: _Paths, blend: float = 0.5) -> list[float]:
+    """The fused, smoothed score of each tag path; 0 for those without text."""
+    n = len(paths.parent)
+    stats = [[0.0] * n for _ in range(4)]  # nodes, characters, punctuation marks, characters of links
+    count, length, marks, links = stats
     for node, _, text in nodes:
         stripped = text.strip()
-        if not stripped:
-            continue
-        s = stats.setdefault(node.path, [0.0, 0.0, 0.0, 0.0])
-        s[0] += 1
-        s[1] += len(stripped)
-        s[2] += len(_PUNCTUATION.findall(stripped))
-        s[3] += len(stripped) * node.link
-        away[node.path], content[node.path] = node.away, node.content
-    below: dict[tuple[str, ...], list[float]] = {}
-    for path, s in stats.items():
-        if not away[path]:
-            for k in range(len(path)):
-                b = below.setdefault(path[:k], [0.0, 0.0, 0.0, 0.0])
-                for j in range(4):
-                    b[j] += s[j]
-    scores = {}
-    for path, s in stats.items():
-        if away[path]:
-            scores[path] = 0.0
-            continue
-        parent = below[path[:-1]]
-        text = (1 - blend) * s[1] / s[0] + blend * parent[1] / parent[0]
-        marks = (1 - blend) * s[2] / s[0] + blend * parent[2] / parent[0]
-        links = s[3] / s[1]
-        scores[path] = (text * (1 + marks)) ** 0.5 * (1 - links) * (2.0 if content[path] else 1.0)
+        if stripped:
+            p = node.path
+            count[p] += 1
+            length[p] += len(stripped)
+            marks[p] += len(_PUNCTUATION.findall(stripped))
+            links[p] += len(stripped) * node.link
+    below = [[0.0 if paths.node[i].away else s[i] for i in range(n)] for s in stats]
+    for i in range(n - 1, 0, -1):  # children have greater numbers
+        for s in below:
+            s[paths.parent[i]] += s[i]
+    scores = [0.0] * n
+    for i in range(n):
+        node = paths.node[i]
+        if count[i] and not node.away:
+            up = max(0, paths.parent[i])
+            ratio = (1 - blend) * length[i] / count[i] + blend * below[1][up] / below[0][up]
+            dots = (1 - blend) * marks[i] / count[i] + blend * below[2][up] / below[0][up]
+            scores[i] = (ratio * (1 + dots)) ** 0.5 * (1 - links[i] / length[i]) * (2.0 if node.content else 1.0) * (0.5 if node.doubt else 1.0)
     return scores
 
 
 def main_text(page: str | None, share: float = 0.4, hold: float = 0.9) -> str:
     if not page:
         return ""
-    nodes = text_nodes(page)
-    scores = path_scores(nodes)
-    weight: dict[tuple[str, ...], int] = {}
+    nodes, paths = text_nodes(page)
+    scores = path_scores(nodes, paths)
+    n = len(scores)
+    weight = [0] * n
     for node, _, text in nodes:
-        if scores.get(node.path):
-            weight[node.path] = weight.get(node.path, 0) + len(text.strip())
-    total = sum(weight.values())
+        if scores[node.path]:
+            weight[node.path] += len(text.strip())
+    total = sum(weight)
     if not total:
         return ""
-    mean = sum(scores[p] * w for p, w in weight.items()) / total
-    chosen = {p for p in weight if scores[p] >= share * mean}
-    held = sum(weight[p] for p in chosen)
-    best: tuple[str, ...] = ()
-    for path in chosen:  # the deepest container with nearly all of the chosen text
-        for k in range(len(path)):
-            top = path[:k]
-            if len(top) > len(best) and sum(weight[p] for p in chosen if p[:k] == top) >= hold * held:
-                best = top
-    marked = any(x in CONTENT for p in chosen for x in p)
+    least = share * sum(s * w for s, w in zip(scores, weight, strict=True)) / total
+    chosen = [w > 0 and s >= least for s, w in zip(scores, weight, strict=True)]
+    held = [w if c else 0 for w, c in zip(weight, chosen, strict=True)]
+    holds = [False] * n  # is there a chosen path below?
+    for i in range(n - 1, 0, -1):
+        held[paths.parent[i]] += held[i]
+        holds[paths.parent[i]] |= held[i] > 0
+    best = max((i for i in range(n) if holds[i] and held[i] >= hold * held[0]), key=lambda i: paths.depth[i], default=0)  # the deepest container with nearly all of the chosen text
+    under, marked = [False] * n, False
+    article = [False] * n
+    for i in range(n):
+        up = paths.parent[i]
+        under[i] = i == best or (up >= 0 and under[up])
+        article[i] = paths.node[i].tag in CONTENT or (up >= 0 and article[up])
+        marked |= chosen[i] and article[i]
 
     def inside(node: _Node) -> bool:
-        return node.path in chosen or (node.content if marked else node.path[: len(best)] == best and len(best) > 2)
+        lent = node.content if marked else under[node.path] and paths.depth[best] > 1
+        return chosen[node.path] or (lent and not node.doubt)
 
     # blocks with text of their own that is kept: what stands in them inline, link text too, belongs to that text
-    spoken = {block for node, block, text in nodes if text.strip() and scores.get(node.path) and inside(node)}
+    spoken = {block for node, block, text in nodes if text.strip() and scores[node.path] and inside(node)}
     blocks: dict[int, list[str]] = {}
     for node, block, text in nodes:
         if node.away:
@@ -213,6 +266,7 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
                 part = batch.slice(start, 512)
                 texts = [main_text(p) for p in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*batch.schema.names, *added])
+        release()
 
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields), "text string", "n_chars long"])
     return pages.mapInArrow(run, fields)
