@@ -4,15 +4,18 @@
 archives (plain or gzip by record) and the ranges that can't be read. `audit` compares two replicas: a leaf is the SHA-256 of one record with its offset;
 each level above hashes the ordered digests of `fan_out` neighbouring ranges of offsets, up to one root for each archive,
 and archives are grouped in the same way up to a single root. Comparing goes from the roots down: only ranges below a
-mismatch are looked at on the next level. What is shuffled is digests, never records; no task gets more than `fan_out`
-digests of a range, whatever an archive's size.
+mismatch are looked at on the next level, and none if the replicas' roots agree. What is shuffled is digests, never
+records. There are as many levels as the largest archive needs, so a range gathers at most `fan_out` digests, or the
+records of one leaf, whatever an archive's size.
 
 Ranges are cut by the offset: range i of level l holds the offsets from i * leaf * fan_out**l on, so a lost record leaves
 a gap in its own range and shifts nothing.
 
 Defined cases: two empty replicas match; a record that only one replica has is `missing` or `extra`; unlike bytes at one
 offset are `corrupt`; repeated records at one offset are hashed together in order of their digests, so replicas agree only
-if they repeat alike; null payloads are hashed as empty with a mark of their own.
+if they repeat alike; null payloads are hashed as empty with a mark of their own. Records of any length are hashed whole.
+Pages without page_id have archives of their own, as many as their share of the table asks for; repeated page_ids lie in
+one archive one after another. An empty table has no archives. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,8 +44,8 @@ def record_bytes(url: Column, payload: Column) -> Column:
 def records(pages: DataFrame, per_archive: int = 1000, stored: str = "html") -> DataFrame:
     """archive, offset, page_id, length and digest of each page's record.
 
-    An archive holds `per_archive` consecutive page_ids, in order, so its size is bounded; null page_ids are spread over
-    archives of their own by the record's digest. Offsets follow from html, as in the archive's index; the digest is that
+    An archive holds `per_archive` consecutive page_ids, in order, so its size is bounded; rows without page_id are spread
+    by the record's digest over archives of their own, one for each `per_archive` of them. Offsets follow from html, as in the archive's index; the digest is that
     of the bytes in the column `stored`, which for a replica may differ.
     """
     payload = F.col(stored)
@@ -52,7 +55,8 @@ def records(pages: DataFrame, per_archive: int = 1000, stored: str = "html") ->
         F.sha2(F.concat(record_bytes(F.col("url"), payload), F.when(payload.isNull(), F.lit(b"\x00")).otherwise(F.lit(b""))), 256).alias("digest"),
     )
     named = F.concat(F.lit("pages-"), F.floor(F.col("page_id") / per_archive).cast("string"))
-    rows = rows.withColumn("archive", F.coalesce(named, F.concat(F.lit("unnamed-"), F.substring("digest", 1, 4))))
+    unnamed = pages.where("page_id is null").count() // per_archive + 1
+    rows = rows.withColumn("archive", F.coalesce(named, F.concat(F.lit("unnamed-"), F.pmod(F.xxhash64("digest"), F.lit(unnamed)).cast("string"))))
     before = Window.partitionBy("archive").orderBy("page_id", "length", "digest").rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")).select("archive", "offset", "page_id", "length", "digest")
 
@@ -151,13 +155,21 @@ def _joined(column: str) -> Column:
     return F.sha2(F.concat_ws("|", F.array_sort(F.collect_list(column))), 256)
 
 
+def depth(rows: DataFrame, fan_out: int, leaf: int = LEAF) -> int:
+    """How many times `fan_out` leaves must be grouped until the largest archive of rows is one range."""
+    last = rows.agg(F.max("offset").alias("last")).first().last or 0
+    levels = 0
+    while last // (leaf * fan_out**levels) >= fan_out:
+        levels += 1
+    return levels
+
+
 def tree(rows: DataFrame, levels: int, fan_out: int, leaf: int = LEAF) -> list[DataFrame]:
-    """Levels of (archive, node, digest): records by offset first, then ranges of offsets, the last one the archive."""
+    """Levels of (archive, node, digest): records by offset first, then leaves, then ranges of ranges; the last is the archive."""
     out = [materialize(rows.groupBy("archive", F.col("offset").alias("node")).agg(_joined("digest").alias("digest")), "leaves")]
-    for level in range(levels + 1):
-        below = F.col("node") / leaf if level == 0 else F.col("node") / fan_out
+    for level in range(levels + 2):
+        up = F.floor(F.col("node") / (leaf if level == 0 else fan_out)).cast("long")
         entry = F.concat_ws("@", F.lpad(F.hex("node"), 16, "0"), "digest")
-        up = F.floor(below).cast("long") if level < levels else F.lit(0).cast("long")
         ranges = out[-1].select("archive", up.alias("up"), entry.alias("entry")).groupBy("archive", F.col("up").alias("node"))
         out.append(materialize(ranges.agg(_joined("entry").alias("digest")), "ranges"))  # a level is read again by the next and by the audit
     return out
@@ -171,19 +183,23 @@ def root(archives: DataFrame) -> str:
     return hashlib.sha256("|".join(f"{a}@{b}" for a, b in rows).encode()).hexdigest()
 
 
-def audit(ours: DataFrame, theirs: DataFrame, levels: int = 3, fan_out: int = 16) -> DataFrame:
+def audit(ours: DataFrame, theirs: DataFrame, fan_out: int = 16) -> DataFrame:
     """archive, offset and status (corrupt, missing, extra) of what the replica `theirs` has other than `ours`.
 
-    Both have archive, offset and digest. Comparing starts at the roots of the archives; a level's nodes are read only
-    below the mismatching nodes of the level above.
+    Both have archive, offset and digest. The roots of the replicas are compared first, then those of the archives; a
+    level's nodes are read only below the mismatching nodes of the level above.
     """
-    trees = [tree(x.select("archive", "offset", "digest"), levels, fan_out) for x in (ours, theirs)]
+    sides = [x.select("archive", "offset", "digest") for x in (ours, theirs)]
+    levels = max(depth(x, fan_out) for x in sides)
+    trees = [tree(x, levels, fan_out) for x in sides]
+    top = [t[-1].select("archive", "digest") for t in trees]
+    if root(top[0]) == root(top[1]):
+        return sides[0].where("false").select("archive", "offset", F.lit("").alias("status"))
     suspects = None
-    for level in range(levels + 1, -1, -1):
+    for level in range(levels + 2, -1, -1):
         a, b = (t[level] for t in trees)
         if suspects is not None:
-            divisor = LEAF if level == 0 else fan_out
-            up = F.floor(F.col("node") / divisor).cast("long") if level < levels else F.lit(0).cast("long")
+            up = F.floor(F.col("node") / (LEAF if level == 0 else fan_out)).cast("long")
             a, b = (x.withColumn("up", up).join(suspects, ["archive", "up"], "left_semi").drop("up") for x in (a, b))
         both = a.withColumnRenamed("digest", "a").join(b.withColumnRenamed("digest", "b"), ["archive", "node"], "full").where("not (a <=> b)")
         both = materialize(both, "mismatches")
