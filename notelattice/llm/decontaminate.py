@@ -6,12 +6,13 @@ Aho-Corasick automaton built from the broadcast block), and each hit is verified
 allows, with Myers's bit-parallel edit distance. The benchmark is taken in blocks of `block` items against all documents,
 so what is broadcast has a fixed bound however large the benchmark is.
 
-Normalising: lower case, every run of other than letters, digits and marks becomes one space, trimmed. Items whose pieces
-would be shorter than `min_piece` characters get fewer edits; an item shorter than `min_piece` must occur as it is, on
-word borders; an item without a letter or digit matches nothing.
+Normalising: lower case, every run of other than letters, digits and marks becomes one space, trimmed. An item too short
+for an edit (k = 0) must occur as it is, on word borders; an item without a letter or digit matches nothing.
 
 Defined cases: null or empty texts and items match nothing; repeated rows each give their matches; an item found several
-times in a text gives its best match (smallest distance, then earliest); any text is searched whole.
+times in a text gives its best match (smallest distance, then earliest); items that share an item_id each give theirs; any
+text is searched whole; empty tables give an empty result. Extra columns are ignored by `matches` and kept by `clean`,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow_text import release
+from .storage import fresh
+
 _OTHER = re.compile(r"[\W_]+")
 
 
@@ -30,9 +34,9 @@ def normalize(text: str) -> str:
     return _OTHER.sub(" ", text.lower()).strip()
 
 
-def pieces_of(item: str, error_rate: float, min_piece: int) -> tuple[int, list[tuple[int, str]]]:
+def pieces_of(item: str, error_rate: float) -> tuple[int, list[tuple[int, str]]]:
     """The error budget of a normalised item, and its pieces with their places."""
-    k = max(0, min(int(len(item) * error_rate), len(item) // min_piece - 1))
+    k = int(len(item) * error_rate)
     cut = [len(item) * i // (k + 1) for i in range(k + 2)]
     return k, [(a, item[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
 
@@ -70,7 +74,7 @@ def myers(masks: dict[str, int], m: int, text: str) -> tuple[int, int]:
 class Finder:
     """The automaton of a block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float, min_piece: int):
+    def __init__(self, items: list[tuple[int, str]], error_rate: float):
         import ahocorasick
 
         self.items = []
@@ -79,7 +83,7 @@ class Finder:
             norm = normalize(text or "")
             if not norm:
                 continue
-            k, pieces = pieces_of(norm, error_rate, min_piece)
+            k, pieces = pieces_of(norm, error_rate)
             number = len(self.items)
             self.items.append((item_id, norm, k, masks_of(norm), masks_of(norm[::-1])))
             for at, piece in pieces:
@@ -90,7 +94,7 @@ class Finder:
         if places:
             self.automaton.make_automaton()
 
-    def find(self, text: str, min_piece: int) -> list[tuple[int, int, int, int]]:
+    def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item_id, distance, begin, end) in the normalised text, the best match of each item."""
         if not self.items or not text:
             return []
@@ -120,14 +124,14 @@ class Finder:
                     head = text[max(0, stop - m - k) : stop]
                     _, back = myers(backward, m, head[::-1])
                     found = (distance, stop - back, stop)
-                if m < min_piece and not ((found[1] == 0 or text[found[1] - 1] == " ") and (found[2] == len(text) or text[found[2]] == " ")):
+                if k == 0 and not ((found[1] == 0 or text[found[1] - 1] == " ") and (found[2] == len(text) or text[found[2]] == " ")):
                     continue
                 if number not in best or found < best[number]:
                     best[number] = found
         return [(self.items[i][0], *x) for i, x in sorted(best.items())]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.08, min_piece: int = 12, block: int = 20_000) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.08, block: int = 20_000) -> DataFrame:
     """doc_id, item_id, distance, begin, end (in the normalised text) of each item found in each document."""
     items = benchmark.where("text is not null and item_id is not null").select("item_id", "text")
     spark = docs.sparkSession
@@ -140,23 +144,29 @@ def matches(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.08, min
         if len(got) == block and got[0][0] != got[-1][0]:  # don't cut the rows of one item_id
             got = [x for x in got if x[0] != got[-1][0]]
         after = got[-1][0]
-        found = _search(docs, spark.sparkContext.broadcast(got), error_rate, min_piece)
+        found = _search(docs, spark.sparkContext.broadcast(got), error_rate)
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], "doc_id long, item_id long, distance int, begin int, end int")
     return out
 
 
-def _search(docs: DataFrame, shared, error_rate: float, min_piece: int) -> DataFrame:
+_KEPT: list = []  # the block that a worker has seen last, and its automaton
+
+
+def _search(docs: DataFrame, shared, error_rate: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(shared.value, error_rate, min_piece)
+        if not _KEPT or _KEPT[0] is not shared.value:
+            _KEPT[:] = [shared.value, Finder(shared.value, error_rate)]
+        finder = _KEPT[1]
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text:
-                    rows += [(doc_id, *x) for x in finder.find(normalize(text), min_piece)]
+                    rows += [(doc_id, *x) for x in finder.find(normalize(text))]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()], strict=True)], ["doc_id", "item_id", "distance", "begin", "end"])
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, distance int, begin int, end int")
 
@@ -164,6 +174,8 @@ def _search(docs: DataFrame, shared, error_rate: float, min_piece: int) -> DataF
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without those that hold a benchmark item. Rows without a doc_id are judged by their text as well."""
     bad = matches(docs.where("doc_id is not null"), benchmark, **options).select("doc_id").distinct()
-    unnamed = docs.where("doc_id is null").withColumn("__n", F.monotonically_increasing_id())
-    dirty = matches(unnamed.select(F.col("__n").alias("doc_id"), "text"), benchmark, **options).select(F.col("doc_id").alias("__n")).distinct()
-    return docs.where("doc_id is not null").join(bad, "doc_id", "left_anti").unionByName(unnamed.join(dirty, "__n", "left_anti").drop("__n"))
+    named = docs.where("doc_id is not null").join(bad, "doc_id", "left_anti").select(*docs.columns)
+    key = fresh(docs, "text_key")
+    unnamed = docs.where("doc_id is null").withColumn(key, F.xxhash64("text"))
+    dirty = matches(unnamed.select(F.col(key).alias("doc_id"), "text"), benchmark, **options).select(F.col("doc_id").alias(key)).distinct()
+    return named.unionByName(unnamed.join(dirty, key, "left_anti").drop(key))
