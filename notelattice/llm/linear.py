@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 
 
@@ -55,3 +57,19 @@ def calibrate(margin: np.ndarray, label: np.ndarray, steps: int = 60) -> tuple[f
         step = np.clip(np.linalg.solve(h, g), -2, 2)
         a, b = a - step[0], b - step[1]
     return float(max(a, 1e-3) / scale), float(b)
+
+
+class Bounded:
+    """The rows with the lowest keys, as many as have `most` values together; whatever the order of arrival, the same ones."""
+
+    def __init__(self, most: int):
+        self.most, self.total, self.rows, self.end = most, 0, [], None
+
+    def add(self, key: tuple, row: tuple, n: int) -> None:
+        if self.end is not None and key >= self.end:
+            return
+        bisect.insort(self.rows, (key, n, row))
+        self.total += n
+        while self.total > self.most and len(self.rows) > 1:
+            self.end, out, _ = self.rows.pop()
+            self.total -= out

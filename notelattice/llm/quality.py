@@ -16,7 +16,6 @@ all other columns pass through `score`. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import bisect
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -153,22 +152,6 @@ def _sparse(chunk: Chunk, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield found, np.bincount(place, weights=np.concatenate(value), minlength=len(found))
 
 
-class _Bounded:
-    """The rows with the lowest keys, as many as have `most` values together; whatever the order of arrival, the same ones."""
-
-    def __init__(self, most: int):
-        self.most, self.total, self.rows, self.end = most, 0, [], None
-
-    def add(self, key: tuple, row: tuple, n: int) -> None:
-        if self.end is not None and key >= self.end:
-            return
-        bisect.insort(self.rows, (key, n, row))
-        self.total += n
-        while self.total > self.most and len(self.rows) > 1:
-            self.end, out, _ = self.rows.pop()
-            self.total -= out
-
-
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, max_values: int = 1 << 24, bits: int = 16, threshold: float = 0.5, seed: int = 17) -> QualityModel:
     """A model from the labels (doc_id, quality). One task holds at most max_values values of 8 bytes, or one row."""
     key = F.xxhash64(F.lit(seed), F.col("doc_id"))
@@ -184,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, max_values
         release()
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = _Bounded(max_values)
+        kept = linear.Bounded(max_values)
         for batch in batches:
             for key, good, held, index, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 kept.add((key, zlib.crc32(index), zlib.crc32(value)), (good, held, index, value), len(index) // 4)

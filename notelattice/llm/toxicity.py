@@ -7,17 +7,24 @@ from the labelled training rows (words of high smoothed log odds, in a few lists
 The label model is fitted by expectation-maximisation on the counts of vote patterns over *all* training rows (at most
 2**voters patterns, gathered as counts), starting from the labelled rows' rates. Accuracies are each voter's rates of
 voting in either class. Correlations are estimated from the residuals of the votes given the posterior; correlated voters
-share their weight (a voter's log-odds are divided by one plus its correlations with the others), then EM goes on.
+share their weight (a voter's log-odds are divided by one plus its correlations with the others), then EM goes on. The
+learned lexicons are cross-fitted: what they vote on a labelled row comes from lists learned from the other half of the
+labelled rows, so their rates are not those on the rows that they were picked from.
 
 The classifier is a logistic regression on hashed words and the votes, trained with the posteriors as targets on a bounded
-sample of labelled rows (`max_labelled`). Its score is the probability.
-
-Defined cases: a null, empty or wordless text has no votes and gets the score of the bias alone. With no labelled rows the
-voters' prior rates stand in. Repeated rows are scored alike. Columns that clash with those added are replaced.
+sample of training rows: at most `max_labelled` labelled ones and about `max_unlabelled` others, by keyed hashes of doc_id,
+as far as they have `max_values` words together. Its score is the probability. Lists and classifier are each fitted in one
+task, which holds the bounded sample; the driver gets lists, pattern counts and weights.
+
+Defined cases: a null, empty or wordless text has no votes and gets the score of the bias alone; texts of any length are
+taken whole. With no labelled rows the voters' prior rates stand in. Rows without doc_id and labels without doc_id or toxic
+are not learned from (their votes are counted); several labels of one doc_id count as the greatest. Repeated rows are scored
+alike. An empty table gives an empty result. Columns named like those added are replaced, all others pass through.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linear
-from .arrow_text import BYTE_VALUE, LOWER, U64, Chunk, chunks, mix, row_sums, span_hashes
+from .arrow_text import BYTE_VALUE, LOWER, U64, Chunk, chunks, mix, release, row_sums, span_hashes
+from .storage import fresh, materialize
 
 # The lexicons.
 LEXICONS = {
@@ -160,101 +168,148 @@ def _buckets(words: np.ndarray, bits: int) -> np.ndarray:
     return (mix(words + U64(3)) >> U64(64 - bits)).astype(np.int64)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, bits: int = 17, seed: int = 23) -> ToxicityModel:
-    """docs: all training rows (doc_id, text); labels: (doc_id, toxic) of training rows. max_labelled bounds the sample."""
+def _learned(sets: list[np.ndarray], label: np.ndarray) -> list[np.ndarray]:
+    """Hashes of telling words in LEARNED_LISTS lists, from the surest on, by the word sets of labelled rows."""
+    if not 0 < label.sum() < len(label):
+        return [np.zeros(0, U64)] * LEARNED_LISTS
+    names, place = np.unique(np.concatenate([*sets, np.zeros(0, U64)]), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    bad = np.bincount(place, weights=label[row], minlength=len(names))
+    good = np.bincount(place, weights=1 - label[row], minlength=len(names))
+    odds = np.log((bad + 0.5) / (label.sum() + 1)) - np.log((good + 0.5) / ((1 - label).sum() + 1))
+    # a learned word is hardly in other rows, and in several toxic ones that are not copies of each other: copies
+    # share the least rehashed word, so equal (word, least) are counted once
+    least = np.array([mix(x ^ U64(0x77)).min() if len(x) else 0 for x in sets], U64)
+    toxic = label[row] > 0
+    once = np.unique(np.stack([place[toxic].astype(U64), least[row[toxic]]], axis=1), axis=0)[:, 0].astype(np.int64)
+    apart = np.bincount(once, minlength=len(names))
+    sure = np.flatnonzero((apart >= LEAST_APART) & (odds > LEAST_ODDS))
+    sure = sure[np.lexsort((names[sure], -odds[sure]))]
+    return [names[part] for part in np.array_split(sure, LEARNED_LISTS)]
+
+
+FIXED = [[word_hash(w) for w in x.split()] for x in LEXICONS.values()]
+TABLES = ("all", "even", "odd")  # learned from all labelled rows, and from either half
+
+
+def _mask_of(words: np.ndarray, base: int, table: tuple[np.ndarray, np.ndarray]) -> int:
+    """A row's votes: those of the fixed voters, and of the learned lists of the table."""
+    keys, masks = table
+    if not len(keys) or not len(words):
+        return base
+    place = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
+    hit = masks[place[keys[place] == words]]
+    learned = int(np.bitwise_or.reduce(hit)) >> len(LEXICONS) if len(hit) else 0
+    return base | learned << (len(LEXICONS) + 3)
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, toxic, words (the text's distinct words) and mask (of the fixed voters) of rows (key, toxic, text)."""
+    fixed = _table(FIXED)
+    for batch in batches:
+        for chunk in chunks(batch.column(2)):
+            words, off, capital = _words(chunk)
+            part = batch.slice(chunk.start, len(chunk))
+            lists = [np.unique(words[off[i] : off[i + 1]]).tobytes() for i in range(len(chunk))]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lists, pa.binary()), pa.array(votes(chunk, fixed, (words, off, capital)))], ["key", "toxic", "words", "mask"])
+    release()
+
+
+FEATURES = "key long, toxic int, words binary, mask long"
+
+
+def _bounded_rows(batches: Iterator[pa.RecordBatch], max_values: int) -> list[tuple[int, int | None, np.ndarray, int]]:
+    kept = linear.Bounded(max_values)
+    for batch in batches:
+        for key, toxic, words, mask in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            kept.add((key, zlib.crc32(words)), (key, toxic, words, mask), len(words) // 8)
+    return [(key, toxic, np.frombuffer(words, U64), mask) for _, _, (key, toxic, words, mask) in kept.rows]
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, max_unlabelled: int = 8000, max_values: int = 1 << 23, bits: int = 17, seed: int = 23) -> ToxicityModel:
+    """docs: all training rows (doc_id, text); labels: (doc_id, toxic) of training rows. The bounds are those of the samples."""
     key = F.xxhash64(F.lit(seed), F.col("doc_id"))
     sample = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(key, "doc_id").limit(max_labelled)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk in chunks(batch.column(1)):
-                words, off, capital = _words(chunk)
-                part = batch.slice(chunk.start, len(chunk))
-                lists = [np.unique(words[off[i] : off[i + 1]]).tobytes() for i in range(len(chunk))]
-                base = votes(chunk, _table([[word_hash(w) for w in x.split()] for x in LEXICONS.values()]), (words, off, capital))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(lists, pa.binary()), pa.array(base)], ["doc_id", "toxic", "words", "mask"])
-
-    got = sorted(rows.mapInArrow(features, "doc_id long, toxic int, words binary, mask long").collect(), key=lambda r: (r.doc_id, bytes(r.words)))
-    label = np.array([float(r.toxic > 0) for r in got])
-    sets = [np.frombuffer(r.words, U64) for r in got]
-    flat = np.concatenate([*sets, np.zeros(0, U64)])
-    off = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
-    lists = [[word_hash(w) for w in x.split()] for x in LEXICONS.values()]
-    if 0 < label.sum() < len(label):
-        names, place = np.unique(flat, return_inverse=True)
-        row = np.repeat(np.arange(len(sets)), np.diff(off))
-        bad = np.bincount(place, weights=label[row], minlength=len(names))
-        good = np.bincount(place, weights=1 - label[row], minlength=len(names))
-        odds = np.log((bad + 0.5) / (label.sum() + 1)) - np.log((good + 0.5) / ((1 - label).sum() + 1))
-        # a learned word is hardly in other rows, and in several toxic ones that are not copies of each other: copies
-        # share the least rehashed word, so equal (word, least) are counted once
-        least = np.array([mix(x ^ U64(0x77)).min() if len(x) else 0 for x in sets], U64)
-        toxic = label[row] > 0
-        once = np.unique(np.stack([place[toxic].astype(U64), least[row[toxic]]], axis=1), axis=0)[:, 0].astype(np.int64)
-        apart = np.bincount(once, minlength=len(names))
-        sure = np.flatnonzero((apart >= LEAST_APART) & (odds > LEAST_ODDS))
-        sure = sure[np.lexsort((names[sure], -odds[sure]))]
-        lists += [[int(names[j]) for j in part] for part in np.array_split(sure, LEARNED_LISTS)]
-    table = _table(lists)
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    sample = materialize(sample.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic")), "labelled")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(key.alias("key"), "toxic", "text")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = _bounded_rows(batches, max_values)
+        label = np.array([float(toxic) for _, toxic, _, _ in got])
+        even = np.array([key % 2 == 0 for key, _, _, _ in got], bool)
+        lists = {"all": _learned([r[2] for r in got], label)}
+        for name, side in (("even", even), ("odd", ~even)):
+            lists[name] = _learned([r[2] for r, s in zip(got, side, strict=True) if s], label[side])
+        tables = {name: _table([*FIXED, *(x.tolist() for x in own)]) for name, own in lists.items()}
+        own = np.array([_mask_of(words, base, tables["odd" if e else "even"]) for (_, _, words, base), e in zip(got, even, strict=True)], np.int64)
+        columns = [lists[name][k].tobytes() for name in TABLES for k in range(LEARNED_LISTS)]
+        yield pa.RecordBatch.from_arrays([pa.array([columns], pa.list_(pa.binary())), pa.array([own.tobytes()], pa.binary()), pa.array([label.tobytes()], pa.binary())], ["lists", "masks", "labels"])
+        release()
+
+    got = rows.mapInArrow(_features, FEATURES).repartition(1).mapInArrow(learn, "lists array<binary>, masks binary, labels binary").collect()
+    lists = [np.frombuffer(bytes(x), U64).tolist() for x in got[0].lists] if got else [[]] * (3 * LEARNED_LISTS)
+    tables = {name: _table([*FIXED, *lists[i * LEARNED_LISTS : (i + 1) * LEARNED_LISTS]]) for i, name in enumerate(TABLES)}
+    shared = docs.sparkSession.sparkContext.broadcast(tables)
 
     def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, int] = {}
         for batch in batches:
             for chunk in chunks(batch.column(0)):
-                for mask, n in zip(*np.unique(votes(chunk, shared.value), return_counts=True), strict=True):
+                for mask, n in zip(*np.unique(votes(chunk, shared.value["all"]), return_counts=True), strict=True):
                     seen[int(mask)] = seen.get(int(mask), 0) + int(n)
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["mask", "n"])
+        release()
 
     counted = docs.select("text").mapInArrow(patterns, "mask long, n long").groupBy("mask").agg(F.sum("n").alias("n")).orderBy("mask").toPandas()
-    keys, masks = table
-
-    def mask_of(words: np.ndarray, base: int) -> int:
-        place = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
-        hit = masks[place[keys[place] == words]]
-        learned = int(np.bitwise_or.reduce(hit)) >> len(LEXICONS) if len(hit) else 0
-        return base | learned << (len(LEXICONS) + 3)
-
-    own = np.array([mask_of(s, r.mask) for s, r in zip(sets, got, strict=True)], np.int64)
-    model = fit_label_model(counted["mask"].to_numpy(np.int64), counted["n"].to_numpy(float), (own, label) if len(got) else None)
+    anchors = (np.frombuffer(bytes(got[0].masks), np.int64), np.frombuffer(bytes(got[0].labels))) if got and len(got[0].labels) else None
+    model = fit_label_model(counted["mask"].to_numpy(np.int64), counted["n"].to_numpy(float), anchors)
     size = 1 << bits
-    if len(got):
-        target = model.posterior(own)
-        voted = [np.flatnonzero((m >> np.arange(len(VOTERS))) & 1) for m in own]
-        index = np.concatenate([np.concatenate([_buckets(s, bits), size + v]) for s, v in zip(sets, voted, strict=True)])
-        value = np.concatenate([np.concatenate([np.full(len(s), 1 / np.sqrt(max(1, len(s)))), np.ones(len(v))]) for s, v in zip(sets, voted, strict=True)])
-        both = np.concatenate([[0], np.cumsum([len(s) + len(v) for s, v in zip(sets, voted, strict=True)])])
-        weights, bias = linear.fit(index, value, both, target, size + len(VOTERS), l2=3e-5, steps=120, rate=0.2)
-    else:
+    if anchors is None:
         weights, bias = np.zeros(size + len(VOTERS)), float(np.log(model.prior / (1 - model.prior)))
         weights[size:] = np.log(model.rates[1] / model.rates[0]) * model.weight
-    return ToxicityModel(table, model, weights[:size], weights[size:], bias, bits)
+        return ToxicityModel(tables["all"], model, weights[:size], weights[size:], bias, bits)
+    share = max_unlabelled / max(1.0, float(counted["n"].sum()))
+    drawn = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.lit(1 << 40)) < int(share * (1 << 40))
+    either = docs.where("doc_id is not null").select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left").where(F.col("toxic").isNotNull() | drawn).select(key.alias("key"), "toxic", "text")
+
+    def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = _bounded_rows(batches, max_values)
+        own = np.array([_mask_of(words, base, shared.value["all" if toxic is None else "odd" if key % 2 == 0 else "even"]) for key, toxic, words, base in got], np.int64)
+        voted = [np.flatnonzero((m >> np.arange(len(VOTERS))) & 1) for m in own]
+        index = np.concatenate([np.concatenate([_buckets(r[2], bits), size + v]) for r, v in zip(got, voted, strict=True)])
+        value = np.concatenate([np.concatenate([np.full(len(r[2]), 1 / np.sqrt(max(1, len(r[2])))), np.ones(len(v))]) for r, v in zip(got, voted, strict=True)])
+        off = np.concatenate([[0], np.cumsum([len(r[2]) + len(v) for r, v in zip(got, voted, strict=True)])])
+        weights, bias = linear.fit(index, value, off, model.posterior(own), size + len(VOTERS), l2=3e-5, steps=120, rate=0.2)
+        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias])], ["weights", "bias"])
+        release()
+
+    trained = either.mapInArrow(_features, FEATURES).repartition(1).mapInArrow(classify, "weights binary, bias double").first()
+    weights = np.frombuffer(bytes(trained.weights))
+    return ToxicityModel(tables["all"], model, weights[:size], weights[size:], trained.bias, bits)
+
+
+def probabilities(chunk: Chunk, model: ToxicityModel) -> np.ndarray:
+    """The score of each row of the chunk."""
+    words, off, capital = _words(chunk)
+    row = np.repeat(np.arange(len(chunk), dtype=U64), np.diff(off))
+    _, first = np.unique(words ^ mix(row + U64(1)), return_index=True)  # distinct words of a row
+    row = row[first].astype(np.int64)
+    total = np.bincount(row, weights=model.weights[_buckets(words[first], model.bits)], minlength=len(chunk))
+    distinct = np.bincount(row, minlength=len(chunk))
+    on = ((votes(chunk, model.table, (words, off, capital))[:, None] >> np.arange(len(VOTERS))) & 1).astype(float)
+    return linear.sigmoid(total / np.sqrt(np.maximum(1, distinct)) + on @ model.vote_weights + model.bias)
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
     """docs with score (probability that the text is toxic) and predicted (1 from 0.5 on)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    added = {"score": "double", "predicted": "int"}
-    docs = docs.drop(*added)
-    at = docs.columns.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            for chunk in chunks(batch.column(at)):
-                words, off, capital = _words(chunk)
-                row = np.repeat(np.arange(len(chunk), dtype=U64), np.diff(off))
-                keys = words ^ mix(row + U64(1))  # distinct words of a row
-                _, first = np.unique(keys, return_index=True)
-                row = row[first].astype(np.int64)
-                total = np.bincount(row, weights=model.weights[_buckets(words[first], model.bits)], minlength=len(chunk))
-                distinct = np.bincount(row, minlength=len(chunk))
-                mask = votes(chunk, model.table, (words, off, capital))
-                on = ((mask[:, None] >> np.arange(len(VOTERS))) & 1).astype(float)
-                p = linear.sigmoid(total / np.sqrt(np.maximum(1, distinct)) + on @ model.vote_weights + model.bias)
-                part = batch.slice(chunk.start, len(chunk))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*batch.schema.names, *added])
-
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), *(f"{c} {t}" for c, t in added.items())])
-    return docs.mapInArrow(run, fields)
+    @F.arrow_udf("double")
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(np.concatenate([np.zeros(0), *(probabilities(chunk, shared.value) for chunk in chunks(texts))]))
+        release()
+
+    p = fresh(docs, "probability")
+    judged = docs.withColumn(p, judge.asNondeterministic()(F.col(text)))  # not to be computed twice
+    return judged.select(*[c for c in docs.columns if c == text or c not in ("score", "predicted")], F.col(p).alias("score"), (F.col(p) >= 0.5).cast("int").alias("predicted"))
