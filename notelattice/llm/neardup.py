@@ -256,8 +256,8 @@ def _components(docs: DataFrame, size: int, percent: int, rows: int) -> DataFram
     rest = materialize(direct.union(close_pairs(members, sets, percent)).distinct(), "rest")
     second = verify(rest, sets, percent).where("linked").select("a", "b")
     links = materialize(links.union(second).distinct(), "links")
-    named = classes.select("node", "fingerprint", "rep").join(label(links), "node", "left")
-    least = named.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
+    named = materialize(classes.select("node", "fingerprint", "rep").join(label(links), "node", "left"), "labelled")
+    least = materialize(named.where("component is not null").groupBy("component").agg(F.min("rep").alias("least")), "least")
     named = named.join(least, "component", "left").select("fingerprint", F.coalesce("least", "rep").alias("component_id"))
     named = materialize(named, "named")
     with_class = F.expr("fingerprint is not null and doc_id is not null")
