@@ -2,7 +2,8 @@
 
 Voters look at the whole text and vote "toxic" or abstain: fixed lexicons (several kinds of insult, four languages),
 patterns (address with an insult, repeated insults, several kinds together, shouting with an insult) and lexicons learned
-from the labelled training rows (words of high smoothed log odds, in a few lists from the surest to the least sure).
+from the labelled training rows (words, and beginnings of words, of high smoothed log odds, in a few lists from the surest
+to the least sure; beginnings catch the inflected and compound forms of a telling word).
 
 The label model is fitted by expectation-maximisation on the counts of vote patterns over *all* training rows (at most
 2**voters patterns, gathered as counts), starting from the labelled rows' rates. Accuracies are each voter's rates of
@@ -11,7 +12,7 @@ share their weight (a voter's log-odds are divided by one plus its correlations
 learned lexicons are cross-fitted: what they vote on a labelled row comes from lists learned from the other half of the
 labelled rows, so their rates are not those on the rows that they were picked from.
 
-The classifier is a logistic regression on hashed words and the votes, trained with the posteriors as targets on a bounded
+The classifier is a logistic regression on hashed words, beginnings of words and the votes, trained with the posteriors as targets on a bounded
 sample of training rows: at most `max_labelled` labelled ones and about `max_unlabelled` others, by keyed hashes of doc_id,
 as far as they have `max_values` words together. Its score is the probability. Lists and classifier are each fitted in one
 task, which holds the bounded sample; the driver gets lists, pattern counts and weights.
@@ -56,8 +57,13 @@ _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
+BEGINNINGS = (4, 5, 6)  # bytes
+
+
 def _words(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the letter runs, A-Z folded, their offsets by row, and whether each is all capitals."""
+    """Hashes of the letter runs, A-Z folded, and of their beginnings, their offsets by row, and whether each run is all capitals.
+
+    Each run has one entry and one for each of BEGINNINGS, which is 0 if the run is not longer."""
     letter = _LETTER[chunk.data]
     edge = np.flatnonzero(np.diff(np.concatenate([[0], letter.view(np.int8), [0]])))
     starts, ends = edge[::2], edge[1::2]
@@ -68,7 +74,13 @@ def _words(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
     lower = (chunk.data >= 97) & letter
     capital = row_sums(lower, np.concatenate([starts, [len(letter)]]))[: len(starts)] if len(starts) else np.zeros(0)
-    return span_hashes(BYTE_VALUE[LOWER[chunk.data]], starts, ends), np.searchsorted(starts, chunk.off), capital == 0
+    values = BYTE_VALUE[LOWER[chunk.data]]
+    units = np.zeros((len(starts), 1 + len(BEGINNINGS)), U64)
+    units[:, 0] = span_hashes(values, starts, ends)
+    for k, n in enumerate(BEGINNINGS, 1):
+        longer = np.flatnonzero(ends - starts > n)
+        units[longer, k] = mix(span_hashes(values, starts[longer], starts[longer] + n) + U64(n))
+    return units.ravel(), np.searchsorted(starts, chunk.off) * units.shape[1], np.repeat(capital == 0, units.shape[1])
 
 
 def word_hash(word: str) -> int:
@@ -210,7 +222,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batch.column(2)):
             words, off, capital = _words(chunk)
             part = batch.slice(chunk.start, len(chunk))
-            lists = [np.unique(words[off[i] : off[i + 1]]).tobytes() for i in range(len(chunk))]
+            lists = [np.unique(w[w > 0]).tobytes() for w in (words[off[i] : off[i + 1]] for i in range(len(chunk)))]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lists, pa.binary()), pa.array(votes(chunk, fixed, (words, off, capital)))], ["key", "toxic", "words", "mask"])
     release()
 
@@ -291,10 +303,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, max_unlabe
 def probabilities(chunk: Chunk, model: ToxicityModel) -> np.ndarray:
     """The score of each row of the chunk."""
     words, off, capital = _words(chunk)
-    row = np.repeat(np.arange(len(chunk), dtype=U64), np.diff(off))
-    _, first = np.unique(words ^ mix(row + U64(1)), return_index=True)  # distinct words of a row
+    some = np.flatnonzero(words)
+    row = np.repeat(np.arange(len(chunk), dtype=U64), np.diff(off))[some]
+    _, first = np.unique(words[some] ^ mix(row + U64(1)), return_index=True)  # distinct ones of a row
     row = row[first].astype(np.int64)
-    total = np.bincount(row, weights=model.weights[_buckets(words[first], model.bits)], minlength=len(chunk))
+    total = np.bincount(row, weights=model.weights[_buckets(words[some[first]], model.bits)], minlength=len(chunk))
     distinct = np.bincount(row, minlength=len(chunk))
     on = ((votes(chunk, model.table, (words, off, capital))[:, None] >> np.arange(len(VOTERS))) & 1).astype(float)
     return linear.sigmoid(total / np.sqrt(np.maximum(1, distinct)) + on @ model.vote_weights + model.bias)
