@@ -32,7 +32,7 @@ from .arrow_text import U64, mix, release, span_hashes
 
 MARK = 0x2581
 LONG = 48  # symbols; longer segments go through the heap
-PIECE = 1 << 17
+PIECE = 1 << 16  # characters encoded at once
 NONE = np.int64(1) << np.int64(62)
 
 
@@ -148,47 +148,43 @@ def merge_segments(symbols: np.ndarray, off: np.ndarray, keys: np.ndarray, piece
         done_id.append(np.array(got, np.int64))
         done_seg.append(np.full(len(got), s))
         done_place.append(np.arange(len(got)))
-    seg = np.repeat(np.arange(len(n)), n)
-    short = n[seg] <= LONG
-    place = (np.arange(len(symbols)) - off[seg])[short]
-    seg, ids = seg[short], symbols[short]
-    made = None
+    few = np.flatnonzero((n > 0) & (n <= LONG))
+    seg = np.repeat(few.astype(np.int32), n[few])
+    starts = np.concatenate([np.zeros(1, np.int64), np.cumsum(n[few])])[:-1]
+    place = np.arange(len(seg), dtype=np.int32) - np.repeat(starts.astype(np.int32), n[few])
+    ids = symbols[off[seg] + place].astype(np.int32)
+    made = np.full(len(ids), -1, np.int32)  # what each symbol and its right neighbour make
+    cost = np.full(len(ids), NONE)  # its rank, in the upper half
+    fresh = np.arange(len(ids))
     while len(ids):
-        # candidates of each symbol with its right neighbour; only those beside the last merge are looked up anew
-        if made is None:
-            fresh = np.arange(len(ids) - 1)
-            made = np.full(len(ids), -1, np.int64)
-        fresh = fresh[(fresh >= 0) & (fresh < len(ids) - 1)]
-        fresh_ok = seg[fresh] == seg[fresh + 1]
-        made[fresh[~fresh_ok]] = -1
-        fresh = fresh[fresh_ok]
+        # candidates beside the last merges are looked up anew
+        fresh = fresh[fresh < len(ids) - 1]
+        inside = seg[fresh] == seg[fresh + 1]
+        cost[fresh[~inside]] = NONE
+        fresh = fresh[inside]
         got = pieces.merged(ids[fresh], ids[fresh + 1])
+        able = np.flatnonzero(got >= 0)
         if limit:
-            able = np.flatnonzero(got >= 0)
-            drop = _skipped(keys[seg[fresh[able]]], place[fresh[able]], got[able], limit)
-            got[able[drop]] = -1
+            able = able[~_skipped(keys[seg[fresh[able]]], place[fresh[able]], got[able], limit)]
+        cost[fresh] = NONE
+        cost[fresh[able]] = pieces.rank[got[able]] << np.int64(32)
         made[fresh] = got
-        if len(made):
-            made[-1] = -1
-        cost = np.where(made >= 0, (pieces.rank[np.maximum(made, 0)] << np.int64(32)) | np.arange(len(ids)), NONE)
-        starts = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
-        best = np.minimum.reduceat(cost, starts)
-        ended = best == NONE
+        cost[-1] = NONE
+        best = np.minimum.reduceat(cost | np.arange(len(ids)), starts)
+        ended = best >= NONE
+        at = best[~ended] & np.int64(0xFFFFFFFF)
+        ids[at] = made[at]
+        keep = np.ones(len(ids), bool)
+        keep[at + 1] = False
         if ended.any():
-            count = np.diff(np.append(starts, len(ids)))
-            out = np.repeat(ended, count)
+            out = np.repeat(ended, np.diff(np.append(starts, len(ids))))
             done_id.append(ids[out])
             done_seg.append(seg[out])
             done_place.append(place[out])
-        at = best[~ended] & np.int64(0xFFFFFFFF)
-        keep = np.ones(len(ids), bool)
-        if ended.any():
             keep[out] = False
-        ids[at] = made[at]
-        keep[at + 1] = False
-        moved = np.cumsum(keep) - 1
-        fresh = moved[at]
-        ids, seg, place, made = ids[keep], seg[keep], place[keep], made[keep]
+        moved = np.cumsum(keep, dtype=np.int32) - 1
+        fresh, starts = moved[at], moved[starts[~ended]]
+        ids, seg, place, made, cost = ids[keep], seg[keep], place[keep], made[keep], cost[keep]
         beside = np.zeros(len(ids), bool)
         beside[fresh] = True
         beside[fresh[fresh > 0] - 1] = True
@@ -278,7 +274,7 @@ def encode(docs: DataFrame, vocab: str, dropout: float = 0.1, seed: int = 7, key
             start = 0
             while start < len(texts):
                 stop, size = start, 0
-                while stop < len(texts) and (stop == start or size + len(texts[stop] or "") <= PIECE * 4):
+                while stop < len(texts) and (stop == start or size + len(texts[stop] or "") <= PIECE):
                     size += len(texts[stop] or "")
                     stop += 1
                 part = [t or "" for t in texts[start:stop]]
