@@ -53,7 +53,8 @@ class Project:
     def reindex(self) -> dict[str, int]:
         """Reads the vault, writes all tables, and reports what changed: added, updated, unchanged, removed, skipped.
 
-        Skipped notes (malformed, no UTF-8) keep the row that they had; notes with an invalid permalink fail the pass.
+        Skipped notes (malformed, no UTF-8) keep the row that they had; notes with an invalid permalink, created or modified
+        fail the pass.
         """
         notes = vault.documents(self.spark, str(self.root), self.name)
         folder = self.store / f"v-{uuid.uuid4().hex}"
@@ -64,8 +65,9 @@ class Project:
             raise ValueError(f"{failed[0].file_path}: {failed[0].error}")
         before = self.table("entity").select("file_path", "checksum", "created_at") if self._version() else None
         good = notes.where("outcome = 'loaded'").withColumn("project_id", F.lit(self.project_id).cast("long"))
-        created = F.get_json_object("metadata", "$.created")
-        good = good.withColumn("created_at", F.coalesce(F.try_to_timestamp(created), F.col("updated_at")))
+        # the note's own instants win over the file's; a note with an invalid one has failed the pass above
+        said = lambda name: F.try_to_timestamp(markdown.instant_of(F.get_json_object("metadata", f"$.{name}")))
+        good = good.withColumn("created_at", F.coalesce(said("created"), "updated_at")).withColumn("updated_at", F.coalesce(said("modified"), "updated_at"))
         entities, observations, relations = indexing.assign_ids(good)
         entities = entities.withColumnRenamed("metadata", "entity_metadata").drop("text", "wikilinks", "error", "outcome")
         relations = indexing.resolve_links(relations, entities)
@@ -212,7 +214,9 @@ class Project:
             best = fused.join(best.select("type", "id", "texts"), ["type", "id"], "left")
         hits = best.join(rows.drop("score") if "score" in rows.columns else rows, ["type", "id"])
         hits = hits.withColumn("matched_chunk", vectors.matched_chunk(F.col("content_snippet"), F.coalesce("texts", F.array().cast("array<string>"))))
-        return paging.probe(hits, [F.desc("score"), F.col("type"), F.col("id")], page, page_size)
+        # equal scores: the text leg in its order, then the vector leg in its
+        ties = [F.desc(c) for c in ("text_score", "vector_score") if c in hits.columns]
+        return paging.probe(hits, [F.desc("score"), *ties, F.col("type"), F.col("id")], page, page_size)
 
     # -- graph, directories, schemas
 
@@ -232,12 +236,12 @@ class Project:
         found, by = directory.listing(self.table("entity").select("file_path", "title", "updated_at"), folder, depth, glob, order)
         return paging.exact(found, by, page, min(page_size, directory.MOST_PAGE))
 
-    def _fields_of(self, note_type: str) -> tuple[DataFrame, DataFrame]:
-        """Values (note, place, field, value) and notes of a type: observations by category, relations by type."""
+    def _fields_of(self, note_type: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Values (note, place, field, value) of the observations by category and of the relations by type, and the notes of a type."""
         own = self.table("entity").where(T.note_type(F.col("note_type")) == F.lit(note_type)).select(F.col("id").alias("note"))
         o = self.table("observation").select(F.col("entity_id").alias("note"), "place", F.coalesce("category", F.lit("note")).alias("field"), F.col("content").alias("value"))
         r = self.table("relation").select(F.col("from_id").alias("note"), "place", F.col("relation_type").alias("field"), F.col("to_name").alias("value"))
-        return o.unionByName(r).join(own, "note", "left_semi"), own
+        return o.join(own, "note", "left_semi"), r.join(own, "note", "left_semi"), own
 
     def schema_of(self, note_type: str) -> tuple[list[schema.Field], str]:
         """The fields and the mode of the schema note for a type."""
@@ -249,16 +253,25 @@ class Project:
         return fields, mode
 
     def schema_infer(self, note_type: str) -> DataFrame:
-        return schema.infer(*self._fields_of(note_type))
+        """The use of each observation category and relation type; one name may be both, told apart by source."""
+        observations, relations, notes = self._fields_of(note_type)
+        found = [schema.infer(values, notes).withColumn("source", F.lit(source)) for values, source in ((observations, "observation"), (relations, "relation"))]
+        return found[0].unionByName(found[1])
 
     def schema_validate(self, note_type: str) -> DataFrame:
         fields, mode = self.schema_of(note_type)
-        values, notes = self._fields_of(note_type)
-        return schema.report(schema.validate(values, notes, schema.field_table(self.spark, fields)), mode)
+        """Fields that name a note type are looked for among the relations, all others among the observations."""
+        observations, relations, notes = self._fields_of(note_type)
+        table = schema.field_table(self.spark, fields)
+        both = schema.validate(observations, notes, table.where("not is_reference")).unionByName(schema.validate(relations, notes, table.where("is_reference")))
+        return schema.report(both, mode)
 
     def schema_diff(self, note_type: str) -> DataFrame:
-        values, notes = self._fields_of(note_type)
-        return schema.drift(schema.field_table(self.spark, self.schema_of(note_type)[0]), schema.frequencies(values, notes, 3))
+        """The drift of the fields declared and used as observations, and of those declared and used as relations."""
+        observations, relations, notes = self._fields_of(note_type)
+        table = schema.field_table(self.spark, self.schema_of(note_type)[0])
+        own = schema.drift(table.where("not is_reference"), schema.frequencies(observations, notes, 3))
+        return own.unionByName(schema.drift(table.where("is_reference"), schema.frequencies(relations, notes, 3)))
 
 
 def search_all(projects: list[Project], query: str, page: int = 1, page_size: int = 10) -> list[dict]:

@@ -9,9 +9,11 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARKERS = ("- ", "* ", "+ ")
@@ -35,15 +37,15 @@ def split_frontmatter(text: str) -> tuple[str | None, str]:
 
 
 def load_yaml(text: str) -> dict:
-    """The mapping of a YAML text, {} for an empty one; ValueError if it is malformed or no mapping."""
-    try:
-        import yaml
-    except ImportError:  # the plain subset: keys, scalars and lists of scalars
-        return _plain_yaml(text)
-    try:
-        value = yaml.load(text, Loader=yaml.SafeLoader)
-    except yaml.YAMLError as e:
-        raise ValueError(str(e)) from e
+    """The mapping of a YAML text, {} for an empty one; ValueError if it is malformed or no mapping.
+
+    It is the part of YAML that notes use: nested mappings and lists by indentation, flow lists and mappings, quoted and
+    plain scalars, literal and folded blocks, comments. The parser is the engine's own, so that all executors read alike.
+    """
+    lines = [line.rstrip() for line in text.split("\n")]
+    value, at = _yaml_block(lines, _yaml_next(lines, 0), 0)
+    if _yaml_next(lines, at) < len(lines):
+        raise ValueError(f"malformed line {lines[_yaml_next(lines, at)]!r}")
     if value is None:
         return {}
     if not isinstance(value, dict):
@@ -51,15 +53,112 @@ def load_yaml(text: str) -> dict:
     return value
 
 
+def _yaml_next(lines: list[str], at: int) -> int:
+    """The next line from here on that is neither blank nor a comment."""
+    while at < len(lines) and (not lines[at].strip() or lines[at].lstrip().startswith("#")):
+        at += 1
+    return at
+
+
+def _indent(line: str) -> int:
+    return len(line) - len(line.lstrip(" "))
+
+
+_KEY = re.compile(r"""\s*("(?:[^"\\]|\\.)*"|'(?:[^']|'')*'|[^\s\[\]{}"'#&*!|>%@`-][^#]*?|-[^\s#][^#]*?)\s*:(?:\s+(.*))?$""", re.S)
+
+
+def _yaml_block(lines: list[str], at: int, least: int):
+    """The value of the lines from `at` on that are indented by `least` or more, and the line after it."""
+    at = _yaml_next(lines, at)
+    if at >= len(lines) or _indent(lines[at]) < least:
+        return None, at
+    indent, is_list = _indent(lines[at]), lines[at].lstrip().startswith(("- ", "-\t")) or lines[at].strip() == "-"
+    out = [] if is_list else {}
+    while at < len(lines) and _indent(lines[at]) == indent:
+        line = lines[at]
+        if is_list:
+            if not (line.lstrip().startswith(("- ", "-\t")) or line.strip() == "-"):
+                break
+            rest = line.lstrip()[1:].strip()
+            if rest and _KEY.match(rest) and rest[0] not in "\"'[{":  # a mapping that begins beside the dash
+                lines[at] = " " * (len(line) - len(rest)) + rest
+                value, at = _yaml_block(lines, at, indent + 1)
+            else:
+                value, at = _yaml_value(lines, at, rest, indent)
+            out.append(value)
+        else:
+            m = _KEY.match(line)
+            if not m:
+                raise ValueError(f"malformed line {line!r}")
+            value, at = _yaml_value(lines, at, (m[2] or "").strip(), indent)
+            out[str(_scalar(m[1])) if m[1][0] in "\"'" else m[1]] = value
+        at = _yaml_next(lines, at)
+    if at < len(lines) and _indent(lines[at]) > indent:
+        raise ValueError(f"unexpected indentation at {lines[at]!r}")
+    return out, at
+
+
+def _yaml_value(lines: list[str], at: int, rest: str, indent: int):
+    """The value whose text on line `at` is rest, and the line after it."""
+    if re.fullmatch(r"[|>][+-]?", rest):
+        end = at + 1
+        while end < len(lines) and (not lines[end].strip() or _indent(lines[end]) > indent):
+            end += 1
+        own = lines[at + 1 : end]
+        depth = min((_indent(x) for x in own if x.strip()), default=0)
+        own = [x[depth:] for x in own]
+        text = "\n".join(own).rstrip("\n") if rest[0] == "|" else re.sub(r"(?<!\n)\n(?!\n)", " ", "\n".join(own).strip())
+        return text + ("" if rest.endswith("-") else "\n"), end
+    quoted = re.match(r"""("(?:[^"\\]|\\.)*"|'(?:[^']|'')*')\s*(?:#.*)?$""", rest)
+    rest = quoted[1] if quoted else re.sub(r"(^|\s)#.*$", "", rest).strip()
+    if rest:
+        return _scalar(rest), at + 1
+    following = _yaml_next(lines, at + 1)
+    beside = following < len(lines) and _indent(lines[following]) == indent and lines[following].lstrip().startswith("- ") and not lines[at].lstrip().startswith("- ")
+    return _yaml_block(lines, following, indent if beside else indent + 1)
+
+
+def _flow_parts(text: str) -> list[str]:
+    """The parts between the commas of a flow list or mapping, not those in quotes or brackets."""
+    out, depth, quote, part = [], 0, "", ""
+    for c in text:
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "\"'":
+            quote = c
+        elif c in "[{":
+            depth += 1
+        elif c in "]}":
+            depth -= 1
+        if c == "," and not quote and depth == 0:
+            out.append(part)
+            part = ""
+        else:
+            part += c
+    if quote or depth:
+        raise ValueError(f"unclosed value {text!r}")
+    return [p.strip() for p in [*out, part] if p.strip()]
+
+
 def _scalar(text: str):
     text = text.strip()
-    if text[:1] in "\"'" and len(text) > 1 and text[-1] == text[0]:
-        return text[1:-1]
+    if text[:1] in ("\"", "'"):
+        if len(text) < 2 or text[-1] != text[0]:
+            raise ValueError(f"unclosed quote in {text!r}")
+        if text[0] == "'":
+            return text[1:-1].replace("''", "'")
+        try:
+            return json.loads(text)
+        except ValueError:
+            return text[1:-1]
     if text.startswith("[") and text.endswith("]"):
-        return [_scalar(x) for x in text[1:-1].split(",") if x.strip()]
+        return [_scalar(x) for x in _flow_parts(text[1:-1])]
+    if text.startswith("{") and text.endswith("}"):
+        pairs = [p.partition(":") for p in _flow_parts(text[1:-1])]
+        return {str(_scalar(k)): _scalar(v) for k, _, v in pairs}
     if text[:1] in "[{":
         raise ValueError(f"unclosed value {text!r}")
-    if text in ("", "~", "null"):
+    if text in ("", "~") or text.lower() == "null":
         return None
     if text.lower() in ("true", "false"):
         return text.lower() == "true"
@@ -70,23 +169,6 @@ def _scalar(text: str):
     return text
 
 
-def _plain_yaml(text: str) -> dict:
-    out: dict = {}
-    key = None
-    for line in text.split("\n"):
-        if not line.strip() or line.lstrip().startswith("#"):
-            continue
-        if line.lstrip().startswith("- ") and key is not None and isinstance(out[key], list | None):
-            out[key] = [*(out[key] or []), _scalar(line.lstrip()[2:])]
-            continue
-        m = re.fullmatch(r"([^\s:][^:]*):(?:\s+(.*))?", line)
-        if not m:
-            raise ValueError(f"malformed line {line!r}")
-        key = m[1].strip()
-        out[key] = _scalar(m[2] or "")
-    return out
-
-
 def as_text(value):
     """Frontmatter scalars become strings: True, 3, 1.5; lists and mappings keep their form, null stays null."""
     if isinstance(value, bool):
@@ -244,6 +326,21 @@ NOTE = T.StructType(
 )
 
 
+def instant(text: str) -> str | None:
+    """An ISO date or date and time as one in UTC (without a zone it is UTC); None if it is none."""
+    try:
+        found = datetime.fromisoformat(text.strip())
+    except ValueError:
+        return None
+    return found.replace(tzinfo=found.tzinfo or UTC).astimezone(UTC).isoformat()
+
+
+def instant_of(text: Column) -> Column:
+    """A valid frontmatter instant as one that casts to a timestamp: a bare date is midnight, no zone is UTC."""
+    dated = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(text, F.lit("T00:00:00"))).otherwise(text)
+    return F.when(dated.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), dated).otherwise(F.concat(dated, F.lit("Z")))
+
+
 def parse_note(path: str, text: str) -> dict:
     """A note as a row of NOTE. error says why it can't be indexed: malformed frontmatter or an invalid permalink."""
     text = text.replace("\r\n", "\n").replace("﻿", "")
@@ -260,8 +357,11 @@ def parse_note(path: str, text: str) -> dict:
     stem = stem[:-3] if stem.endswith(".md") else stem
     title = flat(meta.get("title"))
     link = flat(meta.get("permalink")) or None
-    if link is not None and not re.fullmatch(r"[^\s/][^\s]*", link):
+    if link is not None and ("//" in link or re.search(r'[\s<>"|?]', link)):
         error = error or "permalink: invalid"
+    for name in ("created", "modified"):
+        if flat(meta.get(name)) and instant(flat(meta[name])) is None:
+            error = error or f"{name}: invalid timestamp"
     tags = parse_tags(meta.get("tags"))
     if "tags" in meta:
         meta["tags"] = tags

@@ -116,3 +116,8 @@ def glob_to_regex(glob: str, strict: bool = False) -> str:
             out += "\\" + c if c in r"\.^$+{}()|]" else c
         i += 1
     return f"(?s)^(?:{out})$"
+
+
+def ascii_lower(text: Column) -> Column:
+    """A to Z folded, all else as it is."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -15,10 +15,10 @@ ORDERS = ("default", "title_asc", "title_desc", "updated_asc", "updated_desc")
 def nodes(files: DataFrame, root: str = "") -> DataFrame:
     """(path, name, kind, depth, title, updated_at) of files (file_path, title, updated_at) and their folders below root.
 
-    A folder appears once for all of its files: each path gives its prefixes, and a distinct makes the folders.
+    root matches in either case of the letters A to Z. A folder appears once for all of its files: each path gives its prefixes, and a distinct makes the folders.
     """
     root = root.strip("/")
-    inside = files if not root else files.where(F.col("file_path").startswith(root + "/"))
+    inside = files if not root else files.where(T.ascii_lower(F.col("file_path")).startswith(T.ascii_lower(F.lit(root + "/"))))
     parts = F.split("file_path", "/")
     base = len(root.split("/")) if root else 0
     folder = inside.where(F.size(parts) > base + 1).select(F.explode(F.transform(F.sequence(F.lit(base + 1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("path")).distinct()

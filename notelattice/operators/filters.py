@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import fulltext
 
 
 @dataclass(frozen=True)
@@ -22,6 +23,7 @@ class Filters:
     tags: tuple[str, ...] = ()
     status: str | None = None
     metadata: dict[str, str] = field(default_factory=dict)
+    title: str | None = None
     permalink: str | None = None
     permalink_match: str | None = None
     after: str | None = None  # an instant, 'YYYY-MM-DD HH:MM:SS' in UTC
@@ -39,6 +41,8 @@ def row_predicate(f: Filters) -> Column:
         c &= F.lower(F.get_json_object("metadata", "$.note_type")).isin(*[t.lower() for t in f.note_types])
     if f.categories:
         c &= F.col("category").isin(*f.categories)
+    if f.title is not None and (expression := fulltext.prepare_title(f.title)):
+        c &= token_match(F.col("title"), expression)
     if f.permalink is not None:
         c &= F.col("permalink") == f.permalink
     if f.permalink_match is not None:
@@ -49,13 +53,20 @@ def row_predicate(f: Filters) -> Column:
 
 
 def permalink_matches(permalink: Column, pattern: str) -> Column:
-    """A lower-cased pattern: with a star a glob, with a slash the whole permalink, else one of its tokens by prefix."""
+    """A lower-cased pattern: with a star a glob, with a slash the whole permalink, else whole tokens of it."""
     pattern = pattern.lower()
     if "*" in pattern:
         return permalink.rlike(T.glob_to_regex(pattern))
     if "/" in pattern:
         return permalink == pattern
-    return F.exists(T.tokens(permalink), lambda t: t.startswith(pattern))
+    return token_match(permalink, fulltext.prepare_term(pattern, prefix=False))
+
+
+def token_match(column: Column, expression: str) -> Column:
+    """Does the text of the column satisfy a full-text expression?"""
+    tree = fulltext.parse(expression)
+    asked = [p for p in fulltext.phrases(tree) if p.tokens]
+    return fulltext.holds(tree, {p: fulltext.occurrences(T.tokens(column), p) for p in asked}) if asked else F.lit(False)
 
 
 def json_strings(column: str, path: str) -> Column:

@@ -35,20 +35,16 @@ QUOTING = " .:;,<>?/-"
 
 def prepare_term(term: str, prefix: bool = True) -> str:
     """One user term as an expression: words joined by AND, or a quoted phrase if there are special characters."""
-    term = term.strip()
-    if not term or ("*" in term and all(c.isalnum() or c in "*_-" for c in term)):
-        return term
-    if " " in term:
-        term = " ".join(w for w in (w.strip("?!.,;:") for w in term.split()) if w)
-        if not term:
-            return ""
-    bad, special = any(c in PROBLEMATIC for c in term), any(c in QUOTING for c in term)
-    if not bad and not special:
-        return term + "*" * prefix
-    if " " in term and not bad and not any(c in QUOTING[1:] for c in term):
-        return " AND ".join(w + "*" * prefix for w in term.split())
-    star = "*" if prefix and not ("/" in term and term.endswith(".md")) else ""
-    return '"' + term.replace('"', '""') + '"' + star
+    words = term.split()
+    if len(words) == 1 and "*" in words[0] and re.fullmatch(r"[\w*-]+", words[0]):
+        return words[0]  # a pattern of the user's own
+    if len(words) > 1:
+        words = [w for w in (w.strip("?!.,;:") for w in words) if w]
+    text, star = " ".join(words), "*" if prefix else ""
+    if not set(text) & set(PROBLEMATIC + QUOTING) - {" "}:
+        return " AND ".join(w + star for w in words)
+    is_file = text.endswith(".md") and "/" in text
+    return '"' + text.replace('"', '""') + '"' + ("" if is_file else star)
 
 
 def has_operators(query: str) -> bool:
@@ -79,13 +75,17 @@ def prepare_title(query: str) -> str | None:
 STOPWORDS = frozenset("a an and are as at be but by did do does for from had has have how i in is it of on or our that the their they this to was we were what when where which who whom whose why will with you your".split())
 
 
+# Ranges of the scripts that are written without spaces, and of Hangul.
+UNSPACED = ((0x1100, 0x11FF), (0x3040, 0x30FF), (0x3130, 0x318F), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA960, 0xA97F), (0xAC00, 0xD7AF), (0xD7B0, 0xD7FF), (0xF900, 0xFAFF), (0xFF65, 0xFF9F))
+
+
 def relaxed(query: str) -> str | None:
     """The OR of the query's words as prefixes, for a strict query that found nothing; None if it must not be relaxed."""
     if '"' in query or has_operators(query):
         return None
     found = [w.strip("'’") for w in re.findall(r"[^\W_][\w'’]*", unicodedata.normalize("NFC", query), re.U)]
     found = [w.replace("_", "") for w in found if w]
-    cjk = any(0x3000 <= ord(c) <= 0x9FFF or 0xFF00 <= ord(c) <= 0xFFEF for w in found for c in w)
+    cjk = any(a <= ord(c) <= b for w in found for c in w for a, b in UNSPACED)
     if len(found) < (2 if cjk else 3) or any(w.isnumeric() for w in found):
         return None
     kept = [w for w in found if w.lower() not in STOPWORDS] or found

@@ -89,14 +89,18 @@ def search_index(entities: DataFrame, observations: DataFrame, relations: DataFr
 
 
 def resolve_links(targets: DataFrame, entities: DataFrame) -> DataFrame:
-    """targets (to_name) with to_id: the first entity by id whose permalink or path, with or without .md, is the target.
+    """targets (to_name, to_id) with to_id, where it is null, set to the first entity by id whose permalink or path, with or
+    without .md, is the target. Where both sides have project_id, only entities of the target's own project count.
 
     What stands after a bar is a label. Each entity offers its keys, so this is one hash join instead of a nested loop.
     """
+    own = ["project_id"] if "project_id" in targets.columns and "project_id" in entities.columns else []
     keys = F.array_distinct(F.filter(F.array("permalink", "file_path", F.regexp_replace("file_path", r"\.md$", "")), lambda k: k.isNotNull()))
-    offered = entities.select("id", F.explode(keys).alias("key")).groupBy("key").agg(F.min("id").alias("to_id"))
+    offered = entities.select(*own, "id", F.explode(keys).alias("key")).groupBy(*own, "key").agg(F.min("id").alias("__found"))
     name = F.trim(F.split("to_name", r"\|").getItem(0))
-    return targets.drop("to_id").withColumn("key", name).join(offered, "key", "left").drop("key")
+    known = F.col("to_id") if "to_id" in targets.columns else F.lit(None).cast("long")
+    columns = [F.coalesce(known, "__found").alias("to_id") if c == "to_id" else F.col(c) for c in dict.fromkeys([*targets.columns, "to_id"])]
+    return targets.withColumn("key", name).join(offered, [*own, "key"], "left").select(*columns)
 
 
 def reconcile(disk: DataFrame, stored: DataFrame, key: str = "file_path") -> DataFrame:

@@ -68,13 +68,6 @@ def fts_relaxed_or(spark, sf_dir):
 
 @query
 def fts_query_batch(spark, sf_dir):
-    terms = table(spark, sf_dir, "benchmark").where("item_id < 20").select(F.col("item_id").alias("query_id"), F.element_at(T.tokens(F.col("text")), 1).alias("term"))
-    found = fulltext.batch_terms(fulltext.tokenized(corpus.index(spark, sf_dir)), terms)
-    return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_found"), F.round(F.sum("score"), 4).alias("sum_score"))
-
-
-@query
-def fts_query_batch_whole(spark, sf_dir):
     """Every distinct token of every benchmark item; a token of many items is looked up once."""
     asked = table(spark, sf_dir, "benchmark").select("item_id", F.explode(T.tokens(F.col("text"))).alias("term")).distinct()
     found = fulltext.batch_terms(fulltext.tokenized(corpus.index(spark, sf_dir)), asked.select(F.col("term").alias("query_id"), "term").distinct())
@@ -166,13 +159,7 @@ def external_id(spark, sf_dir):
 
 @query
 def observation_permalinks(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations")
-    return turns.select("conv_id", "turn", T.observation_permalink(F.concat(F.lit("conv-"), F.col("conv_id")), F.col("role"), F.substring("text", 1, 300)).alias("permalink"))
-
-
-@query
-def observation_permalinks_whole(spark, sf_dir):
-    """observation_permalinks of the whole texts, so that the digest tells long ones apart."""
+    """Of the whole texts, so that the digest tells long ones apart."""
     turns = table(spark, sf_dir, "conversations")
     return turns.select("conv_id", "turn", T.observation_permalink(F.concat(F.lit("conv-"), F.col("conv_id")), F.col("role"), F.col("text")).alias("permalink"))
 
@@ -257,15 +244,7 @@ def hybrid_fusion(spark, sf_dir):
 
 @query
 def rerank_tail(spark, sf_dir):
-    leg = _vector_leg(spark, sf_dir).orderBy(F.desc("score"), "id").limit(60)
-    ranked = indexing.ranked(leg.withColumn("minus", -F.col("score")), ["minus", "id"], "pos").select("id", "pos")
-    scores = ranked.where("pos <= 20").select("id", ((F.col("pos") * 7) % 20 / 20.0).alias("rerank_score"))
-    return vectors.rerank(ranked, scores, ["id"]).select("id", F.col("pos").cast("long").alias("pos"), F.round("score", 6).alias("score"))
-
-
-@query
-def rerank_tail_whole(spark, sf_dir):
-    """rerank_tail over the whole leg, with a score for every row of it, of which rerank picks those it needs."""
+    """Over the whole leg, with a score for every row of it, of which rerank picks those it needs."""
     ranked = indexing.ranked(_vector_leg(spark, sf_dir).withColumn("minus", -F.col("score")), ["minus", "id"], "pos").select("id", "pos")
     scores = ranked.select("id", ((F.col("pos") * 7) % 20 / 20.0).alias("rerank_score"))
     return vectors.rerank(ranked, scores, ["id"]).select("id", F.col("pos").cast("long").alias("pos"), F.round("score", 6).alias("score"))
@@ -279,7 +258,10 @@ def resolve_links(spark, sf_dir):
     e = corpus.entities(spark, sf_dir)
     kind = F.col("id") % 4
     name = F.when(kind == 0, F.col("permalink")).when(kind == 1, F.col("file_path")).when(kind == 2, F.concat(F.col("permalink"), F.lit("|label"))).otherwise(F.concat(F.col("permalink"), F.lit("-gone")))
-    return indexing.resolve_links(e.select(F.col("id").alias("link_id"), name.alias("to_name"), F.lit(None).cast("long").alias("to_id")), e).select("link_id", "to_name", F.coalesce("to_id", F.lit(-1)).alias("to_id"))
+    known = F.when(F.col("id") % 9 == 0, F.lit(-7).cast("long"))  # resolved before: stays
+    targets = e.select(F.col("id").alias("link_id"), name.alias("to_name"), known.alias("to_id"), ((F.col("id") + (F.col("id") % 5 == 0).cast("int")) % 2).alias("project_id"))
+    found = indexing.resolve_links(targets, e.withColumn("project_id", F.col("id") % 2))
+    return found.select("link_id", "to_name", F.coalesce("to_id", F.lit(-1)).alias("to_id"))
 
 
 def _seeds(spark, *ids):

@@ -16,25 +16,22 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import text as T
 from ..operators import indexing
 
-# Patterns that the watcher ignores by default; a trailing slash means a directory.
-IGNORED = (
-    ".git/ .svn/ .hg/ .obsidian/ .trash/ .vscode/ .idea/ .cache/ .venv/ venv/ env/ node_modules/ __pycache__/ .pytest_cache/ .mypy_cache/ .ruff_cache/ "
-    "dist/ build/ target/ coverage/ .DS_Store Thumbs.db desktop.ini *.tmp *.temp *.swp *.swo *~ .#* #*# *.bak *.pyc *.log *.db *.db-journal .*"
-).split()
+# Patterns that the watcher ignores by default.
+IGNORED = """.* *.db *.db-shm *.db-wal config.json .git .svn __pycache__ *.pyc *.pyo *.pyd .pytest_cache .coverage *.egg-info .tox .mypy_cache .ruff_cache
+.venv venv env .env node_modules build dist .cache .idea .vscode .DS_Store Thumbs.db desktop.ini .obsidian *.tmp *.swp *.swo *~""".split()
+
+
+def patterns_of(text: str | None) -> list[str]:
+    """The default patterns and those of an ignore file, one a line, without blank lines and comments."""
+    own = [line.strip() for line in (text or "").splitlines()]
+    return [*IGNORED, *(p for p in own if p and not p.startswith("#"))]
 
 
 def ignored(path: Column, patterns: tuple[str, ...] | list[str] = IGNORED) -> Column:
-    """Does a glob match the path or one of its parts? Directory patterns match parts before the last."""
-    name = [p for p in patterns if not p.endswith("/")]
-    folder = [p[:-1] for p in patterns if p.endswith("/")]
-    any_of = lambda globs: "|".join(T.glob_to_regex(g, strict=True).replace("(?s)^", "").rstrip("$") for g in globs)
-    parts = F.split(path, "/")
-    out = F.lit(False)
-    if name:
-        out |= F.exists(parts, lambda p: p.rlike(f"(?s)^(?:{any_of(name)})$")) | path.rlike(f"(?s)^(?:{any_of(name)})$")
-    if folder:
-        out |= F.exists(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: p.rlike(f"(?s)^(?:{any_of(folder)})$"))
-    return out
+    """Does a glob match the path or any part of it? A trailing slash names a part as well."""
+    any_of = "|".join(T.glob_to_regex(p.rstrip("/"), strict=True).replace("(?s)^", "").rstrip("$") for p in patterns)
+    whole = f"(?s)^(?:{any_of})$"
+    return F.exists(F.split(path, "/"), lambda p: p.rlike(whole)) | path.rlike(whole)
 
 
 def map_kind(kind: Column) -> Column:
@@ -83,8 +80,16 @@ def plan_batch(released: DataFrame, stored: DataFrame, disk: DataFrame) -> dict[
     return {"moves": moves, "index": index, "remove": remove}
 
 
-def watch(events: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, gap: str = "1 second", watermark: str = "1 second", once: bool = False) -> StreamingQuery:
-    """A query that hands every released batch to apply(batch, batch_id). once: what is there is flushed, then it ends."""
-    released = debounce(relevant(events), gap, watermark)
-    writer = released.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(apply)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
+def watch(events: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, gap: str = "1 second", watermark: str = "1 second", once: bool = False, patterns: tuple[str, ...] | list[str] = IGNORED) -> StreamingQuery:
+    """A query that hands every released batch to apply(batch, batch_id).
+
+    once: all events that are there are taken as one batch whose bursts are released to the last one, then it ends."""
+    kept = relevant(events, patterns)
+    if once:
+
+        def flush(batch: DataFrame, batch_id: int) -> None:
+            apply(debounce(batch, gap), batch_id)
+
+        return kept.writeStream.option("checkpointLocation", checkpoint).foreachBatch(flush).trigger(availableNow=True).start()
+    released = debounce(kept, gap, watermark)
+    return released.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(apply).trigger(processingTime="1 second").start()

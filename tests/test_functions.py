@@ -10,7 +10,7 @@ from notelattice.functions import text as T
 from notelattice.operators import fulltext, schema
 
 NOTE = """---
-title: Observations Demo
+title: Harvest log
 type: note
 tags:
 - demo
@@ -20,18 +20,18 @@ n: 3
 
 # Head
 
-- [decision] Use an index for text search
-- [fact] Kept across runs (verified) #a#b
-- With no category but a #tag
-- [] Empty bracket content
-- [00:00:11] transcript line
-- [ ] open task
-- [x] done task
-- [link](https://example.com) markdown link
-> - [note] quoted
+- [decision] Press the late apples first
+- [fact] Yield was nine crates (weighed) #a#b
+- Nothing but a loose #tag
+- [] brackets without a name
+- [01:02:03] spoken words
+- [ ] prune
+- [x] mow
+- [map](https://orchard.example) of the orchard
+> - [aside] said by another
 
 ```
-- [fact] fenced
+- [fact] inside a fence
 ```
 - depends_on [[projects/alpha]]
 - "implemented by" [[people/ada]] (primary (really))
@@ -42,9 +42,9 @@ Prose with [[c::d|label]] here.
 
 def test_parse_note():
     n = markdown.parse_note("notes/x.md", NOTE)
-    assert (n["title"], n["note_type"], n["tags"], n["error"]) == ("Observations Demo", "note", ["demo"], None)
+    assert (n["title"], n["note_type"], n["tags"], n["error"]) == ("Harvest log", "note", ["demo"], None)
     assert '"flag": "True"' in n["metadata"] and '"n": "3"' in n["metadata"]
-    assert [(o["category"], o["content"]) for o in n["observations"]] == [("decision", "Use an index for text search"), ("fact", "Kept across runs (verified) #a#b"), (None, "With no category but a #tag")]
+    assert [(o["category"], o["content"]) for o in n["observations"]] == [("decision", "Press the late apples first"), ("fact", "Yield was nine crates (weighed) #a#b"), (None, "Nothing but a loose #tag")]
     assert n["observations"][1]["tags"] == ["a", "b"]
     assert [(r["relation_type"], r["to_name"], r["context"]) for r in n["relations"]] == [("depends_on", "projects/alpha", None), ("implemented by", "people/ada", "primary (really)"), ("links_to", "a", None), ("links_to", "b", None), ("links_to", "c/d", None)]
 
@@ -69,8 +69,8 @@ def test_permalink(spark):
 
 
 def test_note_type_and_variants(spark):
-    row = spark.range(1).select(T.note_type(F.lit("BasicMemory")), T.note_type(F.lit(" Memory Service-x.y\\z ")), T.variants(F.lit("A b/C")), T.tokens(F.lit("Été 2/x_y ñandú"))).first()
-    assert list(row) == ["basic_memory", "memory_service_x_y_z", ["A b", "A b/C", "C", "a", "a b/c", "b/c"], ["ete", "2", "x", "y", "nandu"]]
+    row = spark.range(1).select(T.note_type(F.lit("FieldReport")), T.note_type(F.lit(" Memory Service-x.y\\z ")), T.variants(F.lit("A b/C")), T.tokens(F.lit("Été 2/x_y ñandú"))).first()
+    assert list(row) == ["field_report", "memory_service_x_y_z", ["A b", "A b/C", "C", "a", "a b/c", "b/c"], ["ete", "2", "x", "y", "nandu"]]
 
 
 def test_globs():
@@ -141,3 +141,39 @@ def test_schema_fields():
     assert [(f.name, f.required, f.is_array, f.is_enum, f.is_reference) for f in fields] == [("name", True, False, False, False), ("role", False, False, False, False), ("works_at", False, False, False, True), ("status", False, False, True, False), ("mail", True, True, False, False)]
     with pytest.raises(ValueError):
         schema.parse_schema({"schema": {}})
+
+
+def test_yaml_of_notes():
+    text = """# comment
+title: "A: b"   # said
+schema:
+  name: string
+  kind(enum): [a, 'b, c', 3]
+  deep:
+    x: 1.5
+list:
+- one
+- two: 2
+  three: yes it is
+flow: {a: 1, b: [x, y]}
+text: |
+  line one
+    line two
+empty:
+last: 'it''s'
+"""
+    assert markdown.load_yaml(text) == {"title": "A: b", "schema": {"name": "string", "kind(enum)": ["a", "b, c", 3], "deep": {"x": 1.5}}, "list": ["one", {"two": 2, "three": "yes it is"}], "flow": {"a": 1, "b": ["x", "y"]}, "text": "line one\n  line two\n", "empty": None, "last": "it's"}
+    assert markdown.load_yaml("") == {} and markdown.load_yaml("a:\n- 1\n- 2") == {"a": [1, 2]}
+    for bad in ("a: [1", "- x", "plain", "a: 'b", "a: 1\n   b: 2"):
+        with pytest.raises(ValueError):
+            markdown.load_yaml(bad)
+
+
+@pytest.mark.parametrize("head, error", [("permalink: /a", None), ("permalink: a//b", "permalink"), ("permalink: a|b", "permalink"), ("created: 2024-02-30", "created"), ("created: 2024-02-29", None), ("modified: 2024-01-01T10:00:00+02:00", None), ("modified: soon", "modified")])
+def test_frontmatter_values(head, error):
+    found = markdown.parse_note("x.md", f"---\n{head}\n---\nbody")["error"]
+    assert (found or "").split(":")[0] == (error or "")
+
+
+def test_relaxation_of_unspaced_scripts():
+    assert fulltext.relaxed("한국 문서") == "한국* OR 문서*" and fulltext.relaxed("two words") is None

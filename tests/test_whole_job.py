@@ -14,10 +14,10 @@ def test_rerank_with_many_scores(spark):
 def test_long_observations_stay_apart(spark, tmp_path):
     rows = [(1, 1, "user", "a b " * 100 + "x"), (1, 2, "user", "a b " * 100 + "y")]
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    assert QUERIES["observation_permalinks_whole"](spark, str(tmp_path)).select("permalink").distinct().count() == 2
+    assert QUERIES["observation_permalinks"](spark, str(tmp_path)).select("permalink").distinct().count() == 2
 
 
 def test_batch_asks_all_items(spark, sf_dir):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("text <> ''").count()
-    got = QUERIES["fts_query_batch_whole"](spark, sf_dir)
+    got = QUERIES["fts_query_batch"](spark, sf_dir)
     assert got.select("item_id").distinct().count() == items and got.count() > items
