@@ -75,6 +75,7 @@ class Project:
             frame.write.parquet(str(folder / name))
         e, o, r = (self.spark.read.parquet(str(folder / n)) for n in TABLES[:3])
         indexing.search_index(e, o, r).write.parquet(str(folder / "search_index"))
+        fulltext.write_index(self.spark.read.parquet(str(folder / "search_index")), str(folder / "text"))
         _write(self.store / "current", folder.name)
         change = {"added": e.count()} if before is None else {x.change: x["count"] for x in indexing.reconcile(e.select("file_path", "checksum"), before).groupBy("change").count().collect()}
         return {k: change.get(k, 0) for k in ("added", "updated", "unchanged", "removed")} | {"skipped": self.table("skipped").count()}
@@ -177,8 +178,17 @@ class Project:
 
     # -- search
 
-    def index(self) -> DataFrame:
-        return fulltext.tokenized(self.table("search_index"))
+    def index(self) -> fulltext.Index:
+        """The full-text index of the current version; KeyError before the first index pass."""
+        version = self._version()
+        if version is None:
+            raise KeyError("the project is not indexed yet")
+        return fulltext.open_index(self.spark, str(version / "text"))
+
+    def _hits(self, expression: str, options: filters.Filters, legs: tuple[str, ...] = fulltext.LEGS) -> DataFrame:
+        """The search rows that match and pass the filters, with leg and score."""
+        rows = filters.apply(self.table("search_index"), options, self.table("entity"))
+        return rows.join(self.index().match(expression, legs), fulltext.KEY)
 
     def search(self, query: str | None = None, kind: str = "text", options: filters.Filters | None = None, page: int = 1, page_size: int = 10) -> paging.Page:
         """A page of results: text, title or permalink search, or filters alone; the newest first without a query."""
@@ -192,7 +202,7 @@ class Project:
 
         def page_of(expression: str | None) -> paging.Page:
             legs = ("title",) if kind == "title" else fulltext.LEGS
-            found = filters.apply(fulltext.match(self.index(), expression or '""', legs), options, self.table("entity"))
+            found = self._hits(expression or '""', options, legs)
             order = [F.col("score"), *([F.desc("updated_at")] if options.after else []), F.col("type"), F.col("id")]
             return paging.exact(found, order, page, page_size)
 
@@ -209,7 +219,7 @@ class Project:
         best = vectors.best_per_row(scored, ["type", "id"], "chunk_text", floor).withColumnRenamed("chunks", "texts")
         rows = filters.apply(self.table("search_index"), options, self.table("entity"))
         if text:
-            found = filters.apply(fulltext.match(self.index(), fulltext.prepare(text) or '""'), options, self.table("entity")).orderBy("score", "type", "id").limit(pool)
+            found = self._hits(fulltext.prepare(text) or '""', options).orderBy("score", "type", "id").limit(pool)
             fused = vectors.fuse(vectors.normalize_scores(found.select("type", "id", "score")), best.select("type", "id", "score"), ["type", "id"])
             best = fused.join(best.select("type", "id", "texts"), ["type", "id"], "left")
         hits = best.join(rows.drop("score") if "score" in rows.columns else rows, ["type", "id"])

@@ -6,7 +6,10 @@ holds within one of the first three; its leg is the first of them that does. For
 with f the occurrences in the leg's column, n the rows whose leg column has q, D the row's tokens over all four columns,
 and N and avgD over the whole table, whatever the filters. Lower is better.
 
-Everything is one scan with partial aggregates: the statistics are a single row, broadcast, and the top rows a top-k.
+An index is written once: postings (term, column, row, positions) sorted by term, so that a query reads the row groups of its
+own terms only (pushed-down comparisons and prefixes), the size of each row, and one row of table-wide statistics. A phrase
+joins the positions of its words, shifted, by row and column; what a query costs follows from how often its terms occur, not
+from the size of the corpus. `match` does the same by one scan of token columns, for rows that have no index.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ import unicodedata
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -228,20 +231,11 @@ def tokenized(rows: DataFrame) -> DataFrame:
     return rows.select("*", *[T.tokens(F.col(c)).alias(f"t_{c}") for c in INDEXED])
 
 
-def match(index: DataFrame, expression: str, legs: tuple[str, ...] = LEGS) -> DataFrame:
-    """The rows of a tokenized index that match, with leg and score. Token columns are dropped."""
-    tree = parse(expression)
-    asked = [p for p in dict.fromkeys(phrases(tree)) if p.tokens]
-    if not asked:
-        return index.drop(*[f"t_{c}" for c in INDEXED]).where(F.lit(False)).withColumns({"leg": F.lit(""), "score": F.lit(0.0)})
-    name = {p: f"f{k}" for k, p in enumerate(asked)}
-    size = sum((F.size(f"t_{c}") for c in INDEXED), F.lit(0))
-    counts = {f"{name[p]}_{c}": occurrences(F.col(f"t_{c}"), p) for p in asked for c in legs}
-    counted = index.withColumns({"d": size} | counts).drop(*[f"t_{c}" for c in INDEXED])
-    stats = counted.agg(F.count(F.lit(1)).alias("n_rows"), F.avg("d").alias("avg_d"), *[F.coalesce(F.sum((F.col(k) > 0).cast("long")), F.lit(0)).alias(f"n_{k}") for k in counts])
+def _scored(counted: DataFrame, stats: DataFrame, tree, name: dict[Phrase, str], legs: tuple[str, ...]) -> DataFrame:
+    """Rows of counted (f<k>_<column> and d) that match, with leg and score. stats: n_rows, avg_d and n_f<k>_<column>, one row."""
     leg = F.lit(None).cast("string")
     for c in reversed(legs):
-        leg = F.when(holds(tree, {p: F.col(f"{name[p]}_{c}") for p in asked}), F.lit(c)).otherwise(leg)
+        leg = F.when(holds(tree, {p: F.col(f"{name[p]}_{c}") for p in name}), F.lit(c)).otherwise(leg)
     hit = counted.withColumn("leg", leg).where("leg is not null").crossJoin(F.broadcast(stats))
 
     def term(p: Phrase, c: str) -> Column:
@@ -252,43 +246,118 @@ def match(index: DataFrame, expression: str, legs: tuple[str, ...] = LEGS) -> Da
 
     score = F.lit(None).cast("double")
     for c in reversed(legs):
-        score = F.when(F.col("leg") == c, -sum((term(p, c) for p in asked), F.lit(0.0))).otherwise(score)
-    return hit.withColumn("score", score).drop("d", "n_rows", "avg_d", *counts, *[f"n_{k}" for k in counts])
+        score = F.when(F.col("leg") == c, -sum((term(p, c) for p in name), F.lit(0.0))).otherwise(score)
+    names = [f"{k}_{c}" for k in name.values() for c in legs]
+    return hit.withColumn("score", score).drop("d", "n_rows", "avg_d", *names, *[f"n_{x}" for x in names])
+
+
+def _found(counted: DataFrame, names: list[str]) -> list[Column]:
+    return [F.coalesce(F.sum((F.col(k) > 0).cast("long")), F.lit(0)).alias(f"n_{k}") for k in names]
+
+
+def match(index: DataFrame, expression: str, legs: tuple[str, ...] = LEGS) -> DataFrame:
+    """The rows of tokenized rows that match, with leg and score, by one scan. Token columns are dropped."""
+    tree = parse(expression)
+    name = {p: f"f{k}" for k, p in enumerate(dict.fromkeys(p for p in phrases(tree) if p.tokens))}
+    if not name:
+        return index.drop(*[f"t_{c}" for c in INDEXED]).where(F.lit(False)).withColumns({"leg": F.lit(""), "score": F.lit(0.0)})
+    size = sum((F.size(f"t_{c}") for c in INDEXED), F.lit(0))
+    counts = {f"{k}_{c}": occurrences(F.col(f"t_{c}"), p) for p, k in name.items() for c in legs}
+    counted = index.withColumns({"d": size} | counts).drop(*[f"t_{c}" for c in INDEXED])
+    stats = counted.agg(F.count(F.lit(1)).alias("n_rows"), F.avg("d").alias("avg_d"), *_found(counted, list(counts)))
+    return _scored(counted, stats, tree, name, legs)
 
 
-def search(index: DataFrame, query: str, keep: Column | None = None) -> tuple[DataFrame, str]:
-    """Matches of a user query (filtered by `keep`), relaxed if the strict query finds nothing; and the expression used."""
+def _less(k: int):
+    return lambda x: x - k
+
+
+KEY = ["type", "id"]
+
+
+@dataclass(frozen=True)
+class Index:
+    """postings (term, column, type, id, positions), sizes (type, id, d) and stats (n_rows, avg_d, one row)."""
+
+    postings: DataFrame
+    sizes: DataFrame
+    stats: DataFrame
+
+    def _of(self, condition: Column, legs: tuple[str, ...]) -> DataFrame:
+        return self.postings.where(condition & F.col("column").isin(*legs))
+
+    def counts(self, phrase: Phrase, legs: tuple[str, ...]) -> DataFrame:
+        """(column, type, id, f) of the rows that have the phrase."""
+        by, out = ["column", *KEY], None
+        for k, word in enumerate(phrase.tokens):
+            if phrase.prefix and k == len(phrase.tokens) - 1:
+                found = self._of(F.col("term").startswith(word), legs).groupBy(*by).agg(F.flatten(F.collect_list("positions")).alias("positions"))
+            else:
+                found = self._of(F.col("term") == word, legs).select(*by, "positions")
+            if len(phrase.tokens) == 1:
+                return found.select(*by, F.size("positions").alias("f"))
+            found = found.select(*by, F.transform("positions", _less(k)).alias(f"p{k}"))
+            out = found if out is None else out.join(found, by).select(*by, F.array_intersect("p0", f"p{k}").alias("p0")).where("size(p0) > 0")
+        return out.select(*by, F.size("p0").alias("f"))
+
+    def match(self, expression: str, legs: tuple[str, ...] = LEGS) -> DataFrame:
+        """type, id, leg and score of the rows that match."""
+        tree = parse(expression)
+        name = {p: f"f{k}" for k, p in enumerate(dict.fromkeys(p for p in phrases(tree) if p.tokens))}
+        if not name:
+            return self.sizes.select(*KEY, F.lit("").alias("leg"), F.lit(0.0).alias("score")).where(F.lit(False))
+        each = reduce(DataFrame.unionByName, [self.counts(p, legs).withColumn("phrase", F.lit(k)) for p, k in name.items()])
+        one = lambda k, c: F.coalesce(F.max(F.when((F.col("phrase") == k) & (F.col("column") == c), F.col("f"))), F.lit(0)).alias(f"{k}_{c}")
+        names = [(k, c) for k in name.values() for c in legs]
+        counted = each.groupBy(*KEY).agg(*[one(k, c) for k, c in names])
+        stats = self.stats.crossJoin(counted.agg(*_found(counted, [f"{k}_{c}" for k, c in names])))
+        return _scored(counted.join(self.sizes, KEY), stats, tree, name, legs)
+
+
+def write_index(rows: DataFrame, folder: str) -> Index:
+    """The index of search rows, written to a folder and opened.
+
+    Positions are gathered by term, column and row, so no key is hot; postings are dealt out by ranges of (term, id), so a
+    frequent term is spread over files."""
+    tokens = tokenized(rows.select(*KEY, *INDEXED))
+    size = sum((F.size(f"t_{c}") for c in INDEXED), F.lit(0))
+    tokens.select(*KEY, size.alias("d")).write.parquet(f"{folder}/sizes")
+    rows.sparkSession.read.parquet(f"{folder}/sizes").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("d").alias("avg_d")).write.parquet(f"{folder}/stats")
+    columns = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"t_{c}").alias("tokens")) for c in INDEXED])
+    each = tokens.select(*KEY, F.explode(columns).alias("x")).select(*KEY, F.col("x.column").alias("column"), F.posexplode("x.tokens").alias("pos", "term"))
+    gathered = each.groupBy("term", "column", *KEY).agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    gathered.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{folder}/postings")
+    return open_index(rows.sparkSession, folder)
+
+
+def open_index(spark: SparkSession, folder: str) -> Index:
+    return Index(*[spark.read.parquet(f"{folder}/{t}") for t in ("postings", "sizes", "stats")])
+
+
+def search(index: Index, query: str, rows: DataFrame | None = None) -> tuple[DataFrame, str]:
+    """Matches of a user query (among `rows` only, if given), relaxed if the strict query finds nothing; and the expression used."""
     expression = prepare(query)
     if expression is None:
-        return match(index, '""'), ""
-    found = match(index, expression)
-    found = found if keep is None else found.where(keep)
+        return index.match('""'), ""
+    among = lambda found: found if rows is None else found.join(rows.select(*KEY), KEY, "left_semi")
+    found = among(index.match(expression))
     loose = relaxed(query)
     if loose and not found.limit(1).count():
-        found = match(index, loose)
-        return (found if keep is None else found.where(keep)), loose
+        return among(index.match(loose)), loose
     return found, expression
 
 
-def postings(index: DataFrame) -> DataFrame:
-    """(type, id, column, term, pos) of a tokenized index: a table to keep sorted by term, for batches of queries."""
-    return reduce(DataFrame.unionByName, [index.select("type", "id", F.lit(c).alias("column"), F.posexplode(f"t_{c}").alias("pos", "term")) for c in INDEXED])
-
-
-def batch_terms(index: DataFrame, queries: DataFrame) -> DataFrame:
+def batch_terms(index: Index, queries: DataFrame) -> DataFrame:
     """(query_id, type, id, score) of many one-term queries (query_id, term) at once, by their leg columns.
 
     Terms meet postings by an equi-join, so a thousand queries cost one pass over the postings, not a thousand.
     """
-    size = sum((F.size(f"t_{c}") for c in INDEXED), F.lit(0))
-    stats = index.agg(F.count(F.lit(1)).alias("n_rows"), F.avg(size).alias("avg_d"))
     rank = F.when(F.col("column") == LEGS[0], 0).when(F.col("column") == LEGS[1], 1).otherwise(2)
-    sized = reduce(DataFrame.unionByName, [index.select("type", "id", size.alias("d"), F.lit(c).alias("column"), F.explode(f"t_{c}").alias("term")) for c in LEGS])
-    tf = sized.join(F.broadcast(queries), "term").groupBy("query_id", "column", "type", "id", "d").agg(F.count(F.lit(1)).alias("f"))
-    df = tf.groupBy("query_id", "column").agg(F.count(F.lit(1)).alias("n"))
-    scored = tf.join(F.broadcast(df), ["query_id", "column"]).crossJoin(F.broadcast(stats))
+    asked = index.postings.where(F.col("column").isin(*LEGS)).select("term", "column", *KEY, F.size("positions").alias("f")).join(queries.select("term").distinct(), "term")
+    df = asked.groupBy("term", "column").agg(F.count(F.lit(1)).alias("n"))
+    scored = asked.join(df, ["term", "column"]).join(index.sizes, KEY).crossJoin(F.broadcast(index.stats))
     idf = F.log((F.col("n_rows") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(idf > 0, idf).otherwise(F.lit(1e-6))
     score = -idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("d") / F.col("avg_d")))
-    first = scored.groupBy("query_id", "type", "id").agg(F.min_by(score, rank).alias("score"))
-    return first.select("query_id", "type", "id", "score")
+    first = scored.groupBy("term", *KEY).agg(F.min_by(score, rank).alias("score"))
+    return queries.join(first, "term").select("query_id", *KEY, "score")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import fulltext
+from ..sources import scratch
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -26,6 +29,17 @@ def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("id", "title", F.col("body").alias("content_stems"), F.col("body").alias("content_snippet"), "permalink", "file_path", F.lit("entity").alias("type"), "project_id", F.col("id").alias("entity_id"), F.lit(None).cast("string").alias("category"), F.to_json(F.struct("note_type", "tags")).alias("metadata"), "updated_at")
 
 
+_INDEXES: dict[tuple[str, str], fulltext.Index] = {}
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> fulltext.Index:
+    """The full-text index of the search rows, written by the first query of a session that needs it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = fulltext.write_index(index(spark, sf_dir), scratch.new_path(spark, "text-index"))
+    return _INDEXES[key]
+
+
 #: Entity ids of the graph: nations from 1000, regions from 2000, customers from 1,000,000, orders from 100,000,000.
 NATION, REGION, CUSTOMER, ORDER = 1000, 2000, 1_000_000, 100_000_000
 

@@ -34,35 +34,35 @@ def _scored(found: DataFrame, k: int = PAGE) -> DataFrame:
 
 @query
 def fts_prefix_bm25(spark, sf_dir):
-    found, _ = fulltext.search(fulltext.tokenized(corpus.index(spark, sf_dir)), "therea")
+    found, _ = fulltext.search(corpus.text_index(spark, sf_dir), "therea")
     return _scored(found)
 
 
 @query
 def fts_and_terms(spark, sf_dir):
-    found, _ = fulltext.search(fulltext.tokenized(corpus.index(spark, sf_dir)), "whst erea")
+    found, _ = fulltext.search(corpus.text_index(spark, sf_dir), "whst erea")
     return _scored(found)
 
 
 @query
 def fts_or_not(spark, sf_dir):
-    found, _ = fulltext.search(fulltext.tokenized(corpus.index(spark, sf_dir)), "therea OR ereres NOT license")
+    found, _ = fulltext.search(corpus.text_index(spark, sf_dir), "therea OR ereres NOT license")
     return _scored(found)
 
 
 @query
 def fts_phrase(spark, sf_dir):
-    return _scored(fulltext.match(fulltext.tokenized(corpus.index(spark, sf_dir)), '"under the"'))
+    return _scored(corpus.text_index(spark, sf_dir).match('"under the"'))
 
 
 @query
 def fts_title(spark, sf_dir):
-    return _scored(fulltext.match(fulltext.tokenized(corpus.index(spark, sf_dir)), fulltext.prepare_title("Doc 7"), legs=("title",)))
+    return _scored(corpus.text_index(spark, sf_dir).match(fulltext.prepare_title("Doc 7"), legs=("title",)))
 
 
 @query
 def fts_relaxed_or(spark, sf_dir):
-    found, _ = fulltext.search(fulltext.tokenized(corpus.index(spark, sf_dir)), "what is qqqzz therea zzqqq")
+    found, _ = fulltext.search(corpus.text_index(spark, sf_dir), "what is qqqzz therea zzqqq")
     return _scored(found)
 
 
@@ -70,14 +70,14 @@ def fts_relaxed_or(spark, sf_dir):
 def fts_query_batch(spark, sf_dir):
     """Every distinct token of every benchmark item; a token of many items is looked up once."""
     asked = table(spark, sf_dir, "benchmark").select("item_id", F.explode(T.tokens(F.col("text"))).alias("term")).distinct()
-    found = fulltext.batch_terms(fulltext.tokenized(corpus.index(spark, sf_dir)), asked.select(F.col("term").alias("query_id"), "term").distinct())
+    found = fulltext.batch_terms(corpus.text_index(spark, sf_dir), asked.select(F.col("term").alias("query_id"), "term").distinct())
     sums = found.groupBy(F.col("query_id").alias("term")).agg(F.count(F.lit(1)).alias("n_found"), F.round(F.sum("score"), 4).alias("sum_score"))
     return asked.join(sums, "term").select("item_id", "term", "n_found", "sum_score")
 
 
 @query
 def posting_counts(spark, sf_dir):
-    return fulltext.postings(fulltext.tokenized(corpus.index(spark, sf_dir))).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_rows"))
+    return corpus.text_index(spark, sf_dir).postings.groupBy("term").agg(F.sum(F.size("positions")).alias("n"), F.count_distinct("id").alias("n_rows"))
 
 
 # -- filters and pages
@@ -237,7 +237,7 @@ def _vector_leg(spark, sf_dir):
 
 @query
 def hybrid_fusion(spark, sf_dir):
-    found, _ = fulltext.search(fulltext.tokenized(corpus.index(spark, sf_dir)), "therea")
+    found, _ = fulltext.search(corpus.text_index(spark, sf_dir), "therea")
     fused = vectors.fuse(vectors.normalize_scores(found.select("id", "score")), _vector_leg(spark, sf_dir), ["id"])
     return fused.select("id", *[F.round(c, 6).alias(c) for c in ("text_score", "vector_score", "score")])
 

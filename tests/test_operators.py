@@ -38,10 +38,22 @@ def test_scores_follow_the_formula(index):
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
 
 
-def test_relaxation_only_after_nothing(index):
-    found, used = fulltext.search(index, "what about rust zzz nowhere")
+@pytest.fixture(scope="module")
+def written(index, tmp_path_factory):
+    return fulltext.write_index(index.drop(*[c for c in index.columns if c.startswith("t_")]), str(tmp_path_factory.mktemp("text")))
+
+
+@pytest.mark.parametrize("expression", ["rust*", "rust* AND text*", '"rust index"', '"rust in"*', "rust* NOT text*", "search OR (graph* AND rust*)", "zzz", "search"])
+@pytest.mark.parametrize("legs", [fulltext.LEGS, ("title",), ("permalink",)])
+def test_index_equals_scan(index, written, expression, legs):
+    key = lambda r: (r.type, r.id, r.leg, round(r.score, 9))
+    assert sorted(map(key, written.match(expression, legs).collect())) == sorted(map(key, fulltext.match(index, expression, legs).collect()))
+
+
+def test_relaxation_only_after_nothing(written):
+    found, used = fulltext.search(written, "what about rust zzz nowhere")
     assert used == "about* OR rust* OR zzz* OR nowhere*" and found.count() == 2
-    assert fulltext.search(index, "rust index")[1] == "rust* AND index*"
+    assert fulltext.search(written, "rust index")[1] == "rust* AND index*"
 
 
 def test_pages(spark):
