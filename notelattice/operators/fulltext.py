@@ -317,17 +317,19 @@ class Index:
 def write_index(rows: DataFrame, folder: str) -> Index:
     """The index of search rows, written to a folder and opened.
 
-    Positions are gathered by term, column and row, so no key is hot; postings are dealt out by ranges of (term, id), so a
-    frequent term is spread over files."""
-    tokens = tokenized(rows.select(*KEY, *INDEXED))
+    Token arrays are made once and written; sizes and postings are read from them. Positions are gathered by term, column and
+    row, so no key is hot and a frequent term is spread over all files; every file is sorted by term, so that a query skips
+    the pages of other terms in it."""
+    spark = rows.sparkSession
+    tokenized(rows.select(*KEY, *INDEXED)).drop(*INDEXED).write.parquet(f"{folder}/tokens")
+    tokens = spark.read.parquet(f"{folder}/tokens")
     size = sum((F.size(f"t_{c}") for c in INDEXED), F.lit(0))
     tokens.select(*KEY, size.alias("d")).write.parquet(f"{folder}/sizes")
-    rows.sparkSession.read.parquet(f"{folder}/sizes").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("d").alias("avg_d")).write.parquet(f"{folder}/stats")
-    columns = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"t_{c}").alias("tokens")) for c in INDEXED])
-    each = tokens.select(*KEY, F.explode(columns).alias("x")).select(*KEY, F.col("x.column").alias("column"), F.posexplode("x.tokens").alias("pos", "term"))
+    spark.read.parquet(f"{folder}/sizes").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("d").alias("avg_d")).write.parquet(f"{folder}/stats")
+    each = reduce(DataFrame.unionByName, [tokens.select(*KEY, F.lit(c).alias("column"), F.posexplode(f"t_{c}").alias("pos", "term")) for c in INDEXED])
     gathered = each.groupBy("term", "column", *KEY).agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-    gathered.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{folder}/postings")
-    return open_index(rows.sparkSession, folder)
+    gathered.sortWithinPartitions("term", "column").write.parquet(f"{folder}/postings")
+    return open_index(spark, folder)
 
 
 def open_index(spark: SparkSession, folder: str) -> Index:
