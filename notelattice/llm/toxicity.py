@@ -14,7 +14,8 @@ labelled rows, so their rates are not those on the rows that they were picked fr
 
 The classifier is a logistic regression on hashed words, beginnings of words and the votes, trained with the posteriors as targets on a bounded
 sample of training rows: at most `max_labelled` labelled ones and about `max_unlabelled` others, by keyed hashes of doc_id,
-as far as they have `max_values` words together. Its score is the probability. Lists and classifier are each fitted in one
+as far as they have `max_values` words together. A label that a row has counts as one more voter there, right with the
+probability `annotator`. Its score is the probability. Lists and classifier are each fitted in one
 task, which holds the bounded sample; the driver gets lists, pattern counts and weights.
 
 Defined cases: a null, empty or wordless text has no votes and gets the score of the bias alone; texts of any length are
@@ -238,8 +239,9 @@ def _bounded_rows(batches: Iterator[pa.RecordBatch], max_values: int) -> list[tu
     return [(key, toxic, np.frombuffer(words, U64), mask) for _, _, (key, toxic, words, mask) in kept.rows]
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, max_unlabelled: int = 8000, max_values: int = 1 << 23, bits: int = 17, seed: int = 23) -> ToxicityModel:
-    """docs: all training rows (doc_id, text); labels: (doc_id, toxic) of training rows. The bounds are those of the samples."""
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, max_unlabelled: int = 8000, max_values: int = 1 << 23, bits: int = 17, annotator: float = 0.95, seed: int = 23) -> ToxicityModel:
+    """docs: all training rows (doc_id, text); labels: (doc_id, toxic) of training rows. The bounds are those of the samples;
+    annotator is how often a given label is taken to be right."""
     key = F.xxhash64(F.lit(seed), F.col("doc_id"))
     sample = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(key, "doc_id").limit(max_labelled)
     sample = materialize(sample.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic")), "labelled")
@@ -291,7 +293,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, max_unlabe
         index = np.concatenate([np.concatenate([_buckets(r[2], bits), size + v]) for r, v in zip(got, voted, strict=True)])
         value = np.concatenate([np.concatenate([np.full(len(r[2]), 1 / np.sqrt(max(1, len(r[2])))), np.ones(len(v))]) for r, v in zip(got, voted, strict=True)])
         off = np.concatenate([[0], np.cumsum([len(r[2]) + len(v) for r, v in zip(got, voted, strict=True)])])
-        weights, bias = linear.fit(index, value, off, model.posterior(own), size + len(VOTERS), l2=3e-5, steps=120, rate=0.2)
+        said = np.array([0.0 if toxic is None else 1.0 if toxic else -1.0 for _, toxic, _, _ in got]) * np.log(annotator / (1 - annotator))
+        target = np.clip(model.posterior(own), 1e-6, 1 - 1e-6)
+        target = linear.sigmoid(np.log(target / (1 - target)) + said)
+        weights, bias = linear.fit(index, value, off, target, size + len(VOTERS), l2=3e-5, steps=120, rate=0.2)
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias])], ["weights", "bias"])
         release()
 
