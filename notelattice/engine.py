@@ -21,6 +21,9 @@ from .functions import text as T
 from .operators import directory, filters, fulltext, graph, indexing, paging, schema, tables, vectors
 from .sources import vault
 
+RERANKED, RERANK_CHARS = 20, 2000
+Reranker = Callable[[str, list[str]], list[float]]  # a question and texts to a score from 0 to 1 of each
+
 TABLES = ("entity", "observation", "relation", "search_index", "skipped")
 
 
@@ -193,8 +196,14 @@ class Project:
     def search(self, query: str | None = None, kind: str = "text", options: filters.Filters | None = None, page: int = 1, page_size: int = 10) -> paging.Page:
         """A page of results: text, title or permalink search, or filters alone; the newest first without a query."""
         options = options or filters.Filters(types=("entity",))
-        if not query:
+        scopes = filters.scopes(options)
+        if kind == "text" and scopes and (query or options.title):
+            asked = [(fulltext.prepare(query) or '""', fulltext.LEGS)] if query else []
             rows = filters.apply(self.table("search_index"), options, self.table("entity"))
+            found = rows.join(self.index().match_scopes(asked + scopes), fulltext.KEY)
+            return paging.exact(found, [F.col("score"), *([F.desc("updated_at")] if options.after else []), F.col("type"), F.col("id")], page, page_size)
+        if not query:
+            rows = filters.apply(self.table("search_index"), options, self.table("entity")).withColumn("score", F.lit(0.0))
             return paging.exact(rows, [F.desc("updated_at"), F.col("type"), F.col("id")], page, page_size)
         if kind == "permalink":
             rows = filters.apply(self.table("search_index"), options, self.table("entity")).where(filters.permalink_matches(F.col("permalink"), query))
@@ -210,10 +219,17 @@ class Project:
         loose = fulltext.relaxed(query) if kind == "text" and got.total == 0 else None
         return page_of(loose) if loose else got
 
-    def search_vectors(self, query: list[float], options: filters.Filters | None = None, text: str | None = None, floor: float = vectors.MIN_SIMILARITY, page: int = 1, page_size: int = 10) -> paging.Page:
-        """Rows by their best chunk's similarity; with a text as well, both legs are fused."""
-        options = options or filters.Filters(types=("entity",))
+    def search_vectors(self, query: list[float], options: filters.Filters | None = None, text: str | None = None, floor: float = vectors.MIN_SIMILARITY, page: int = 1, page_size: int = 10, rerank: Reranker | None = None, asked: str | None = None) -> paging.Page:
+        """Rows by their best chunk's similarity; with a text as well, both legs are fused.
+
+        With a reranker and a question (`asked`, else the text), the first RERANKED rows are scored anew; the others follow in
+        their order. Only the rows up to the page's end are gathered, and RERANKED of them at least.
+        """
+        options, asked = options or filters.Filters(types=("entity",)), asked or text
+        page, page_size = paging.clamp(page, page_size)
         pool = paging.candidate_window(page_size, (page - 1) * page_size)
+        if rerank and asked:
+            pool = max(pool, vectors.rerank_limit(RERANKED, page_size, (page - 1) * page_size))
         chunks = self.spark.read.parquet(str(self.store / "vectors"))
         scored = vectors.nearest(chunks, vectors.literal(query), pool * (10 if text else 1), ["chunk_key"])
         best = vectors.best_per_row(scored, ["type", "id"], "chunk_text", floor).withColumnRenamed("chunks", "texts")
@@ -226,7 +242,30 @@ class Project:
         hits = hits.withColumn("matched_chunk", vectors.matched_chunk(F.col("content_snippet"), F.coalesce("texts", F.array().cast("array<string>"))))
         # equal scores: the text leg in its order, then the vector leg in its
         ties = [F.desc(c) for c in ("text_score", "vector_score") if c in hits.columns]
-        return paging.probe(hits, [F.desc("score"), *ties, F.col("type"), F.col("id")], page, page_size)
+        order = [F.desc("score"), *ties, F.col("type"), F.col("id")]
+        if not (rerank and asked):
+            return paging.probe(hits, order, page, page_size)
+        end = page * page_size
+        rows = [r.asDict() for r in paging.window(hits, order, 1, max(end, RERANKED), 1).collect()]
+        if (page - 1) * page_size < len(rows):
+            texts = [vectors.rerank_document(r["title"], r["matched_chunk"] or r["content_snippet"], RERANK_CHARS) for r in rows[:RERANKED]]
+            rows = vectors.rerank_rows(rows, rerank(asked, texts), RERANKED)
+        return paging.Page([Row(**r) for r in rows[end - page_size : end]], 0, False, len(rows) > end, page, page_size)
+
+    def search_documents(self, query: str) -> dict:
+        """The first ten results as id, title and url."""
+        found = self.search(query).results
+        rows = [{"id": r.permalink or f"doc-{k}", "title": (r.title or "").strip() or "Untitled", "url": r.permalink or ""} for k, r in enumerate(found)]
+        return {"results": rows, "total_count": len(rows), "query": query}
+
+    def fetch(self, identifier: str) -> dict:
+        """A note's whole markdown with a title: its first line if that is a heading, else the identifier's last part in words."""
+        note = self.read_note(identifier)
+        text = note["content"] if note["found"] else f"# Note Not Found in {self.name}: \"{identifier}\""
+        first = text.split("\n", 1)[0]
+        title = first[2:].strip() if first.startswith("# ") else identifier.rsplit("/", 1)[-1].replace("-", " ").title()
+        about = {"format": "markdown"} if note["found"] else {"error": "Document not found"}
+        return {"id": identifier, "title": title or "Untitled Document", "text": text, "url": identifier, "metadata": about}
 
     # -- graph, directories, schemas
 
@@ -269,13 +308,44 @@ class Project:
         return found[0].unionByName(found[1])
 
     def schema_validate(self, note_type: str) -> DataFrame:
-        fields, mode = self.schema_of(note_type)
         """Fields that name a note type are looked for among the relations, all others among the observations."""
+        fields, mode = self.schema_of(note_type)
         observations, relations, notes = self._fields_of(note_type)
         table = schema.field_table(self.spark, fields)
         both = schema.validate(observations, notes, table.where("not is_reference")).unionByName(schema.validate(relations, notes, table.where("is_reference")))
         return schema.report(both, mode)
 
+    def schema_findings(self, note_type: str) -> DataFrame:
+        """note, field and message of every missing required field and every value outside an enum."""
+        observations, relations, notes = self._fields_of(note_type)
+        table = schema.field_table(self.spark, self.schema_of(note_type)[0])
+        own = schema.findings(observations, notes, table.where("not is_reference"))
+        return own.unionByName(schema.findings(relations, notes, table.where("is_reference")))
+
+    def schema_unmatched(self, note_type: str) -> DataFrame:
+        """note, source, field and n of the observation categories and relation types that the schema does not name."""
+        observations, relations, _ = self._fields_of(note_type)
+        table = schema.field_table(self.spark, self.schema_of(note_type)[0])
+        own = schema.unmatched(observations, table.where("not is_reference")).withColumn("source", F.lit("observation"))
+        return own.unionByName(schema.unmatched(relations, table.where("is_reference")).withColumn("source", F.lit("relation")))
+
+    def schema_for(self, identifier: str) -> tuple[list[schema.Field], str] | None:
+        """The fields and mode that hold for a note: its own `schema` mapping, the type its `schema` names, or its own type."""
+        found = self._resolve(identifier)
+        if found is None:
+            raise FileNotFoundError(identifier)
+        head, _ = markdown.split_frontmatter((self.root / found.file_path).read_text())
+        said = markdown.load_yaml(head or "") or {}
+        if isinstance(said.get("schema"), dict):
+            return schema.parse_schema({"settings": said.get("settings"), "entity": str(said.get("type") or "unknown"), "schema": said["schema"]})[1:]
+        for name in (said.get("schema"), said.get("type")):
+            if isinstance(name, str) and name:
+                try:
+                    return self.schema_of(name)
+                except KeyError:
+                    continue
+        return None
+
     def schema_diff(self, note_type: str) -> DataFrame:
         """The drift of the fields declared and used as observations, and of those declared and used as relations."""
         observations, relations, notes = self._fields_of(note_type)

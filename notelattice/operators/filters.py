@@ -62,6 +62,22 @@ def permalink_matches(permalink: Column, pattern: str) -> Column:
     return token_match(permalink, fulltext.prepare_term(pattern, prefix=False))
 
 
+def scopes(f: Filters) -> list[tuple[str, tuple[str, ...]]]:
+    """The filters that are full-text expressions (title, permalink of one term), with their columns; they add to scores."""
+    out = []
+    if f.title is not None and (expression := fulltext.prepare_title(f.title)):
+        out.append((expression, ("title",)))
+    if f.permalink_match is not None and not {"*", "/"} & set(f.permalink_match):
+        out.append((fulltext.prepare_term(f.permalink_match.lower(), prefix=False), ("permalink",)))
+    return out
+
+
+def asks_for_something(query: str | None, f: Filters) -> bool:
+    """Is there a query or any filter beside the project? A request without one should be refused with guidance."""
+    named = (f.types, f.note_types, f.categories, f.tags, f.metadata)
+    return bool((query or "").strip() or any(named) or any(x is not None for x in (f.status, f.title, f.permalink, f.permalink_match, f.after)))
+
+
 def token_match(column: Column, expression: str) -> Column:
     """Does the text of the column satisfy a full-text expression?"""
     tree = fulltext.parse(expression)

@@ -313,6 +313,31 @@ class Index:
         stats = self.stats.crossJoin(counted.agg(*_found(counted, [f"{k}_{c}" for k, c in names])))
         return _scored(counted.join(self.sizes, KEY), stats, tree, name, legs)
 
+    def match_scopes(self, scopes: list[tuple[str, tuple[str, ...]]]) -> DataFrame:
+        """type, id and score of the rows in which every scope (expression, columns) holds.
+
+        Here a scope's words may stand in different columns of it, and every phrase of every scope adds to the score, with
+        its occurrences counted over the scope's columns together.
+        """
+        trees = [(parse(e), columns) for e, columns in scopes]
+        asked = list(dict.fromkeys((p, columns) for tree, columns in trees for p in phrases(tree) if p.tokens))
+        if len({columns for _, columns in asked}) < len({columns for _, columns in trees}):
+            return self.sizes.select(*KEY, F.lit(0.0).alias("score")).where(F.lit(False))  # a scope without a token holds nowhere
+        each = reduce(DataFrame.unionByName, [self.counts(p, columns).withColumn("phrase", F.lit(k)) for k, (p, columns) in enumerate(asked)])
+        total = [F.coalesce(F.sum(F.when(F.col("phrase") == k, F.col("f"))), F.lit(0)).alias(f"f{k}") for k in range(len(asked))]
+        counted = each.groupBy(*KEY).agg(*total)
+        stats = self.stats.crossJoin(counted.agg(*_found(counted, [f"f{k}" for k in range(len(asked))])))
+        name = {scoped: F.col(f"f{k}") for k, scoped in enumerate(asked)}
+        all_hold = reduce(lambda a, b: a & b, [holds(tree, {p: c for (p, of), c in name.items() if of == columns}) for tree, columns in trees])
+        scored = counted.where(all_hold).join(self.sizes, KEY).crossJoin(F.broadcast(stats))
+
+        def term(k: int) -> Column:
+            f, n = F.col(f"f{k}"), F.col(f"n_f{k}")
+            idf = F.log((F.col("n_rows") - n + 0.5) / (n + 0.5))
+            return F.when(idf > 0, idf).otherwise(F.lit(1e-6)) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("d") / F.col("avg_d")))
+
+        return scored.select(*KEY, (-sum((term(k) for k in range(len(asked))), F.lit(0.0))).alias("score"))
+
 
 def write_index(rows: DataFrame, folder: str) -> Index:
     """The index of search rows, written to a folder and opened.

@@ -126,6 +126,22 @@ def validate(values: DataFrame, notes: DataFrame, fields: DataFrame) -> DataFram
     return out.select("note", "field", "required", status.alias("status"), "wrong")
 
 
+def findings(values: DataFrame, notes: DataFrame, fields: DataFrame) -> DataFrame:
+    """note, field and message of the issues that `report` counts. Wrong values stand in the message in order of place."""
+    missing = F.when(F.col("is_reference"), F.format_string("Missing required field: %1$s (no '%1$s [[...]]' relation found)", "field")).otherwise(F.format_string("Missing required field: %1$s (expected [%1$s] observation)", "field"))
+    known = fields.select("field", "is_reference", "allowed")
+    absent = validate(values, notes, fields).where((F.col("status") == "missing") & F.col("required")).join(F.broadcast(known), "field")
+    outside = values.join(F.broadcast(known.where(F.size("allowed") > 0)), "field").where(~F.array_contains("allowed", F.col("value")))
+    outside = outside.join(notes.select("note").distinct(), "note", "left_semi").groupBy("note", "field", "allowed").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda s: s["value"]).alias("wrong"))
+    text = F.format_string("Field '%s' has invalid value(s): %s (allowed: %s)", "field", F.array_join("wrong", ", "), F.array_join("allowed", ", "))
+    return absent.select("note", "field", missing.alias("message")).unionByName(outside.select("note", "field", text.alias("message")))
+
+
+def unmatched(values: DataFrame, fields: DataFrame) -> DataFrame:
+    """note, field and n of the fields in use that are not declared."""
+    return values.join(F.broadcast(fields.select("field")), "field", "left_anti").groupBy("note", "field").agg(F.count(F.lit(1)).alias("n"))
+
+
 def report(validated: DataFrame, mode: str = "warn") -> DataFrame:
     """note, n_warnings, n_errors and passed: missing required fields and enum mismatches are issues of the mode's kind."""
     issue = ((F.col("status") == "missing") & F.col("required")) | (F.col("status") == "enum_mismatch")

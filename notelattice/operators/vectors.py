@@ -90,6 +90,28 @@ def rerank(ranked: DataFrame, scores: DataFrame, key: list[str], candidates: int
     return head.unionByName(tail).orderBy("part", F.desc("score"), "pos").select(*key, "score", "pos")
 
 
+def rerank_document(title: str | None, body: str | None, most: int = 0) -> str:
+    """What a reranker reads of a row: the body, then the title on a line of its own; at most `most` characters if positive."""
+    text = "\n".join(part for part in (body, title) if part)
+    return text[:most] if most > 0 else text
+
+
+def rerank_rows(rows: list[dict], scores: list[float], candidates: int = 20) -> list[dict]:
+    """`rerank` for the rows of a page's window, which are on the driver: scores are those of the first `candidates` rows.
+
+    ValueError if scores are too few, too many, not finite or outside 0 to 1.
+    """
+    pool = rows[:candidates]
+    if len(scores) != len(pool):
+        raise ValueError(f"reranker returned {len(scores)} scores for {len(pool)} documents")
+    for k, s in enumerate(scores):
+        if not 0.0 <= s <= 1.0:
+            raise ValueError(f"reranker score at index {k} must be finite and in [0, 1], got {s}")
+    first = sorted((row | {"score": float(s)} for row, s in zip(pool, scores)), key=lambda row: -row["score"])
+    floor = first[-1]["score"] if first else 0.0
+    return first + [row | {"score": floor / (k + 2)} for k, row in enumerate(rows[candidates:])]
+
+
 def squash(logit: Column) -> Column:
     """The sigmoid of a logit clamped to +-30."""
     return 1 / (1 + F.exp(-F.greatest(F.least(logit, F.lit(30.0)), F.lit(-30.0))))
