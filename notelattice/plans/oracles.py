@@ -109,6 +109,20 @@ ORACLES: dict[str, str] = {
     "fts_or_not": _fts({"a": _prefix("therea"), "b": _prefix("ereres"), "c": _prefix("license")}, "({a} OR ({b} AND NOT {c}))"),
     "fts_phrase": _fts({"a": _pair("under", "the")}, "{a}"),
     "fts_title": _fts({"a": _word("doc"), "b": _word("7")}, "{a} AND {b}", legs=("title",)),
+    "fts_scopes": f"""
+WITH tok AS (SELECT doc_id AS id, {_tokens("'Doc ' || doc_id")} AS t_title, {_tokens("text")} AS t_text, {_tokens(LINK)} AS t_link FROM documents),
+f AS (SELECT id, len(t_title) + 2 * len(t_text) + len(t_link) AS d, {_prefix("therea").format(t="t_title")} + 2 * {_prefix("therea").format(t="t_text")} AS a, {_word("doc").format(t="t_title")} AS b, {_word("en").format(t="t_link")} AS c FROM tok),
+s AS (SELECT count(*) AS n_rows, avg(d) AS avg_d, count(*) FILTER (WHERE a > 0) AS na, count(*) FILTER (WHERE b > 0) AS nb, count(*) FILTER (WHERE c > 0) AS nc FROM f),
+w AS (SELECT id, d, avg_d, unnest([a, b, c]) AS tf, unnest([na, nb, nc]) AS n, n_rows FROM f, s WHERE a > 0 AND b > 0 AND c > 0)
+SELECT 'entity' AS type, id, round(-sum((CASE WHEN ln((n_rows - n + 0.5) / (n + 0.5)) > 0 THEN ln((n_rows - n + 0.5) / (n + 0.5)) ELSE 1e-6 END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * d / avg_d))), 6) AS score FROM w GROUP BY id
+""",
+    "schema_findings": """
+SELECT c_custkey AS note, 'status' AS field, 'Missing required field: status (expected [status] observation)' AS message FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
+UNION ALL SELECT c_custkey, 'boss', 'Missing required field: boss (no ''boss [[...]]'' relation found)' FROM customer
+UNION ALL SELECT o_custkey, 'status', 'Field ''status'' has invalid value(s): ' || string_agg(o_orderstatus, ', ' ORDER BY o_orderkey) || ' (allowed: F, O)' FROM orders
+WHERE o_orderstatus NOT IN ('F', 'O') AND o_custkey IN (SELECT c_custkey FROM customer) GROUP BY o_custkey
+""",
+    "schema_unmatched": "SELECT conv_id AS note, role AS field, count(*) AS n FROM conversations WHERE role IS DISTINCT FROM 'user' GROUP BY ALL",
     "fts_relaxed_or": _fts({"a": _prefix("qqqzz"), "b": _prefix("therea"), "c": _prefix("zzqqq")}, "({a} OR {b} OR {c})"),
     "fts_query_batch": f"""
 WITH tok AS (SELECT doc_id AS id, {_tokens("'Doc ' || doc_id")} AS t1, {_tokens("text")} AS t2, {_tokens(LINK)} AS t4 FROM documents),

@@ -60,6 +60,13 @@ def fts_title(spark, sf_dir):
     return _scored(corpus.text_index(spark, sf_dir).match(fulltext.prepare_title("Doc 7"), legs=("title",)))
 
 
+@query
+def fts_scopes(spark, sf_dir):
+    """A text beside a title and a permalink filter: one match over all, in which every leg adds to the score."""
+    found = corpus.text_index(spark, sf_dir).match_scopes([(fulltext.prepare("therea"), fulltext.LEGS)] + filters.scopes(filters.Filters(title="Doc", permalink_match="en")))
+    return found.withColumn("score", F.round("score", 6))
+
+
 @query
 def fts_relaxed_or(spark, sf_dir):
     found, _ = fulltext.search(corpus.text_index(spark, sf_dir), "what is qqqzz therea zzqqq")
@@ -400,6 +407,19 @@ def schema_totals(spark, sf_dir):
     return schema.totals(reports.join(customers.select(F.col("c_custkey").alias("note"), F.col("c_mktsegment").alias("type")), "note"))
 
 
+@query
+def schema_findings(spark, sf_dir):
+    values = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("note"), F.col("o_orderkey").alias("place"), F.col("o_orderstatus").alias("value"), F.lit("status").alias("field"))
+    notes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("note"))
+    return schema.findings(values, notes, schema.field_table(spark, schema.parse_fields({"status(enum)": ["F", "O"], "boss": "Person"})))
+
+
+@query
+def schema_unmatched(spark, sf_dir):
+    values, _ = corpus.field_values(spark, sf_dir)
+    return schema.unmatched(values, schema.field_table(spark, schema.parse_fields({"user": "string"})))
+
+
 # -- notes (no SQL: the grammar is Python)
 
 
