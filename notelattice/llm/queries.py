@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, language, licenses, lm, neardup, quality, sentencepiece, toxicity, warc
+from . import decontaminate, html, language, licenses, lm, neardup, phrases, quality, search, sentencepiece, toxicity, urls, warc
+from .sql import OP11_SQL, OP12_SQL, OP13_SQL
 from .storage import materialize, read
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -97,5 +98,17 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.components(docs, size=3, percent=85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_language_id, op4_warc_fixity, op5_toxicity, op6_html_extraction, op7_lm_scoring, op8_decontamination, op9_license_scan, op10_near_duplicates)}
-ORACLE_SQL: dict[str, str] = {"op4_warc_fixity": OP4_SQL}
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents").select("text", "lang"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_language_id, op4_warc_fixity, op5_toxicity, op6_html_extraction, op7_lm_scoring, op8_decontamination, op9_license_scan, op10_near_duplicates, op11_phrase_collocations, op12_ranked_search, op13_url_filter)}
+ORACLE_SQL: dict[str, str] = {"op4_warc_fixity": OP4_SQL, "op11_phrase_collocations": OP11_SQL, "op12_ranked_search": OP12_SQL, "op13_url_filter": OP13_SQL}
