@@ -393,7 +393,7 @@ def test_planted_edits_are_found(spark):
     for i, item in items[:30]:
         norm = decontaminate.normalize(item)
         chars = list(norm)
-        budget = decontaminate.pieces_of(norm, 0.08)[0]
+        budget = int(len(norm) * 0.08)
         for _ in range(i % (budget + 1)):
             k = rng.randrange(len(chars))
             chars[k : k + 1] = rng.choice([["q"], [], ["z", chars[k]]])
@@ -405,14 +405,65 @@ def test_planted_edits_are_found(spark):
         assert {(r.doc_id, r.item_id) for r in found} == want
     for r in found:
         item, text = decontaminate.normalize(dict(items)[r.item_id]), decontaminate.normalize(next(t for d, t, _ in rows if d == r.doc_id))
-        assert edit_distance(item, text) == r.distance
+        assert edit_distance(f" {item} ", f" {text} ") == r.distance
     assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == {500, 501, 502, 503}
     assert decontaminate.matches(docs, bench.where("false")).count() == 0 and decontaminate.matches(docs.where("false"), bench).count() == 0
 
 
+def test_no_item_is_lost_and_one_border_rule(spark):
+    docs = spark.createDataFrame([(i, f"before the {w} passage of words after it") for i, w in enumerate(("red", "green", "blue", "black", "white"))], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, f"the {w} passage of words") for w in ("red", "green", "blue", "black", "white")] * 2, "item_id long, text string")
+    for block in (1, 2, 20_000):
+        exact = [r.doc_id for r in decontaminate.matches(docs, bench, block=block).collect() if r.distance == 0]
+        assert sorted(exact) == [0, 1, 2, 3, 4]
+        assert decontaminate.clean(docs, bench, block=block).count() == 0
+    border = spark.createDataFrame([(12, "twelve chars"), (13, "thirteen char")], "item_id long, text string")
+    cases = [("see twelve chars here", {12}), ("see xtwelve chars here", set()), ("see twelve charsx here", set()), ("so thirteen char it is", {13}), ("so thirteen charx it is", {13}), ("so xthirteen charx it is", set())]
+    for text, want in cases:
+        got = decontaminate.matches(spark.createDataFrame([(1, text)], "doc_id long, text string"), border).collect()
+        assert {r.item_id for r in got} == want, text
+        for r in got:
+            norm = decontaminate.normalize(text)
+            assert norm[r.begin : r.end].strip() == norm[r.begin : r.end] and abs(len(norm[r.begin : r.end]) - r.item_id) <= 1
+    rows = spark.createDataFrame([(5, "it holds twelve chars, yes"), (5, "clean text"), (None, "twelve chars"), (6, None)], "doc_id long, text string")
+    assert {(r.doc_id, r.text) for r in decontaminate.clean(rows, border).collect()} == {(5, "clean text"), (6, None)}
+
+
+def test_edit_search_equals_dynamic_programming(spark, sf_dir, texts):
+    """All items against whole texts, one character of the text at a time."""
+    items = [(r.item_id, f" {decontaminate.normalize(r.text)} ") for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    rng = random.Random(9)
+    docs = {d: t for d, t in texts.items() if t and len(t) < 3000}
+    for d in rng.sample(sorted(docs), 60):  # copies with edits, about as many as the budget
+        item = list(rng.choice(items)[1].strip())
+        for _ in range(rng.randrange(int(len(item) * 0.08) + 3)):
+            k = rng.randrange(len(item))
+            item[k : k + 1] = rng.choice([["q"], [], ["z", item[k]]])
+        docs[d] = docs[d][:800] + " " + "".join(item) + " " + docs[d][800:1600]
+    width = max(len(x) for _, x in items)
+    codes = np.zeros((len(items), width), np.int64)
+    for i, (_, x) in enumerate(items):
+        codes[i, : len(x)] = [ord(c) for c in x]
+    steps, size = np.arange(width + 1), np.array([len(x) for _, x in items])
+    budget = ((size - 2) * 0.08).astype(int)
+    want = set()
+    for d, t in docs.items():
+        row = np.tile(steps, (len(items), 1))
+        best = np.full(len(items), width)
+        for c in f" {decontaminate.normalize(t)} ":
+            new = np.empty_like(row)
+            new[:, 0] = 0
+            new[:, 1:] = np.minimum(row[:, :-1] + (codes != ord(c)), row[:, 1:] + 1)
+            row = np.minimum.accumulate(new - steps, axis=1) + steps
+            best = np.minimum(best, row[np.arange(len(items)), size])
+        want |= {(d, items[i][0], int(best[i])) for i in np.flatnonzero(best <= budget)}
+    found = decontaminate.matches(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).collect()
+    assert len(want) > 40 and {(r.doc_id, r.item_id, r.distance) for r in found} == want
+
+
 def test_decontamination_query(spark, sf_dir, texts):
     items = {r.item_id: decontaminate.normalize(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
-    exact = {(d, i) for d, t in texts.items() for i, x in items.items() if x in decontaminate.normalize(t)}
+    exact = {(d, i) for d, t in texts.items() for i, x in items.items() if f" {x} " in f" {decontaminate.normalize(t)} "}
     got = queries.op8_decontamination(spark, sf_dir).collect()
     assert exact <= {(r.doc_id, r.item_id) for r in got}
     assert {(r.doc_id, r.item_id) for r in got if r.distance == 0} == exact
