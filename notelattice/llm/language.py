@@ -1,10 +1,11 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Features are the n-grams of 1 to 3 characters of the lower-cased words, each word between two spaces, hashed to 2**bits
-buckets. Training counts buckets by language in one pass over every training row (Arrow batches, partial sums, one
-shuffle of languages x buckets rows at most). The matrix of log probabilities has languages x buckets entries, a size
-bounded by `max_languages`, and is broadcast: if the labels hold more languages, those with the most training rows are
-learned. Scoring looks rows of the matrix up and sums them by text.
+buckets. Training counts buckets by language in one pass over every training row: a task keeps sparse sums and hands them
+on when they are many, one shuffle adds them up, and each language's log probabilities are packed into one row of a table.
+Every language is learned. The matrix is taken in blocks of `block` languages, in their order: a block is all that the
+driver holds and broadcasts. Scoring looks rows of the block up and sums them by text; up to `block` languages take one
+pass, more take one pass for each block, which carries the best language so far and the sum for its posterior.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0. With no training rows every text is `und`.
 Rows without a language or text are not learned from. Ties go to the language that sorts first. Repeated rows count
@@ -29,17 +30,40 @@ from .storage import fresh, materialize
 
 ADDED = {"lang_pred": "string", "score": "double"}
 PIECE = 1 << 16  # characters handled at once
+HELD = 1 << 21  # sums that a task keeps
 PLANES = 0x40000  # no code point from here on is a letter
 
 
 @dataclass(frozen=True)
-class LanguageModel:
+class Block:
+    """Some languages in their order."""
+
     languages: tuple[str, ...]
     log_prob: np.ndarray  # buckets x languages
     log_prior: np.ndarray
     bits: int
 
 
+@dataclass(frozen=True)
+class LanguageModel:
+    """columns: a table (lang, n texts, packed: the log probabilities of all buckets as float32)."""
+
+    columns: DataFrame
+    n_texts: int
+    n_languages: int
+    bits: int
+    block: int
+
+    def blocks(self) -> Iterator[Block]:
+        after = None
+        for _ in range(0, self.n_languages, self.block):
+            more = self.columns if after is None else self.columns.where(F.col("lang") > after)
+            got = more.orderBy("lang").limit(self.block).collect()
+            after = got[-1].lang
+            matrix = np.stack([np.frombuffer(bytes(r.packed), np.float32) for r in got], axis=1)
+            yield Block(tuple(r.lang for r in got), np.ascontiguousarray(matrix), np.log(np.array([r.n for r in got]) / self.n_texts), self.bits)
+
+
 _TABLES: list[np.ndarray] = []
 
 
@@ -104,76 +128,130 @@ def _pieces(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
         yield start, len(texts), texts[start:]
 
 
-def fit(rows: DataFrame, bits: int = 15, alpha: float = 0.5, max_languages: int = 512) -> LanguageModel:
-    """A model from every row of rows (text, lang); max_languages bounds the matrix: 2**bits numbers of 4 bytes for each."""
+class _Sums:
+    """Sparse sums of (language, bucket); bucket -1 counts texts."""
+
+    def __init__(self):
+        self.names: dict[str, int] = {}
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, langs: list[str], texts: list[str], bits: int) -> None:
+        names = sorted(set(langs))
+        if len(names) > 64:
+            half = len(texts) // 2
+            self.add(langs[:half], texts[:half], bits)
+            self.add(langs[half:], texts[half:], bits)
+            return
+        size, local = (1 << bits) + 1, {x: i for i, x in enumerate(names)}
+        of = np.array([local[x] for x in langs], np.int64)
+        total = np.bincount(of * size, minlength=len(names) * size)
+        for buckets, off in grams(texts, bits):
+            total += np.bincount(np.repeat(of, np.diff(off)) * size + buckets + 1, minlength=len(names) * size)
+        found = np.flatnonzero(total)
+        own = np.array([self.names.setdefault(x, len(self.names)) for x in names], np.int64)
+        self.parts.append(((own[found // size] << 32) + found % size, total[found]))
+        self.held += len(found)
+        if self.held > HELD:
+            self._settle()
+
+    def _settle(self) -> None:
+        keys, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        keys, at = np.unique(keys, return_inverse=True)
+        self.parts, self.held = [(keys, np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64))], len(keys)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            self._settle()
+            keys, n = self.parts[0]
+            names = pa.array(list(self.names), pa.string())
+            for i in range(0, len(keys), 1 << 16):
+                part = keys[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(part >> 32)), pa.array(((part & 0xFFFFFFFF) - 1).astype(np.int32)), pa.array(n[i : i + (1 << 16)])], ["lang", "bucket", "n"])
+
+
+def fit(rows: DataFrame, bits: int = 15, alpha: float = 0.5, block: int = 256) -> LanguageModel:
+    """A model from every row of rows (text, lang); a block of its matrix has 2**bits * block numbers of 4 bytes."""
     size = 1 << bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
-        seen: dict[str, int] = {}
+        sums = _Sums()
         for batch in batches:
-            langs = np.array(batch.column(1).to_pylist(), object)
+            langs = batch.column(1).to_pylist()
             for start, stop, texts in _pieces(batch.column(0)):
-                names = langs[start:stop]
-                for n_gram, off in grams(texts, bits):
-                    row = np.repeat(np.arange(len(texts)), np.diff(off))
-                    for name in set(names):
-                        of = names == name
-                        sums[name] = sums.get(name, np.zeros(size, np.int64)) + np.bincount(n_gram[of[row]], minlength=size)
-                for name in set(names):
-                    seen[name] = seen.get(name, 0) + int((names == name).sum())
-        for name, total in sorted(sums.items()):
-            found = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * (len(found) + 1)), pa.array(np.append(found, -1).astype(np.int32)), pa.array(np.append(total[found], seen[name]))], ["lang", "bucket", "n"])
+                sums.add(langs[start:stop], texts, bits)
+                if sums.held > HELD // 2:  # still, after equal keys have met
+                    yield from sums.rows()
+                    sums = _Sums()
+        yield from sums.rows()
         release()
 
+    def pack(key: tuple[pa.Scalar], table: pa.Table) -> pa.Table:
+        """A language's counts, at most one for each bucket, as a column of the matrix."""
+        column = np.zeros(size + 1)
+        column[table.column("bucket").to_numpy()] = table.column("n").to_numpy()  # bucket -1, the last, has the number of texts
+        log_prob = np.log((column[:size] + alpha) / (column[:size].sum() + alpha * size)).astype(np.float32)
+        return pa.table({"lang": pa.array([key[0].as_py()], pa.string()), "n": pa.array([int(column[size])], pa.int64()), "packed": pa.array([log_prob.tobytes()], pa.binary())})
+
     usable = rows.where("text is not null and lang is not null").select("text", "lang")
     counts = usable.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    counts = materialize(counts, "language-counts")
-    learned = counts.where("bucket = -1").orderBy(F.desc("n"), "lang").limit(max_languages).select("lang")
-    got = counts.join(F.broadcast(learned), "lang", "left_semi").groupBy("lang").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("n")).orderBy("lang").collect()
-    log_prob, prior = np.zeros((size, max(1, len(got)))), np.zeros(max(1, len(got)))
-    for k, r in enumerate(got):
-        column = np.zeros(size + 1)
-        column[np.array(r.buckets)] = r.n  # bucket -1, the last, has the number of texts
-        prior[k] = column[size]
-        log_prob[:, k] = np.log((column[:size] + alpha) / (column[:size].sum() + alpha * size))
-    return LanguageModel(tuple(r.lang for r in got), log_prob.astype(np.float32), np.log(np.maximum(prior, 1) / max(1.0, prior.sum())), bits)
+    columns = materialize(counts.groupBy("lang").applyInArrow(pack, "lang string, n long, packed binary"), "languages")
+    n_texts, n_languages = columns.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    return LanguageModel(columns, n_texts, n_languages, bits, block)
 
 
-def predict_texts(texts: list[str], model: LanguageModel) -> tuple[list[str], np.ndarray]:
-    total = np.zeros((len(texts), len(model.languages)))
+def judge_texts(texts: list[str], block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By text: the place of the block's best language, its value, the sum of all values' exponentials over the best's, and is there a letter?"""
+    total = np.zeros((len(texts), len(block.languages)))
     n = np.zeros(len(texts))
     letters = np.zeros(len(texts))
-    for k, (buckets, off) in enumerate(grams(texts, model.bits)):
+    for k, (buckets, off) in enumerate(grams(texts, block.bits)):
         n += np.diff(off)
         if k == 0:
             letters = np.diff(off)
-        for j in range(len(model.languages)):
-            total[:, j] += row_sums(model.log_prob[buckets, j].astype(np.float64), off)
-    scaled = total / np.sqrt(np.maximum(1, n))[:, None] + model.log_prior
+        for j in range(len(block.languages)):
+            total[:, j] += row_sums(block.log_prob[buckets, j].astype(np.float64), off)
+    scaled = total / np.sqrt(np.maximum(1, n))[:, None] + block.log_prior
     best = scaled.argmax(axis=1)
-    power = np.exp(scaled - scaled.max(axis=1, keepdims=True))
-    top = power[np.arange(len(texts)), best] / power.sum(axis=1)
-    return ["und" if not a else model.languages[b] for a, b in zip(letters, best, strict=True)], np.where(letters > 0, top, 0.0)
+    value = scaled[np.arange(len(texts)), best]
+    return best, value, np.exp(scaled - value[:, None]).sum(axis=1), letters > 0
 
 
-def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score; the text alone goes to Python, and these two alone come back."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def predict_texts(texts: list[str], block: Block) -> tuple[list[str], np.ndarray]:
+    best, _, mass, letters = judge_texts(texts, block)
+    return ["und" if not a else block.languages[b] for a, b in zip(letters, best, strict=True)], np.where(letters, 1 / mass, 0.0)
+
 
-    @F.arrow_udf("struct<lang_pred: string, score: double>")
+def _judge(shared):
+    @F.arrow_udf("struct<lang: string, value: double, mass: double>")
     def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = shared.value
+        block, names = shared.value, pa.array(shared.value.languages, pa.string())
         for texts in batches:
-            names, top = [], [np.zeros(0)]
-            for _, _, part in _pieces(texts):
-                got, scores = predict_texts(part, model) if model.languages else (["und"] * len(part), np.zeros(len(part)))
-                names += got
-                top.append(scores)
-            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(top))], ["lang_pred", "score"])
+            found = [judge_texts(part, block) for _, _, part in _pieces(texts)]
+            place, value, mass, letters = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), *[np.zeros(0)] * 3)
+            yield pa.StructArray.from_arrays([names.take(pa.array(place, mask=letters == 0)), pa.array(value), pa.array(mass)], ["lang", "value", "mass"])
         release()
 
-    verdict = fresh(docs, "verdict")
-    judged = docs.withColumn(verdict, judge.asNondeterministic()(F.col(text)))  # not to be computed twice
-    return judged.select(*[c for c in docs.columns if c == text or c not in ADDED], *[F.col(f"{verdict}.{c}").alias(c) for c in ADDED if c != text])
+    return judge.asNondeterministic()  # not to be computed twice
+
+
+def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
+    """docs with lang_pred and score; the text alone goes to Python, and the verdict alone comes back."""
+    best = fresh(docs, "verdict")
+    judged = None
+    for block in model.blocks():
+        verdict = _judge(docs.sparkSession.sparkContext.broadcast(block))(F.col(text))
+        if judged is None:
+            judged = docs.withColumn(best, verdict)
+            continue
+        both = materialize(judged, "judged").withColumn(best + "2", verdict)
+        a, b = F.col(best), F.col(best + "2")
+        top = F.greatest(a["value"], b["value"])
+        mass = a["mass"] * F.exp(a["value"] - top) + b["mass"] * F.exp(b["value"] - top)
+        lang = F.when(b["value"] > a["value"], b["lang"]).otherwise(a["lang"])
+        judged = both.withColumn(best, F.struct(lang.alias("lang"), top.alias("value"), mass.alias("mass"))).drop(best + "2")
+    if judged is None:
+        judged = docs.withColumn(best, F.lit(None).cast("struct<lang: string, value: double, mass: double>"))
+    lang = F.col(f"{best}.lang")
+    added = {"lang_pred": F.coalesce(lang, F.lit("und")), "score": F.when(lang.isNull(), 0.0).otherwise(1 / F.col(f"{best}.mass"))}
+    return judged.select(*[c for c in docs.columns if c == text or c not in ADDED], *[v.alias(c) for c, v in added.items() if c != text])

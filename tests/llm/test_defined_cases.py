@@ -109,7 +109,7 @@ def test_language_prediction_equals_brute_force(spark):
         counts[lang].update(grams(text))
     prior = {"de": 2 / 4, "en": 1 / 4, "fr": 1 / 4}
     tests = ["die Katze", "the cat", "chat", "\U00030000\U00030001", "1234", ""]
-    names, score = language.predict_texts(tests, model)
+    names, score = language.predict_texts(tests, next(model.blocks()))
     for t, name, s in zip(tests, names, score, strict=True):
         g = grams(t)
         if not g:
@@ -118,8 +118,27 @@ def test_language_prediction_equals_brute_force(spark):
         total = {k: sum(math.log((c[b] + alpha) / (sum(c.values()) + alpha * 2**bits)) for b in g) / math.sqrt(len(g)) + math.log(prior[k]) for k, c in counts.items()}
         best = max(total, key=total.get)
         assert name == best and math.isclose(s, 1 / sum(math.exp(v - total[best]) for v in total.values()), rel_tol=1e-4)
-    many = spark.createDataFrame([(f"text {i}", f"l{i % 40:02d}") for i in range(400)], "text string, lang string")
-    assert language.fit(many, max_languages=7).languages == tuple(f"l{i:02d}" for i in range(7))
+
+
+def test_many_languages_are_all_learned(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    known = {f"l{i:04d}": [word() for _ in range(4)] for i in range(2000)}
+    rows = [(" ".join(rng.choices(w, k=6)), x) for x, w in known.items() for _ in range(2)]
+    table = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    whole, parted = language.fit(table, bits=12, block=4000), language.fit(table, bits=12, block=700)
+    assert whole.n_languages == 2000 and [len(b.languages) for b in parted.blocks()] == [700, 700, 600]
+    docs = spark.createDataFrame([(i, " ".join(w), x) for i, (x, w) in enumerate(known.items())] + [(-1, "12", None), (-2, None, None)], "doc_id long, text string, want string")
+    one, several = ({r.doc_id: r for r in language.predict(docs, m).collect()} for m in (whole, parted))
+    assert all(one[d].lang_pred == several[d].lang_pred and math.isclose(one[d].score, several[d].score, rel_tol=1e-6) for d in one)
+    assert np.mean([r.lang_pred == r.want for d, r in several.items() if d >= 0]) > 0.99 and several[-1].lang_pred == several[-2].lang_pred == "und"
+    few = language._Sums()
+    few.add([x for _, x in rows], [t for t, _ in rows], 12)
+    sums = language._Sums()
+    for text, x in rows:
+        sums.add([x], [text], 12)
+    read = lambda s: {(a, b): n for batch in s.rows() for a, b, n in zip(*(c.to_pylist() for c in batch.columns), strict=True)}
+    assert read(few) == read(sums)
 
 
 # -- 5 toxicity, 7 language model
