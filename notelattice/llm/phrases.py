@@ -34,7 +34,7 @@ DEPTH = 2
 LEAST_BITS, MOST_BITS = 16, 25
 BLOCK = 1 << 16  # cells that travel together
 FULL = 255  # a counter's greatest value
-ENTRIES = 1 << 21  # distinct phrases that a task counts before it hands them on
+ENTRIES = 1 << 20  # distinct phrases that a task counts before it hands them on
 SALTS = 32
 
 _FOLD = LOWER.copy()
@@ -88,7 +88,7 @@ class Runs:
 def _runs(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[Runs]:
     for batch in batches:
         langs = ["und" if x is None else x for x in batch.column(1).to_pylist()]
-        for chunk in chunks(batch.column(0), 1 << 22):
+        for chunk in chunks(batch.column(0), 1 << 20):
             yield Runs(chunk, langs[chunk.start : chunk.stop], longest)
 
 
@@ -156,7 +156,8 @@ class Counter:
 
     def __init__(self):
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]] = []
-        self.known = np.zeros(0, U64)
+        self.known: list[np.ndarray] = []  # sorted, each less than half as long as the one before
+        self.size = 0
         self.more: list[tuple[np.ndarray, np.ndarray]] = []
         self.totals: dict[str, int] = {}
 
@@ -165,21 +166,33 @@ class Counter:
             self.totals[name] = self.totals.get(name, 0) + int((runs.lang == k).sum())
         hashes = np.concatenate([h[m] for h, m in zip(runs.hashes, keep, strict=True)])
         at = np.concatenate([a[m] for a, m in zip(runs.at, keep, strict=True)])
-        length = np.repeat(np.arange(1, len(keep) + 1), [int(m.sum()) for m in keep])
+        length = np.repeat(np.arange(1, len(keep) + 1, dtype=np.int32), [int(m.sum()) for m in keep])
         found, first, n = np.unique(hashes, return_index=True, return_counts=True)
         self.more.append((found, n))
-        fresh = first[~_within(self.known, found)]
+        if sum(len(x) for x, _ in self.more) > 2 * ENTRIES:
+            self._settle()
+        seen = np.zeros(len(found), bool)
+        for ordered in self.known:
+            seen |= ordered[np.minimum(np.searchsorted(ordered, found), len(ordered) - 1)] == found
+        fresh = first[~seen]
         if len(fresh):
-            self.parts.append((hashes[fresh], runs.lang[at[fresh]], np.array(runs.names, object), length[fresh], runs.text(at[fresh], length[fresh])))
-            self.known = np.sort(np.concatenate([self.known, hashes[fresh]]))
+            self.parts.append((hashes[fresh], runs.lang[at[fresh]].astype(np.int32), np.array(runs.names, object), length[fresh], runs.text(at[fresh], length[fresh])))
+            self.size += len(fresh)
+            self.known.append(found[~seen])
+            while len(self.known) > 1 and 2 * len(self.known[-1]) > len(self.known[-2]):
+                self.known[-2:] = [np.sort(np.concatenate(self.known[-2:]))]
+
+    def _settle(self) -> tuple[np.ndarray, np.ndarray]:
+        hashes, n = (np.concatenate(x) for x in zip(*self.more, strict=True))
+        order = np.argsort(hashes, kind="stable")
+        hashes, n = hashes[order], n[order]
+        edges = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
+        self.more = [(hashes[edges], np.add.reduceat(n, edges) if len(edges) else n)]
+        return self.more[0]
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.more:
-            hashes, n = (np.concatenate(x) for x in zip(*self.more, strict=True))
-            order = np.argsort(hashes, kind="stable")
-            hashes, n = hashes[order], n[order]
-            edges = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
-            distinct, sums = hashes[edges], np.add.reduceat(n, edges) if len(edges) else n
+            distinct, sums = self._settle()
             for own, lang, names, length, text in self.parts:
                 count = sums[np.searchsorted(distinct, own)]
                 for i in range(0, len(own), 1 << 15):
@@ -190,12 +203,6 @@ class Counter:
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([0] * len(names), pa.int32()), pa.array([""] * len(names), pa.string()), pa.array([self.totals[x] for x in names], pa.int64())], ["lang", "length", "phrase", "f"])
 
 
-def _within(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
-    if not len(ordered):
-        return np.zeros(len(values), bool)
-    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
-
-
 def frequencies(docs: DataFrame, least: int, longest: int, bits: int | None = None) -> DataFrame:
     """lang, length, phrase and f of every phrase with f >= least; length 0 has the number of words of the language."""
     texts = docs.select("text", "lang")
@@ -217,7 +224,7 @@ def frequencies(docs: DataFrame, least: int, longest: int, bits: int | None = No
                 shorter = np.zeros(len(runs.starts) + 1, bool)
                 shorter[at[good]] = True
             counter.take(runs, keep)
-            if len(counter.known) >= ENTRIES:
+            if counter.size >= ENTRIES:
                 yield from counter.flush()
                 counter = Counter()
         yield from counter.flush()
