@@ -6,8 +6,8 @@ holds within one of the first three; its leg is the first of them that does. For
 with f the occurrences in the leg's column, n the rows whose leg column has q, D the row's tokens over all four columns,
 and N and avgD over the whole table, whatever the filters. Lower is better.
 
-An index is written once: postings (term, column, row, positions) sorted by term, so that a query reads the row groups of its
-own terms only (pushed-down comparisons and prefixes), the size of each row, and one row of table-wide statistics. A phrase
+An index is written once: postings (term, column, row, positions) in ranges of terms, so that a query reads the files and row
+groups of its own terms only (pushed-down comparisons and prefixes), the size of each row, and one row of table-wide statistics. A phrase
 joins the positions of its words, shifted, by row and column; what a query costs follows from how often its terms occur, not
 from the size of the corpus. `match` does the same by one scan of token columns, for rows that have no index.
 """
@@ -16,13 +16,18 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.files import Files
 
 INDEXED = ("title", "content_stems", "content_snippet", "permalink")
 LEGS = INDEXED[:3]
@@ -273,6 +278,7 @@ def _less(k: int):
 
 
 KEY = ["type", "id"]
+OWNED = [*KEY, "owner"]
 
 
 @dataclass(frozen=True)
@@ -311,7 +317,7 @@ class Index:
         names = [(k, c) for k in name.values() for c in legs]
         counted = each.groupBy(*KEY).agg(*[one(k, c) for k, c in names])
         stats = self.stats.crossJoin(counted.agg(*_found(counted, [f"{k}_{c}" for k, c in names])))
-        return _scored(counted.join(self.sizes, KEY), stats, tree, name, legs)
+        return _scored(counted.join(self.sizes.select(*KEY, "d"), KEY), stats, tree, name, legs)
 
     def match_scopes(self, scopes: list[tuple[str, tuple[str, ...]]]) -> DataFrame:
         """type, id and score of the rows in which every scope (expression, columns) holds.
@@ -329,7 +335,7 @@ class Index:
         stats = self.stats.crossJoin(counted.agg(*_found(counted, [f"f{k}" for k in range(len(asked))])))
         name = {scoped: F.col(f"f{k}") for k, scoped in enumerate(asked)}
         all_hold = reduce(lambda a, b: a & b, [holds(tree, {p: c for (p, of), c in name.items() if of == columns}) for tree, columns in trees])
-        scored = counted.where(all_hold).join(self.sizes, KEY).crossJoin(F.broadcast(stats))
+        scored = counted.where(all_hold).join(self.sizes.select(*KEY, "d"), KEY).crossJoin(F.broadcast(stats))
 
         def term(k: int) -> Column:
             f, n = F.col(f"f{k}"), F.col(f"n_f{k}")
@@ -339,21 +345,51 @@ class Index:
         return scored.select(*KEY, (-sum((term(k) for k in range(len(asked))), F.lit(0.0))).alias("score"))
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (type, id, owner, token arrays) as one row for each distinct term of a row's column, with its positions."""
+    for batch in batches:
+        for k, name in enumerate(INDEXED):
+            lists = batch.column(len(OWNED) + k)
+            flat, n = pc.list_flatten(lists), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(n)), n)
+            position = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            terms = flat.dictionary_encode()
+            keys = row * max(1, len(terms.dictionary)) + terms.indices.to_numpy()
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+            first = order[edges]
+            ends = np.append(edges, len(keys)).astype(np.int32)
+            positions = pa.ListArray.from_arrays(pa.array(ends), pa.array(position[order].astype(np.int32)))
+            of = [batch.column(c).take(pa.array(row[first])) for c in range(len(OWNED))]
+            yield pa.RecordBatch.from_arrays([terms.dictionary.take(pa.array(terms.indices.to_numpy()[first])).cast(pa.string()), pa.array([name] * len(first), pa.string()), *of, positions], ["term", "column", *OWNED, "positions"])
+
+
+def write_postings(rows: DataFrame, path: str) -> None:
+    """Postings in ranges of terms, so that a term is in few files; one that many rows have goes on in the next."""
+    order = ["term", "column", *KEY]
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
+
+
 def write_index(rows: DataFrame, folder: str) -> Index:
     """The index of search rows, written to a folder and opened.
 
-    Token arrays are made once and written; sizes and postings are read from them. Positions are gathered by term, column and
-    row, so no key is hot and a frequent term is spread over all files; every file is sorted by term, so that a query skips
-    the pages of other terms in it."""
+    Token arrays are made once and written. The positions of a term in a row's column are gathered where the row is, so that
+    postings, not tokens, are shuffled; they are written in ranges of terms and sorted, and a query skips the files and pages
+    of other terms. Rows know their owner, the entity that they belong to."""
     spark = rows.sparkSession
-    tokenized(rows.select(*KEY, *INDEXED)).drop(*INDEXED).write.parquet(f"{folder}/tokens")
+    owner = F.col("entity_id" if "entity_id" in rows.columns else "id").cast("long").alias("owner")
+    tokenized(rows.select(*KEY, owner, *INDEXED)).drop(*INDEXED).write.parquet(f"{folder}/tokens")
     tokens = spark.read.parquet(f"{folder}/tokens")
     size = sum((F.size(f"t_{c}") for c in INDEXED), F.lit(0))
-    tokens.select(*KEY, size.alias("d")).write.parquet(f"{folder}/sizes")
+    tokens.select(*OWNED, size.alias("d")).write.parquet(f"{folder}/sizes")
     spark.read.parquet(f"{folder}/sizes").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("d").alias("avg_d")).write.parquet(f"{folder}/stats")
-    each = reduce(DataFrame.unionByName, [tokens.select(*KEY, F.lit(c).alias("column"), F.posexplode(f"t_{c}").alias("pos", "term")) for c in INDEXED])
-    gathered = each.groupBy("term", "column", *KEY).agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-    gathered.sortWithinPartitions("term", "column").write.parquet(f"{folder}/postings")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tokens.select(*OWNED).schema)
+    tokens.select(*OWNED, *[f"t_{c}" for c in INDEXED]).mapInArrow(_gathered, f"term string, column string, {kinds}, positions array<int>").write.parquet(f"{folder}/gathered")
+    write_postings(spark.read.parquet(f"{folder}/gathered"), f"{folder}/postings")
+    files = Files(spark, folder)
+    files.delete("tokens")
+    files.delete("gathered")
     return open_index(spark, folder)
 
 
@@ -382,7 +418,7 @@ def batch_terms(index: Index, queries: DataFrame) -> DataFrame:
     rank = F.when(F.col("column") == LEGS[0], 0).when(F.col("column") == LEGS[1], 1).otherwise(2)
     asked = index.postings.where(F.col("column").isin(*LEGS)).select("term", "column", *KEY, F.size("positions").alias("f")).join(queries.select("term").distinct(), "term")
     df = asked.groupBy("term", "column").agg(F.count(F.lit(1)).alias("n"))
-    scored = asked.join(df, ["term", "column"]).join(index.sizes, KEY).crossJoin(F.broadcast(index.stats))
+    scored = asked.join(df, ["term", "column"]).join(index.sizes.select(*KEY, "d"), KEY).crossJoin(F.broadcast(index.stats))
     idf = F.log((F.col("n_rows") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(idf > 0, idf).otherwise(F.lit(1e-6))
     score = -idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("d") / F.col("avg_d")))

@@ -4,6 +4,9 @@ A step goes from an entity to its relations (either direction) and from a relati
 depth of d entity hops is 2 * d steps. Paths are per path, not global: a node may be reached again on another path, but no
 path meets an entity twice. Only the least depth of a row is reported, so paths with the same set of entities and the same
 end are merged on each level, which keeps hubs from multiplying them.
+
+Each level is written before the next one starts from it, so no level is computed twice. A hub's edges are dealt into parts
+of about HUB, and a path that reaches it is asked in every part, so no task gets all of a hub's edges.
 """
 
 from __future__ import annotations
@@ -13,8 +16,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PAGE_SIZES = (1, 50)
+from ..sources import scratch
+
 MOST_RELATED = 100
+HUB = 10_000
 
 
 def traverse(entities: DataFrame, relations: DataFrame, seeds: DataFrame, depth: int, since: str | None = None) -> DataFrame:
@@ -31,16 +36,21 @@ def traverse(entities: DataFrame, relations: DataFrame, seeds: DataFrame, depth:
     edges = forward.unionByName(backward)
     ends = recent.select(F.col("id").alias("other"), F.col("title").alias("other_title"))
     level = seeds.select("id").distinct().join(recent.select("id"), "id", "left_semi").select(F.col("id").alias("root_id"), F.col("id").alias("node"), F.array("id").alias("path"))
-    found = []
+    found, spark = [], seeds.sparkSession
+    kept = lambda rows, name: scratch.written(rows, name) if depth > 1 else rows
+    hubs = kept(edges.groupBy("node").agg(F.expr(f"cast(count(1) div {HUB} as int) + 1").alias("parts")).where("parts > 1"), "hubs")
+    edges = kept(edges.join(hubs, "node", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts"), "edges")
     for d in range(depth):
-        step = level.join(edges, "node")
+        asked = level.join(hubs, "node", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        step = asked.join(edges, ["node", "part"])
         found.append(step.select("root_id", F.lit("relation").alias("type"), "id", F.col("relation_type").alias("title"), F.lit(2 * d + 1).alias("depth")).distinct())
         hop = step.where("other is not null and not array_contains(path, other)").join(ends, "other")
         level = hop.select("root_id", F.col("other").alias("node"), F.array_sort(F.array_append("path", F.col("other"))).alias("path"), "other_title").distinct()
+        level = kept(level, "level")
         found.append(level.select("root_id", F.lit("entity").alias("type"), F.col("node").alias("id"), F.col("other_title").alias("title"), F.lit(2 * d + 2).alias("depth")).distinct())
         level = level.drop("other_title")
     if not found:
-        return seeds.sparkSession.createDataFrame([], "root_id long, type string, id long, title string, depth int")
+        return spark.createDataFrame([], "root_id long, type string, id long, title string, depth int")
     return reduce(DataFrame.unionByName, found).groupBy("root_id", "type", "id", "title").agg(F.min("depth").alias("depth"))
 
 
@@ -91,3 +101,22 @@ def build_context(entities: DataFrame, relations: DataFrame, observations: DataF
 def recent(rows: DataFrame, since: Column, page: int, size: int) -> DataFrame:
     """The newest rows since a bound, one more than the page holds, so that a caller sees whether others follow."""
     return rows.where(F.col("updated_at") >= since).orderBy(F.desc("updated_at"), "type", "id").offset((page - 1) * size).limit(size + 1)
+
+
+def recent_context(rows: DataFrame, entities: DataFrame, relations: DataFrame, observations: DataFrame, since: str, page: int = 1, size: int = 10, depth: int = 1, most: int = 10) -> DataFrame:
+    """The newest rows since a bound (a page of them), each with what is related to it: all are traversed at once, with one
+    cut to `most` related rows over all of them, by depth, type and id.
+
+    pos, type, id, title, n_observations (of an entity row itself), n_relations (of its related rows) and related (array of
+    type, id, title, depth). rows: type, id, title, updated_at, of which an entity row's id is its entity's. Roots are ids,
+    as rows of other types share them with entities.
+    """
+    newest = [F.desc("updated_at"), F.col("type"), F.col("id")]
+    first = rows.where(F.col("updated_at") >= F.lit(since).cast("timestamp_ntz")).orderBy(*newest).offset((page - 1) * size).limit(size)
+    primary = scratch.written(first.select("type", "id", "title", "updated_at").withColumn("pos", F.row_number().over(Window.orderBy(*newest))), "primary")  # one page
+    found = related(traverse(entities, relations, primary.select("id").distinct(), depth, since), most)
+    lists = found.groupBy("root_id").agg(F.array_sort(F.collect_list(F.struct("depth", "type", "id", "title"))).alias("related"), F.count_if(F.col("type") == "relation").alias("n_relations"))
+    notes = observations.join(F.broadcast(primary.where("type = 'entity'").select(F.col("id").alias("entity_id"))), "entity_id", "left_semi").groupBy(F.col("entity_id").alias("id")).agg(F.count(F.lit(1)).alias("n_observations"))
+    out = primary.join(lists.withColumnRenamed("root_id", "id"), "id", "left").join(notes.withColumn("type", F.lit("entity")), ["type", "id"], "left")
+    none = F.array().cast("array<struct<depth: int, type: string, id: bigint, title: string>>")
+    return out.select("pos", "type", "id", "title", F.coalesce("n_observations", F.lit(0)).cast("long").alias("n_observations"), F.coalesce("n_relations", F.lit(0)).cast("long").alias("n_relations"), F.coalesce("related", none).alias("related"))

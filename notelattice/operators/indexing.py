@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -12,29 +12,35 @@ from ..functions import text as T
 SEARCH_COLUMNS = "id title content_stems content_snippet permalink file_path type project_id from_id to_id relation_type entity_id category metadata created_at updated_at".split()
 
 
-def assign_ids(notes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def assign_ids(notes: DataFrame, known: DataFrame | None = None, after: tuple[int, int, int] = (0, 0, 0)) -> tuple[DataFrame, DataFrame, DataFrame]:
     """entities, observations and relations of parsed notes, with ids in the order of paths, places and (type, target).
 
+    Notes in known (file_path, id) keep that id; all other ids go on after those given out so far.
+
     Ids are global ranks. A global row_number would put all rows in one task, so ranks are computed per range of the sort
     key: ranges by a range partitioning, offsets from the counts of the ranges before (one row for each range).
     """
-    entities = ranked(notes, ["file_path"])
+    if known is None:
+        entities = ranked(notes, ["file_path"], after=after[0])
+    else:
+        fresh = ranked(notes.join(known, "file_path", "left_anti"), ["file_path"], after=after[0])
+        entities = fresh.unionByName(notes.join(known.select("file_path", "id"), "file_path").select(*fresh.columns))
     own = entities.select("id", "file_path", "observations", "relations").withColumnRenamed("id", "entity_id")
     obs = own.select("entity_id", F.posexplode("observations").alias("place", "o")).select("entity_id", "place", "o.*")
     first = Window.partitionBy("entity_id", "relation_type", "to_name").orderBy("place")
     rel = own.select(F.col("entity_id"), F.posexplode("relations").alias("place", "r")).select("entity_id", "place", "r.*").withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
-    return entities.drop("observations", "relations"), ranked(obs, ["entity_id", "place"]), ranked(rel.withColumnRenamed("entity_id", "from_id"), ["from_id", "relation_type", "to_name"])
+    return entities.drop("observations", "relations"), ranked(obs, ["entity_id", "place"], after=after[1]), ranked(rel.withColumnRenamed("entity_id", "from_id"), ["from_id", "relation_type", "to_name"], after=after[2])
 
 
-def ranked(rows: DataFrame, order: list[str], name: str = "id") -> DataFrame:
-    """rows with their 1-based rank in a total order."""
+def ranked(rows: DataFrame, order: list[str], name: str = "id", after: int = 0) -> DataFrame:
+    """rows with their rank in a total order, counted from after + 1."""
     spark = rows.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
     local = dealt.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
     counts = dealt.groupBy("__p").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("__p", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))  # one row for each range
-    return local.join(F.broadcast(before), "__p").withColumn(name, (F.col("__b") + F.col("__r")).cast("long")).drop("__p", "__r", "__b")
+    return local.join(F.broadcast(before), "__p").withColumn(name, (F.col("__b") + F.col("__r") + after).cast("long")).drop("__p", "__r", "__b")
 
 
 def entity_rows(entities: DataFrame) -> DataFrame:
@@ -66,10 +72,10 @@ def observation_rows(observations: DataFrame, entities: DataFrame) -> DataFrame:
     )
 
 
-def relation_rows(relations: DataFrame, entities: DataFrame) -> DataFrame:
-    """Search rows of relations (id, from_id, to_id, to_name, relation_type, context)."""
+def relation_rows(relations: DataFrame, entities: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """Search rows of relations (id, from_id, to_id, to_name, relation_type, context); targets: the entities they point to, if others."""
     source = entities.select(F.col("id").alias("from_id"), "project_id", F.col("title").alias("from_title"), F.col("permalink").alias("from_link"), "file_path", "created_at", "updated_at")
-    target = entities.select(F.col("id").alias("to_id"), F.col("title").alias("to_title"), F.col("permalink").alias("to_link"))
+    target = (entities if targets is None else targets).select(F.col("id").alias("to_id"), F.col("title").alias("to_title"), F.col("permalink").alias("to_link"))
     rows = relations.join(source, "from_id").join(target, "to_id", "left")
     title = relation_title(F.col("from_title"), F.col("to_title"))
     link = T.relation_permalink(F.col("from_link"), F.col("relation_type"), F.coalesce("to_link", "to_name"))
@@ -84,8 +90,18 @@ def relation_title(source, target):
     return F.when(target.isNotNull(), F.concat(source, F.lit(" -> "), target)).otherwise(source)
 
 
-def search_index(entities: DataFrame, observations: DataFrame, relations: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, [entity_rows(entities), observation_rows(observations, entities), relation_rows(relations, entities)])
+def search_index(entities: DataFrame, observations: DataFrame, relations: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    return reduce(DataFrame.unionByName, [entity_rows(entities), observation_rows(observations, entities), relation_rows(relations, entities, targets)])
+
+
+def link_keys() -> Column:
+    """What links to an entity may say: its permalink, its path, and its path without .md."""
+    return F.array_distinct(F.filter(F.array("permalink", "file_path", F.regexp_replace("file_path", r"\.md$", "")), lambda k: k.isNotNull()))
+
+
+def link_name() -> Column:
+    """What a relation's target is looked up by."""
+    return F.trim(F.split("to_name", r"\|").getItem(0))
 
 
 def resolve_links(targets: DataFrame, entities: DataFrame) -> DataFrame:
@@ -95,12 +111,10 @@ def resolve_links(targets: DataFrame, entities: DataFrame) -> DataFrame:
     What stands after a bar is a label. Each entity offers its keys, so this is one hash join instead of a nested loop.
     """
     own = ["project_id"] if "project_id" in targets.columns and "project_id" in entities.columns else []
-    keys = F.array_distinct(F.filter(F.array("permalink", "file_path", F.regexp_replace("file_path", r"\.md$", "")), lambda k: k.isNotNull()))
-    offered = entities.select(*own, "id", F.explode(keys).alias("key")).groupBy(*own, "key").agg(F.min("id").alias("__found"))
-    name = F.trim(F.split("to_name", r"\|").getItem(0))
+    offered = entities.select(*own, "id", F.explode(link_keys()).alias("key")).groupBy(*own, "key").agg(F.min("id").alias("__found"))
     known = F.col("to_id") if "to_id" in targets.columns else F.lit(None).cast("long")
     columns = [F.coalesce(known, "__found").alias("to_id") if c == "to_id" else F.col(c) for c in dict.fromkeys([*targets.columns, "to_id"])]
-    return targets.withColumn("key", name).join(offered, [*own, "key"], "left").select(*columns)
+    return targets.withColumn("key", link_name()).join(offered, [*own, "key"], "left").select(*columns)
 
 
 def reconcile(disk: DataFrame, stored: DataFrame, key: str = "file_path") -> DataFrame:

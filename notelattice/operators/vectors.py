@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,19 +37,76 @@ def nearest(chunks: DataFrame, query: Column, k: int, order: list[str], vector:
     return chunks.withColumn("similarity", dot(F.col(vector), query)).orderBy(F.desc("similarity"), *order).limit(min(k, MOST_CHUNKS))
 
 
-def nearest_for_queries(chunks: DataFrame, queries: DataFrame, k: int, block: int = 64) -> DataFrame:
-    """(query_id, vec_id, similarity, rank) of the k nearest chunks of each of many queries (query_id, query).
-
-    Queries go in blocks of `block`, held as one broadcast row; every task keeps only k chunks for each query before
-    anything is shuffled, so the shuffle has tasks * queries * k rows whatever the number of chunks.
-    """
-    held = queries.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(1 << 20)) % F.lit(block)).groupBy("b").agg(F.collect_list(F.struct("query_id", "query")).alias("qs"))
-    scored = chunks.crossJoin(F.broadcast(held)).select("vec_id", "embedding", F.explode("qs").alias("q"))
-    scored = scored.select(F.col("q.query_id").alias("query_id"), "vec_id", dot(F.col("embedding"), F.col("q.query")).alias("similarity"))
-    part = Window.partitionBy("query_id", "task").orderBy(F.desc("similarity"), "vec_id")
-    local = scored.withColumn("task", F.spark_partition_id()).withColumn("r", F.row_number().over(part)).where(F.col("r") <= k)
-    final = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return local.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", "vec_id", "similarity", "rank")
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """The vectors of a batch as doubles; a null one and one of another length count as zeros, so their products are 0."""
+    n = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    flat = pc.list_flatten(column).fill_null(0.0).to_numpy(zero_copy_only=False).astype(np.float64)
+    good = np.flatnonzero(n == width)
+    out = np.zeros((len(column), width))
+    if len(good):
+        starts = np.cumsum(n) - n
+        out[good] = flat[starts[good][:, None] + np.arange(width)]
+    return out
+
+
+class Nearest:
+    """The k best (similarity, id) of each query so far."""
+
+    def __init__(self, queries: np.ndarray, k: int):
+        self.queries, self.k = queries, k
+        self.similarity, self.ids = [np.zeros(0)] * len(queries), [np.zeros(0, np.int64)] * len(queries)
+
+    def take(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """One matrix product picks candidates; what is kept is summed in order, as `dot` does."""
+        near = vectors @ self.queries.T
+        k = min(self.k, len(ids))
+        least = np.partition(near, len(ids) - k, axis=0)[len(ids) - k]
+        for q in range(len(self.queries)):
+            known = self.similarity[q][-1] if len(self.ids[q]) == self.k else -np.inf
+            at = np.flatnonzero(near[:, q] >= max(least[q], known) - 1e-9 * (1 + abs(least[q])))
+            if not len(at):
+                continue
+            exact = np.add.accumulate(vectors[at] * self.queries[q], axis=1)[:, -1] + 0.0
+            similarity, own = np.concatenate([self.similarity[q], exact]), np.concatenate([self.ids[q], ids[at]])
+            order = np.lexsort((own, -similarity))[: self.k]
+            self.similarity[q], self.ids[q] = similarity[order], own[order]
+
+
+def nearest_for_queries(chunks: DataFrame, queries: DataFrame, k: int, block_values: int = 1 << 22, salts: int = 16) -> DataFrame:
+    """(query_id, vec_id, similarity, rank) of the k nearest chunks (vec_id, embedding) of each of many queries (query_id, query): exact.
+
+    Queries are dealt by hash into blocks of about `block_values` numbers; a block is broadcast, and one pass over the chunks
+    multiplies each Arrow batch with it and keeps k chunks for each query and task. What a task holds follows the block, not
+    the number of queries; what is shuffled is k rows for each query and task, merged within salts first. Query ids are
+    integers. A similarity of vectors of unlike lengths is 0; null vectors count as such; a query without a vector has none."""
+    spark, asked = chunks.sparkSession, queries.where("query is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("query").cast("array<double>").alias("query"))
+    values = asked.agg(F.coalesce(F.sum(F.size("query")), F.lit(0))).first()[0]
+    parts, found = values // block_values + 1, None
+    for part in range(parts):
+        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).toArrow()
+        widths = pc.list_value_length(own.column("query")).to_numpy() if len(own) else np.zeros(0)
+        for width in np.unique(widths).tolist():
+            same = own.filter(pa.array(widths == width))
+            shared = spark.sparkContext.broadcast((same.column("query_id").to_numpy(), _matrix(same.column("query").combine_chunks(), width)))
+
+            def run(batches: Iterator[pa.RecordBatch], shared=shared, width=width) -> Iterator[pa.RecordBatch]:
+                names, matrix = shared.value
+                best = Nearest(matrix, k)
+                for batch in batches:
+                    for at in range(0, len(batch), 1024):
+                        some = batch.slice(at, 1024)
+                        best.take(some.column(0).to_numpy(zero_copy_only=False), _matrix(some.column(1), width))
+                n = [len(x) for x in best.ids]
+                if sum(n):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)), pa.array(np.concatenate(best.ids)), pa.array(np.concatenate(best.similarity))], ["query_id", "vec_id", "similarity"])
+
+            got = chunks.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(run, "query_id long, vec_id long, similarity double")
+            found = got if found is None else found.unionByName(got)
+    if found is None:
+        return spark.createDataFrame([], "query_id long, vec_id long, similarity double, rank int")
+    order = [F.desc("similarity"), "vec_id"]
+    found = found.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts))).withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "salt").orderBy(*order))).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).select("query_id", "vec_id", "similarity", "rank")
 
 
 def best_per_row(scored: DataFrame, row: list[str], chunk: str, floor: float = MIN_SIMILARITY) -> DataFrame:

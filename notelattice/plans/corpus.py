@@ -29,12 +29,14 @@ def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("id", "title", F.col("body").alias("content_stems"), F.col("body").alias("content_snippet"), "permalink", "file_path", F.lit("entity").alias("type"), "project_id", F.col("id").alias("entity_id"), F.lit(None).cast("string").alias("category"), F.to_json(F.struct("note_type", "tags")).alias("metadata"), "updated_at")
 
 
-_INDEXES: dict[tuple[str, str], fulltext.Index] = {}
+_INDEXES: dict[tuple, fulltext.Index] = {}
 
 
 def text_index(spark: SparkSession, sf_dir: str) -> fulltext.Index:
-    """The full-text index of the search rows, written by the first query of a session that needs it."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The full-text index of the search rows, written by the first query of a session that needs it, and anew if the table has changed."""
+    where, store = scratch.place(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
+    held = store.getContentSummary(where)
+    key = (spark.sparkContext.applicationId, sf_dir, store.getFileStatus(where).getModificationTime(), held.getLength(), held.getFileCount())
     if key not in _INDEXES:
         _INDEXES[key] = fulltext.write_index(index(spark, sf_dir), scratch.new_path(spark, "text-index"))
     return _INDEXES[key]

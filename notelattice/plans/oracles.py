@@ -105,6 +105,7 @@ def _permalink(path: str) -> str:
 
 ORACLES: dict[str, str] = {
     "fts_prefix_bm25": _fts({"a": _prefix("therea")}, "{a}"),
+    "fts_after_update": _fts({"a": _prefix("therea")}, "{a}").replace("FROM documents", "FROM (SELECT * REPLACE (CASE WHEN doc_id % 7 = 3 THEN text || ' therea renewed' ELSE text END AS text) FROM documents WHERE doc_id % 11 <> 4) documents"),
     "fts_and_terms": _fts({"a": _prefix("whst"), "b": _prefix("erea")}, "{a} AND {b}"),
     "fts_or_not": _fts({"a": _prefix("therea"), "b": _prefix("ereres"), "c": _prefix("license")}, "({a} OR ({b} AND NOT {c}))"),
     "fts_phrase": _fts({"a": _pair("under", "the")}, "{a}"),
@@ -199,6 +200,31 @@ SELECT doc_id AS link_id, CASE doc_id % 4 WHEN 0 THEN {LINK} WHEN 1 THEN {PATH}
 seen AS (SELECT DISTINCT root_id, type, id FROM related), notes AS (SELECT l_orderkey + 100000000 AS id, count(*) AS n FROM lineitem GROUP BY ALL)
 SELECT root_id, count(*) FILTER (WHERE type = 'entity') AS n_entities, count(*) FILTER (WHERE type = 'relation') AS n_relations, CAST(coalesce(sum(n) FILTER (WHERE type = 'entity'), 0) AS BIGINT) AS n_observations
 FROM seen LEFT JOIN notes USING (id) GROUP BY root_id""",
+    "recent_context_roots": """
+WITH nodes AS (
+  SELECT r_regionkey + 2000 AS id, r_name AS title, '2024-01-01' AS day FROM region UNION ALL SELECT n_nationkey + 1000, n_name, '2024-01-01' FROM nation
+  UNION ALL SELECT c_custkey + 1000000, c_name, '2024-01-01' FROM customer UNION ALL SELECT o_orderkey + 100000000, 'order ' || o_orderkey, strftime(o_orderdate, '%Y-%m-%d') FROM orders),
+links AS (
+  SELECT n_nationkey + 1000 AS id, n_nationkey + 1000 AS a, n_regionkey + 2000 AS b, 'in_region' AS kind FROM nation UNION ALL SELECT c_custkey + 1000000, c_custkey + 1000000, c_nationkey + 1000, 'in_nation' FROM customer
+  UNION ALL SELECT o_orderkey + 100000000, o_orderkey + 100000000, CASE WHEN o_totalprice <= 300000 THEN o_custkey + 1000000 END, 'placed_by' FROM orders),
+roots AS (SELECT row_number() OVER (ORDER BY day DESC, id) AS pos, id, title FROM nodes QUALIFY pos <= 1000),
+edges AS (SELECT id, kind, a AS node, b AS other FROM links UNION ALL SELECT id, kind, b, a FROM links WHERE b IS NOT NULL AND a <> b),
+step AS (SELECT r.id AS root, e.id AS relation, kind, other FROM roots r JOIN edges e ON e.node = r.id),
+found AS (
+  SELECT DISTINCT root, 'relation' AS type, relation AS id, kind AS title, 1 AS depth FROM step
+  UNION ALL SELECT DISTINCT root, 'entity', n.id, n.title, 2 FROM step JOIN nodes n ON n.id = other WHERE other <> root),
+cut AS (SELECT * FROM found ORDER BY depth, type, id, root LIMIT 100),
+lists AS (SELECT root, string_agg(depth || ':' || type || ':' || id || ':' || title, ',' ORDER BY depth, type, id) AS related, count(*) FILTER (type = 'relation') AS n FROM cut GROUP BY root),
+notes AS (SELECT l_orderkey + 100000000 AS id, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT pos, r.id, r.title, coalesce(o.n, 0) AS n_observations, coalesce(l.n, 0) AS n_relations, coalesce(related, '') AS related
+FROM roots r LEFT JOIN lists l ON l.root = r.id LEFT JOIN notes o ON o.id = r.id""",
+    "schema_validate_all": """
+WITH roles AS (SELECT conv_id AS note, bool_or(role = 'user') AS u, bool_or(role = 'assistant') AS a, bool_or(role = 'system') AS s FROM conversations GROUP BY 1),
+held AS (SELECT *, CASE WHEN note % 5 = 0 THEN 'inline' WHEN note % 5 = 1 THEN 'chat0' WHEN note % 3 < 2 THEN 'chat' || note % 3 END AS schema FROM roles),
+n AS (
+  SELECT note, schema, CASE schema WHEN 'chat0' THEN (NOT u)::INT + (NOT a)::INT + (note % 5 = 1 OR note % 2 = 1)::INT ELSE (NOT s)::INT END::BIGINT AS n
+  FROM held WHERE schema IS NOT NULL)
+SELECT note, CASE WHEN schema = 'chat1' THEN 0 ELSE n END AS n_warnings, CASE WHEN schema = 'chat1' THEN n ELSE 0 END AS n_errors, schema <> 'chat1' OR n = 0 AS passed FROM n""",
     "recent_activity": f"SELECT 'entity' AS type, doc_id AS id, {UPDATED} AS updated_at FROM documents WHERE {UPDATED} >= TIMESTAMP '2023-12-01 00:00:00' ORDER BY updated_at DESC, id LIMIT 26 OFFSET 25",
     "directory_listing": """
 WITH d AS (SELECT DISTINCT source AS path, source AS name, 1 AS depth FROM documents UNION SELECT DISTINCT source || '/' || lang, lang, 2 FROM documents)

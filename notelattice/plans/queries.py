@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import chunking, edits, markdown
 from ..functions import text as T
-from ..operators import directory, filters, fulltext, graph, indexing, paging, schema, vectors
+from ..operators import directory, filters, fulltext, graph, indexing, paging, schema, segments, vectors
+from ..sources import scratch
 from ..streaming import watch
 from . import corpus
 from .corpus import table
@@ -67,6 +68,19 @@ def fts_scopes(spark, sf_dir):
     return found.withColumn("score", F.round("score", 6))
 
 
+@query
+def fts_after_update(spark, sf_dir):
+    """A search in an index of two segments: all documents, then those that were edited, with the removed ones marked as gone."""
+    rows, store = corpus.index(spark, sf_dir), segments.Store(spark, scratch.new_path(spark, "segments"))
+    first, second = store.new_name(), store.new_name()
+    store.write(first, {"search_index": rows, "gone": rows.select("id").limit(0)})
+    manifest = store.append(None, first, {"skipped": ""})
+    edited = rows.where("id % 7 = 3 and id % 11 <> 4").withColumns({c: F.concat(c, F.lit(" therea renewed")) for c in ("content_stems", "content_snippet")})
+    store.write(second, {"search_index": edited, "gone": rows.where("id % 7 = 3 or id % 11 = 4").select("id")})
+    store.append(manifest, second, {})
+    return _scored(store.index().match(fulltext.prepare("therea")))
+
+
 @query
 def fts_relaxed_or(spark, sf_dir):
     found, _ = fulltext.search(corpus.text_index(spark, sf_dir), "what is qqqzz therea zzqqq")
@@ -309,6 +323,17 @@ def recent_activity(spark, sf_dir):
     return graph.recent(rows, F.lit("2023-12-01 00:00:00").cast("timestamp_ntz"), 2, PAGE).select("type", "id", "updated_at")
 
 
+@query
+def recent_context_roots(spark, sf_dir):
+    """The thousand newest entities with what is related to them, cut to 100 rows over all."""
+    e, r = corpus.graph(spark, sf_dir)
+    rows = e.select(F.lit("entity").alias("type"), "id", "title", F.col("created_at").cast("timestamp_ntz").alias("updated_at"))
+    notes = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") + corpus.ORDER).alias("entity_id"))
+    found = graph.recent_context(rows, e, r, notes, "1992-01-01 00:00:00", 1, 1000, 1, 100)
+    named = F.transform("related", lambda x: F.concat_ws(":", x["depth"].cast("string"), x["type"], x["id"].cast("string"), x["title"]))
+    return found.select(F.col("pos").cast("long").alias("pos"), "id", "title", "n_observations", "n_relations", F.array_join(named, ",").alias("related"))
+
+
 # -- directories, changes, streams
 
 
@@ -447,3 +472,19 @@ def edit_notes(spark, sf_dir):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["doc_id", "text"])
 
     return docs.mapInArrow(run, "doc_id long, text string").select("doc_id", F.sha2("text", 256).alias("hash"))
+
+
+@query
+def schema_validate_all(spark, sf_dir):
+    """Conversations as notes of three types, each held against the schema that is its own, that it names, or that of its type."""
+    turns = table(spark, sf_dir, "conversations")
+    n = F.col("conv_id")
+    said = F.when(n % 5 == 0, F.to_json(F.struct(F.struct(F.lit("string").alias("system")).alias("schema")))).when(n % 5 == 1, F.lit('{"schema": "chat0"}')).otherwise(F.to_json(F.struct(F.when(n % 2 == 0, "a").otherwise("b").alias("topic"))))
+    notes = turns.select(n.alias("id"), said.alias("entity_metadata")).distinct().select("id", F.lit("").alias("file_path"), F.concat(F.lit("chat"), F.col("id") % 3).alias("note_type"), "entity_metadata")
+    known = [
+        (-1, "s/0.md", "schema", '{"entity": "chat0", "schema": {"user": "string", "assistant": "string", "tool?": "string"}, "settings": {"frontmatter": {"topic(enum)": ["a"]}}}'),
+        (-2, "s/1.md", "schema", '{"entity": "chat1", "schema": {"system": "string"}, "settings": {"validation": "strict"}}'),
+    ]
+    entities = notes.unionByName(spark.createDataFrame(known, "id long, file_path string, note_type string, entity_metadata string"))
+    values = turns.select(n.alias("note"), F.lit("observation").alias("source"), F.col("turn").cast("int").alias("place"), F.col("role").alias("field"), F.col("text").alias("value")).unionByName(schema.frontmatter_values(entities))
+    return schema.reports(schema.check(schema.resolve(entities, schema.definitions(entities)), values))

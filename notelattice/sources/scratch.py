@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _FOLDERS: dict[str, str] = {}
 
@@ -36,3 +36,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     where, files = place(spark, path)
     files.deleteOnExit(where)
     return path
+
+
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """rows written once to the shared folder and read from there: what several plans read is not computed for each."""
+    path = new_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

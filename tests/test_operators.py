@@ -99,7 +99,7 @@ def test_vault_to_index(spark, tmp_path):
     (tmp_path / "bad.md").write_text("---\na: [\n---\nx")
     (tmp_path / "raw.md").write_bytes(b"\xff\xfe")
     (tmp_path / ".git" / "c.md").write_text("hidden")
-    docs = vault.documents(spark, str(tmp_path), "proj")
+    docs = vault.documents(vault.scan(spark, str(tmp_path)), "proj")
     outcome = {r.file_path: r.outcome for r in docs.collect()}
     assert outcome == {"a.md": "loaded", "sub/b.md": "loaded", "bad.md": "malformed", "raw.md": "missing"}
     notes = docs.where("outcome = 'loaded'").withColumns({"project_id": F.lit(1), "created_at": F.col("updated_at")})
