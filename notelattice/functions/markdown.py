@@ -16,6 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+try:
+    import yaml
+except ImportError:  # said by load_yaml, when there is frontmatter to read
+    yaml = None
+
 MARKERS = ("- ", "* ", "+ ")
 DIRECTIVE = "#bm:links_to"
 FENCE = re.compile(r"\s*(?:```|~~~)")
@@ -37,136 +42,69 @@ def split_frontmatter(text: str) -> tuple[str | None, str]:
 
 
 def load_yaml(text: str) -> dict:
-    """The mapping of a YAML text, {} for an empty one; ValueError if it is malformed or no mapping.
+    """The mapping of a YAML text, {} for an empty one or one that is no mapping; ValueError if it is malformed.
 
-    It is the part of YAML that notes use: nested mappings and lists by indentation, flow lists and mappings, quoted and
-    plain scalars, literal and folded blocks, comments. The parser is the engine's own, so that all executors read alike.
+    One library reads all frontmatter, on the driver and in tasks. Plain scalars are null, true and false, numbers and text,
+    nothing else (a date is text); tags of other kinds are taken off, keys become text, and a key that is given twice is an
+    error. Aliases may not blow a note up to more than a hundred values for each character.
     """
-    lines = [line.rstrip() for line in text.split("\n")]
-    value, at = _yaml_block(lines, _yaml_next(lines, 0), 0)
-    if _yaml_next(lines, at) < len(lines):
-        raise ValueError(f"malformed line {lines[_yaml_next(lines, at)]!r}")
-    if value is None:
-        return {}
-    if not isinstance(value, dict):
-        raise ValueError("frontmatter is no mapping")
-    return value
-
-
-def _yaml_next(lines: list[str], at: int) -> int:
-    """The next line from here on that is neither blank nor a comment."""
-    while at < len(lines) and (not lines[at].strip() or lines[at].lstrip().startswith("#")):
-        at += 1
-    return at
-
-
-def _indent(line: str) -> int:
-    return len(line) - len(line.lstrip(" "))
-
-
-_KEY = re.compile(r"""\s*("(?:[^"\\]|\\.)*"|'(?:[^']|'')*'|[^\s\[\]{}"'#&*!|>%@`-][^#]*?|-[^\s#][^#]*?)\s*:(?:\s+(.*))?$""", re.S)
-
-
-def _yaml_block(lines: list[str], at: int, least: int):
-    """The value of the lines from `at` on that are indented by `least` or more, and the line after it."""
-    at = _yaml_next(lines, at)
-    if at >= len(lines) or _indent(lines[at]) < least:
-        return None, at
-    indent, is_list = _indent(lines[at]), lines[at].lstrip().startswith(("- ", "-\t")) or lines[at].strip() == "-"
-    out = [] if is_list else {}
-    while at < len(lines) and _indent(lines[at]) == indent:
-        line = lines[at]
-        if is_list:
-            if not (line.lstrip().startswith(("- ", "-\t")) or line.strip() == "-"):
-                break
-            rest = line.lstrip()[1:].strip()
-            if rest and _KEY.match(rest) and rest[0] not in "\"'[{":  # a mapping that begins beside the dash
-                lines[at] = " " * (len(line) - len(rest)) + rest
-                value, at = _yaml_block(lines, at, indent + 1)
-            else:
-                value, at = _yaml_value(lines, at, rest, indent)
-            out.append(value)
-        else:
-            m = _KEY.match(line)
-            if not m:
-                raise ValueError(f"malformed line {line!r}")
-            value, at = _yaml_value(lines, at, (m[2] or "").strip(), indent)
-            out[str(_scalar(m[1])) if m[1][0] in "\"'" else m[1]] = value
-        at = _yaml_next(lines, at)
-    if at < len(lines) and _indent(lines[at]) > indent:
-        raise ValueError(f"unexpected indentation at {lines[at]!r}")
-    return out, at
-
-
-def _yaml_value(lines: list[str], at: int, rest: str, indent: int):
-    """The value whose text on line `at` is rest, and the line after it."""
-    if re.fullmatch(r"[|>][+-]?", rest):
-        end = at + 1
-        while end < len(lines) and (not lines[end].strip() or _indent(lines[end]) > indent):
-            end += 1
-        own = lines[at + 1 : end]
-        depth = min((_indent(x) for x in own if x.strip()), default=0)
-        own = [x[depth:] for x in own]
-        text = "\n".join(own).rstrip("\n") if rest[0] == "|" else re.sub(r"(?<!\n)\n(?!\n)", " ", "\n".join(own).strip())
-        return text + ("" if rest.endswith("-") else "\n"), end
-    quoted = re.match(r"""("(?:[^"\\]|\\.)*"|'(?:[^']|'')*')\s*(?:#.*)?$""", rest)
-    rest = quoted[1] if quoted else re.sub(r"(^|\s)#.*$", "", rest).strip()
-    if rest:
-        return _scalar(rest), at + 1
-    following = _yaml_next(lines, at + 1)
-    beside = following < len(lines) and _indent(lines[following]) == indent and lines[following].lstrip().startswith("- ") and not lines[at].lstrip().startswith("- ")
-    return _yaml_block(lines, following, indent if beside else indent + 1)
-
-
-def _flow_parts(text: str) -> list[str]:
-    """The parts between the commas of a flow list or mapping, not those in quotes or brackets."""
-    out, depth, quote, part = [], 0, "", ""
-    for c in text:
-        if quote:
-            quote = "" if c == quote else quote
-        elif c in "\"'":
-            quote = c
-        elif c in "[{":
-            depth += 1
-        elif c in "]}":
-            depth -= 1
-        if c == "," and not quote and depth == 0:
-            out.append(part)
-            part = ""
-        else:
-            part += c
-    if quote or depth:
-        raise ValueError(f"unclosed value {text!r}")
-    return [p.strip() for p in [*out, part] if p.strip()]
-
-
-def _scalar(text: str):
-    text = text.strip()
-    if text[:1] in ("\"", "'"):
-        if len(text) < 2 or text[-1] != text[0]:
-            raise ValueError(f"unclosed quote in {text!r}")
-        if text[0] == "'":
-            return text[1:-1].replace("''", "'")
-        try:
-            return json.loads(text)
-        except ValueError:
-            return text[1:-1]
-    if text.startswith("[") and text.endswith("]"):
-        return [_scalar(x) for x in _flow_parts(text[1:-1])]
-    if text.startswith("{") and text.endswith("}"):
-        pairs = [p.partition(":") for p in _flow_parts(text[1:-1])]
-        return {str(_scalar(k)): _scalar(v) for k, _, v in pairs}
-    if text[:1] in "[{":
-        raise ValueError(f"unclosed value {text!r}")
-    if text in ("", "~") or text.lower() == "null":
+    if yaml is None:
+        raise ModuleNotFoundError("frontmatter is read by PyYAML, which is not installed")
+    try:
+        node = yaml.compose(text, _loader())
+    except (yaml.YAMLError, RecursionError) as e:
+        raise ValueError(" ".join(str(e).split())) from e
+    found = None if node is None else _value(node, [100 * len(text) + 1000], ())
+    return found if isinstance(found, dict) else {}
+
+
+# What plain scalars are resolved to, and by which first characters.
+RESOLVED = (
+    ("bool", r"^(?:true|True|TRUE|false|False|FALSE)$", "tTfF"),
+    ("null", r"^(?:~|null|Null|NULL|)$", ["~", "n", "N", ""]),
+    ("int", r"^[-+]?(?:0|[1-9][0-9]*)$", "-+0123456789"),
+    ("float", r"^[-+]?(?:[0-9]+\.[0-9]*|\.[0-9]+|[0-9]+(?:\.[0-9]*)?[eE][-+]?[0-9]+)$", "-+.0123456789"),
+)
+_LOADERS: list = []
+
+
+def _loader():
+    if not _LOADERS:
+
+        class Plain(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
+            yaml_implicit_resolvers = {}
+
+        for name, pattern, first in RESOLVED:
+            Plain.add_implicit_resolver(f"tag:yaml.org,2002:{name}", re.compile(pattern), list(first))
+        _LOADERS.append(Plain)
+    return _LOADERS[0]
+
+
+def _value(node, room: list[int], above: tuple):
+    """A node of the parsed text as a value; room counts down, above are the nodes that hold this one."""
+    room[0] -= 1
+    if room[0] < 0 or any(node is x for x in above) or len(above) > 200:
+        raise ValueError("aliases or nesting without end")
+    inner = (*above, node)
+    if isinstance(node, yaml.SequenceNode):
+        return [_value(x, room, inner) for x in node.value]
+    if isinstance(node, yaml.MappingNode):
+        out: dict = {}
+        for k, v in node.value:
+            key = k.value if isinstance(k, yaml.ScalarNode) else flat(as_text(_value(k, room, inner)))
+            if key in out:
+                raise ValueError(f"duplicate key {key!r}")
+            out[key] = _value(v, room, inner)
+        return out
+    kind, text = node.tag.rsplit(":", 1)[-1], node.value
+    if kind == "null":
         return None
-    if text.lower() in ("true", "false"):
+    if kind == "bool":
         return text.lower() == "true"
-    if re.fullmatch(r"[-+]?\d+", text):
-        return int(text)
-    if re.fullmatch(r"[-+]?\d+\.\d*", text):
-        return float(text)
-    return text
+    try:
+        return int(text) if kind == "int" else float(text) if kind == "float" else text
+    except ValueError:
+        return text
 
 
 def as_text(value):
@@ -327,7 +265,7 @@ NOTE = T.StructType(
 
 
 def instant(text: str) -> str | None:
-    """An ISO date or date and time as one in UTC (without a zone it is UTC); None if it is none."""
+    """An ISO date or date and time in a form that tells it is one; None if it is none."""
     try:
         found = datetime.fromisoformat(text.strip())
     except ValueError:
@@ -336,9 +274,8 @@ def instant(text: str) -> str | None:
 
 
 def instant_of(text: Column) -> Column:
-    """A valid frontmatter instant as one that casts to a timestamp: a bare date is midnight, no zone is UTC."""
-    dated = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(text, F.lit("T00:00:00"))).otherwise(text)
-    return F.when(dated.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), dated).otherwise(F.concat(dated, F.lit("Z")))
+    """A valid frontmatter instant as one that casts to a timestamp: a bare date is midnight; without a zone it is local, in the session's zone."""
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(text, F.lit("T00:00:00"))).otherwise(text)
 
 
 def parse_note(path: str, text: str) -> dict:

@@ -87,17 +87,87 @@ STOPWORDS = frozenset("a an and are as at be but by did do does for from had has
 UNSPACED = ((0x1100, 0x11FF), (0x3040, 0x30FF), (0x3130, 0x318F), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA960, 0xA97F), (0xAC00, 0xD7AF), (0xD7B0, 0xD7FF), (0xF900, 0xFAFF), (0xFF65, 0xFF9F))
 
 
-def relaxed(query: str) -> str | None:
-    """The OR of the query's words as prefixes, for a strict query that found nothing; None if it must not be relaxed."""
-    if '"' in query or has_operators(query):
+# Punctuation at the edges of words, inside words, joiners that belong to the spelling, and the one format
+# character that separates words.
+EDGE = "?!.,;:，。！？；：、"
+INSIDE = "'\u2018\u2019\uff07\u00b7\u0387\u055f\u05f3\u05f4"
+JOINERS = "\u200c\u200d"
+SEPARATOR = "\u200b"
+
+
+def _is_format(c: str) -> bool:
+    """An invisible character inside a word, which may be stored or not."""
+    return unicodedata.category(c) == "Cf" and c != SEPARATOR
+
+
+def _hangs(c: str) -> bool:
+    return _is_format(c) or unicodedata.category(c)[0] == "M"
+
+
+def _is_alnum(c: str) -> bool:
+    return c.isalpha() or unicodedata.category(c)[0] == "N"
+
+
+def word_tokens(text: str) -> list[str]:
+    """Runs of letters and digits with the marks, joiners and inner apostrophes that are written in them."""
+    kinds = ["w" if _is_alnum(c) else "h" if _hangs(c) else "i" if c in INSIDE else " " for c in text]
+    bare = [k for k, kind in enumerate(kinds) if kind != "h"]  # what stands beside a character, past what hangs off it
+    beside = {k: (bare[n - 1] if n else None, bare[n + 1] if n + 1 < len(bare) else None) for n, k in enumerate(bare)}
+    for k in bare:
+        if kinds[k] == "i":
+            before, after = beside[k]
+            kinds[k] = "h" if before is not None and after is not None and text[before].isalpha() and text[after].isalpha() else " "
+    found = [text[m.start() : m.end()] for m in re.finditer("w[wh]*", "".join(kinds))]
+    return [w for w in (_without_end(w) for w in found) if w]
+
+
+def _without_end(word: str) -> str:
+    while word and _is_format(word[-1]):
+        word = word[:-1]
+    return word
+
+
+def _is_number(word: str) -> bool:
+    core = [c for c in word if not _hangs(c)]
+    return bool(core) and all(unicodedata.category(c)[0] == "N" for c in core)
+
+
+def _forms(words: list[str]) -> list[str]:
+    """Each word without its format characters, and as it is if it has any; each form once, whatever its case."""
+    out: dict[str, str] = {}
+    for word in words:
+        clean = "".join(c for c in word if c in JOINERS or not _is_format(c))
+        for form in ([clean] if clean == word else [clean, word]) if clean else []:
+            out.setdefault(form.lower(), form)
+    return list(out.values())
+
+
+def relaxed_words(query: str) -> list[str] | None:
+    """The words that a relaxed query asks for; None if it must not be relaxed: quotes, operators, numbers, or too few words.
+
+    If there are words of a script that is written without spaces, words are what stands between blanks, those with anything
+    but letters and digits go, and two are enough and must be left; otherwise three are asked for."""
+    query = query.strip()
+    if not query or '"' in query or has_operators(query):
         return None
-    found = [w.strip("'’") for w in re.findall(r"[^\W_][\w'’]*", unicodedata.normalize("NFC", query), re.U)]
-    found = [w.replace("_", "") for w in found if w]
-    cjk = any(a <= ord(c) <= b for w in found for c in w for a, b in UNSPACED)
-    if len(found) < (2 if cjk else 3) or any(w.isnumeric() for w in found):
+    words = [w for w in (w.strip(EDGE) for w in query.split()) if w]
+    unspaced = lambda w: any(a <= ord(c) <= b for c in w for a, b in UNSPACED)
+    spaced = not any(map(unspaced, words))
+    if spaced:
+        words = word_tokens(query.lower())
+    if len(words) < (3 if spaced else 2) or any(map(_is_number, words)):
         return None
-    kept = [w for w in found if w.lower() not in STOPWORDS] or found
-    return " OR ".join(dict.fromkeys(w + "*" if "'" not in w and "’" not in w else f'"{w}"*' for w in kept))
+    kept = [w for w in words if w.lower() not in STOPWORDS]
+    if spaced:
+        return _forms(kept or words) or None
+    forms = _forms([w for w in kept if all(map(_is_alnum, w))])
+    return forms if len(forms) > 1 else None
+
+
+def relaxed(query: str) -> str | None:
+    """The OR of the query's words as prefixes, for a strict query that found nothing; None if it must not be relaxed."""
+    words = relaxed_words(query)
+    return words and " OR ".join(f'"{w}"*' if "'" in w else w + "*" for w in words)
 
 
 # -- expressions

@@ -3,6 +3,9 @@
 from datetime import UTC, datetime
 
 import pytest
+import yaml
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from notelattice.functions import chunking, dates, edits, markdown
@@ -164,9 +167,27 @@ last: 'it''s'
 """
     assert markdown.load_yaml(text) == {"title": "A: b", "schema": {"name": "string", "kind(enum)": ["a", "b, c", 3], "deep": {"x": 1.5}}, "list": ["one", {"two": 2, "three": "yes it is"}], "flow": {"a": 1, "b": ["x", "y"]}, "text": "line one\n  line two\n", "empty": None, "last": "it's"}
     assert markdown.load_yaml("") == {} and markdown.load_yaml("a:\n- 1\n- 2") == {"a": [1, 2]}
-    for bad in ("a: [1", "- x", "plain", "a: 'b", "a: 1\n   b: 2"):
+    for bad in ("a: [1", "a: 'b", "a: 1\n   b: 2", "a: 1\na: 2", "x: &a [*a]", "a: b\n---\nc: d"):
         with pytest.raises(ValueError):
             markdown.load_yaml(bad)
+    assert markdown.load_yaml("- x") == markdown.load_yaml("plain") == {}
+
+
+def test_yaml_beyond_the_simple():
+    read = markdown.load_yaml
+    assert read("a: one\n  two") == {"a": "one two"} and read("a: [x,\n  y]") == {"a": ["x", "y"]} and read("? k") == {"k": None}
+    assert read("a: &x 1\nb: *x") == {"a": 1, "b": 1} and read("a: !!str 5\nb: !own 5\nc: !own [1]") == {"a": "5", "b": "5", "c": [1]}
+    assert read("a: 2024-01-01\nb: yes\nc: 007\nd: 1.50\n5: x\n? [p, q]\n: r") == {"a": "2024-01-01", "b": "yes", "c": "007", "d": 1.5, "5": "x", "p, q": "r"}
+    bomb = "a: &a [x, x, x, x, x, x, x, x, x]\n" + "".join(f"{c}: &{c} [{', '.join(['*' + chr(ord(c) - 1)] * 9)}]\n" for c in "bcdefgh")
+    with pytest.raises(ValueError):
+        read(bomb)
+    assert markdown.parse_note("n.md", "---\n- a\n---\nbody")["body"] == "body"
+
+
+@given(st.dictionaries(st.text(st.characters(codec="utf-8", exclude_categories=["Cc", "Cs", "Zl", "Zp"]), min_size=1, max_size=8), st.recursive(st.none() | st.booleans() | st.integers() | st.text(st.characters(codec="utf-8", exclude_categories=["Cs"]), max_size=12), lambda x: st.lists(x, max_size=3), max_leaves=5), max_size=4))
+@settings(max_examples=60, deadline=None)
+def test_yaml_reads_what_the_library_writes(mapping):
+    assert markdown.load_yaml(yaml.safe_dump(mapping, allow_unicode=True)) == mapping
 
 
 @pytest.mark.parametrize("head, error", [("permalink: /a", None), ("permalink: a//b", "permalink"), ("permalink: a|b", "permalink"), ("created: 2024-02-30", "created"), ("created: 2024-02-29", None), ("modified: 2024-01-01T10:00:00+02:00", None), ("modified: soon", "modified")])
@@ -175,5 +196,17 @@ def test_frontmatter_values(head, error):
     assert (found or "").split(":")[0] == (error or "")
 
 
+def test_relaxation_of_marks_joiners_and_formats():
+    tokens = fulltext.word_tokens
+    assert tokens("don't stop, l\u2019eau 'quoted' a.b x-y") == ["don't", "stop", "l\u2019eau", "quoted", "a", "b", "x", "y"]
+    assert tokens("हिन्दी भाषा e\u0301t") == ["हिन्दी", "भाषा", "e\u0301t"] and tokens("\u0301a \u200db 1'2") == ["a", "b", "1", "2"]
+    assert tokens("foo\u00adbar one\u200btwo end\u200d") == ["foo\u00adbar", "one", "two", "end"]
+    assert fulltext.relaxed("foo\u00adbar wide river") == "foobar* OR foo\u00adbar* OR wide* OR river*"
+    assert fulltext.relaxed("river River wide") == "river* OR wide*" and fulltext.relaxed("the don't river's edge") == '"don\'t"* OR "river\'s"* OR edge*'
+    assert fulltext.relaxed("one two 3") is None and fulltext.relaxed("what is the") == "what* OR is* OR the*"
+    assert fulltext.relaxed("zzzz-not-present") == "zzzz* OR not* OR present*" and fulltext.relaxed("the 東京") is None
+    assert fulltext.relaxed("東京、 大阪。") == "東京* OR 大阪*" and fulltext.relaxed("東京 2024") is None and fulltext.relaxed("三 大阪") == "三* OR 大阪*"
+
+
 def test_relaxation_of_unspaced_scripts():
     assert fulltext.relaxed("한국 문서") == "한국* OR 문서*" and fulltext.relaxed("two words") is None
