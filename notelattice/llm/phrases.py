@@ -1,16 +1,18 @@
 """Phrase collocations by merged count-min sketches and an exact second pass.
 
 Words are lower-cased (A-Z), pieces end at `.,;:!?` and line breaks, and a phrase is a run of 1 to `longest` words within a
-piece, counted by language. Pass 1: every task adds its n-grams to a count-min sketch of small saturating counters; the
+piece, counted by language. Pass 1: every task adds words and pairs to a count-min sketch of small saturating counters; the
 sketches travel as compressed blocks, are added up block by block as they stream in, and the sum is broadcast: 2**MOST_BITS
-cells for each of DEPTH hashes at most, whatever the input. A sketch never underestimates, so nothing frequent is lost.
-Pass 2: n-grams whose estimate, and that of both their shorter parts, reaches the threshold are counted exactly, first
-within a task and then by phrase. Parts of a frequent phrase are frequent themselves, so the exact table answers every
-later question: the frequencies of the two sides of a cut, and the longer phrases that subsume a shorter one.
+cells for each of DEPTH hashes at most, whatever the input. Longer runs go to a second sketch in the same way, only those
+whose pairs all reach the threshold in the first. A sketch never underestimates, so nothing frequent is lost. Pass 2:
+n-grams whose estimate, and that of both their shorter parts, reaches the threshold are counted exactly, first within a
+task and then by phrase. Parts of a frequent phrase are frequent themselves, so the exact table answers every later
+question: the frequencies of the two sides of a cut, and the longer phrases that subsume a shorter one.
 
-The width follows the number of bytes until the bound is reached. Beyond it estimates grow and more rare n-grams are
-counted exactly: that costs time and shuffled bytes, never a result. Phrases are told apart by 64-bit hashes within a
-task, by their text across tasks.
+The passes run in as many tasks as the cluster has cores, twice over: what they send (a sketch, and a row for each phrase that
+they meet) then follows the cluster and the phrases, not the number of splits. The width follows the number of bytes until
+the bound is reached. Beyond it estimates grow and more rare n-grams are counted exactly: that costs time and shuffled
+bytes, never a result. Phrases are told apart by 64-bit hashes within a task, by their text across tasks.
 
 Defined cases: null, empty and wordless texts have no phrases; a null language is `und`; repeated rows count repeatedly; a
 text is read whole, whatever its length; phrases of one score rank by frequency, then in byte order; an empty table
@@ -31,6 +33,7 @@ from .arrow_text import BYTE_VALUE, LOWER, U64, Chunk, chunks, mix, release, spa
 from .storage import materialize
 
 DEPTH = 2
+PAIRS = 2  # runs of up to so many words are in the first sketch
 LEAST_BITS, MOST_BITS = 16, 25
 BLOCK = 1 << 16  # cells that travel together
 FULL = 255  # a counter's greatest value
@@ -111,20 +114,38 @@ def estimate(sketch: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def bits_for(n_bytes: int) -> int:
-    """A cell for each 24 bytes of text: some 16 n-grams a cell."""
+    """A cell for each 24 bytes of text: some 8 words and pairs a cell."""
     return int(min(MOST_BITS, max(LEAST_BITS, int(n_bytes // 24).bit_length())))
 
 
-def sketch_of(texts: DataFrame, longest: int, bits: int) -> np.ndarray:
-    """The sum of all tasks' sketches of texts (text, lang)."""
+def survivors(runs: Runs, sketches: list[np.ndarray], bits: int, least: int) -> list[np.ndarray]:
+    """By length: which runs may occur `least` times by the sketches (of lengths up to PAIRS, of longer ones) and by their parts."""
+    keep, shorter = [], None
+    for k, (at, hashes) in enumerate(zip(runs.at, runs.hashes, strict=True)):
+        which = 0 if k < PAIRS else 1
+        good = estimate(sketches[which], hashes, bits) >= min(least, FULL) if which < len(sketches) else np.ones(len(at), bool)
+        if shorter is not None:  # both parts of one word less, which lie within the same piece
+            good &= shorter[at] & shorter[at + 1]
+        keep.append(good)
+        shorter = np.zeros(len(runs.starts) + 1, bool)
+        shorter[at[good]] = True
+    return keep
+
+
+def sketch_of(texts: DataFrame, longest: int, bits: int, least: int, first=None) -> np.ndarray:
+    """The sum of all tasks' sketches of texts (text, lang): of words and pairs, or, given the broadcast sketch of these, of longer runs."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, codec = None, pa.Codec("zstd", 1)
-        for runs in _runs(batches, longest):
+        for runs in _runs(batches, longest if first is not None else PAIRS):
             if sketch is None:
                 sketch = np.zeros((DEPTH, 1 << bits), np.uint8)
-            for hashes in runs.hashes:
-                add(sketch, hashes, bits)
+            if first is None:
+                for hashes in runs.hashes:
+                    add(sketch, hashes, bits)
+            else:
+                for good, hashes in zip(survivors(runs, [first.value], bits, least)[PAIRS:], runs.hashes[PAIRS:], strict=True):
+                    add(sketch, hashes[good], bits)
         if sketch is not None:
             flat = sketch.reshape(-1, BLOCK)
             for i in np.flatnonzero(flat.any(axis=1)).tolist():
@@ -205,24 +226,18 @@ class Counter:
 
 def frequencies(docs: DataFrame, least: int, longest: int, bits: int | None = None) -> DataFrame:
     """lang, length, phrase and f of every phrase with f >= least; length 0 has the number of words of the language."""
+    context = docs.sparkSession.sparkContext
     texts = docs.select("text", "lang")
     if bits is None:
-        n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        bits = bits_for(n_bytes)
-    shared = docs.sparkSession.sparkContext.broadcast(sketch_of(texts, longest, bits))
-    at_least = min(least, FULL)
+        bits = bits_for(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    texts = texts.coalesce(2 * context.defaultParallelism)
+    first = context.broadcast(sketch_of(texts, longest, bits, least))
+    shared = [first, *([context.broadcast(sketch_of(texts, longest, bits, least, first))] if longest > PAIRS else [])]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, counter = shared.value, Counter()
+        sketches, counter = [x.value for x in shared], Counter()
         for runs in _runs(batches, longest):
-            keep, shorter = [], None
-            for at, hashes in zip(runs.at, runs.hashes, strict=True):
-                good = estimate(sketch, hashes, bits) >= at_least
-                if shorter is not None:  # both parts of one word less, which lie within the same piece
-                    good &= shorter[at] & shorter[at + 1]
-                keep.append(good)
-                shorter = np.zeros(len(runs.starts) + 1, bool)
-                shorter[at[good]] = True
+            keep = survivors(runs, sketches, bits, least)
             counter.take(runs, keep)
             if counter.size >= ENTRIES:
                 yield from counter.flush()
