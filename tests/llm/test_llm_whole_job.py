@@ -22,6 +22,34 @@ def test_link_text_in_unmarked_pages():
     assert html.main_text('<div id="wrap"><p>Long text with <a href=x>linked words</a> in it.</p></div>') == "Long text with linked words in it."
 
 
+LONG = "This is a long contribution of a reader, with many words, that goes on and on, and on; it has much to say about nothing. " * 3
+ARTICLE = "<article><h1>Head</h1><p>A paragraph of the article, with words, and more words in it.</p><p>A second one, of the same kind, and it goes on for some time.</p>%s</article>"
+
+
+def thread(name, *items):
+    return f'<div class="{name}">' + "".join(f"<div class=x>{sign}<p>{LONG}</p></div>" for sign in items) + "</div>"
+
+
+def test_threads_of_readers_are_known_by_their_form():
+    for name in ("discussion", "feedback", "anything"):
+        signs = ("<b class=author>Ann</b>", "<b class=author>Bob</b>"), ("<time>1 May</time>", "<time>2 May</time>")
+        for pair in signs:
+            assert html.main_text(f"<body>{ARTICLE % ''}{thread(name, *pair)}</body>") == html.main_text(f"<body>{ARTICLE % ''}</body>")
+            assert LONG.strip() not in html.main_text(f"<body>{ARTICLE % thread(name, *pair)}</body>")
+            unmarked = f'<div id="wrap"><div class="story"><p>{"Words of the story, and more. " * 40}</p><p>{"More of the story, it says. " * 50}</p></div>{thread(name, *pair)}</div>'
+            assert "contribution" not in html.main_text(unmarked) and html.main_text(unmarked).count("\n") == 1
+    alone = f"<body>{thread('posts', '<time>1</time>', '<time>2</time>')}</body>"
+    assert html.main_text(alone).count(LONG.strip()) == 2  # a page that is a thread
+
+
+def test_what_stands_in_an_article_stays():
+    text = lambda more: html.main_text(f"<body>{ARTICLE % more}</body>").split("\n")[-1]
+    assert text('<p class="recommended">Kept, as it is a paragraph of the article.</p>') == "Kept, as it is a paragraph of the article."
+    assert text("<p>See <label>the label</label> here, then.</p>") == "See the label here, then."
+    assert text("<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds, as said.</p>") == "So x=1 holds, as said."
+    assert text('<form><label>Name</label></form><div class="notice">We use cookies.</div><p>The end of it, at last.</p>') == "The end of it, at last."
+
+
 def test_license_copies_in_other_text_are_found(spark):
     rng = np.random.default_rng(8)
     body = licenses.TEMPLATES["BSD-redistribution"].split()
