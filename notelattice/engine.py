@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Iterable
+from functools import reduce
 from pathlib import PurePosixPath
 from urllib.parse import quote
 
@@ -115,7 +116,8 @@ class Project:
             if moved is not None:
                 paths = paths.join(moved.select("id"), "id", "left_anti").select("file_path", "id").unionByName(moved.select("file_path", "id"))
         made = indexing.assign_ids(good, paths, tuple(after))
-        own = dict(zip(("changed/entity", "changed/observation", "changed/relation"), (made[0].withColumnRenamed("metadata", "entity_metadata").drop("text", "wikilinks", "error", "outcome"), *made[1:]), strict=True))
+        # without earlier rows, what changed is all there is
+        own = dict(zip(("changed/entity", "changed/observation", "changed/relation") if manifest else ("entity", "observation", "changed/relation"), (made[0].withColumnRenamed("metadata", "entity_metadata").drop("text", "wikilinks", "error", "outcome"), *made[1:]), strict=True))
         self.store.write(segment, own)
         entity, observation, relation = (read(n) for n in own)
         relation = relation.withColumn("to_id", F.lit(None).cast("long"))
@@ -134,7 +136,9 @@ class Project:
             observation = observation.unionByName(owner(self.store.table("observation", manifest["segments"]), "entity_id"))
             relation = relation.unionByName(owner(links, "from_id").withColumn("to_id", F.lit(None).cast("long")))
             ids = ids.unionByName(touched)
-        self.store.write(segment, {"entity": entity, "observation": observation, "relation": indexing.resolve_links(relation, state), "gone": ids if ids is not None else self.spark.createDataFrame([], "id long")})
+        if known is not None:
+            self.store.write(segment, {"entity": entity, "observation": observation})
+        self.store.write(segment, {"relation": indexing.resolve_links(relation, state), "gone": ids if ids is not None else self.spark.createDataFrame([], "id long")})
         self.store.write(segment, {"search_index": indexing.search_index(read("entity"), read("observation"), read("relation"), state)})
         top = [max(a, read(n).agg(F.max("id")).first()[0] or 0) for a, n in zip(after, own, strict=True)]
         made = self.store.append(manifest, segment, {"next": top} | more)
@@ -327,10 +331,14 @@ class Project:
         return out
 
     def _resolve(self, identifier: str) -> Row | None:
+        """The entity that an identifier names: its permalink, path, the end of its permalink, or its title."""
         entities = self.table("entity")
-        rows = graph.resolve_path(entities, identifier.removeprefix("memory://").strip("/")).collect()
-        rows = rows or entities.where(F.col("title") == identifier).orderBy(F.length("file_path"), "file_path").limit(1).collect()
-        return rows[0] if rows else None
+        asked = self.spark.createDataFrame([(identifier,)], "identifier string")
+        return entities.join(F.broadcast(graph.resolve_identifiers(asked, entities).where("id is not null").select("id")), "id", "left_semi").first()
+
+    def resolve(self, identifiers: DataFrame) -> DataFrame:
+        """identifiers (identifier, ...) with id and kind: any number of them in one join."""
+        return graph.resolve_identifiers(identifiers, self.table("entity"))
 
     # -- search
 
@@ -516,11 +524,24 @@ class Project:
         return own.unionByName(schema.drift(table.where("is_reference"), schema.frequencies(relations, notes, 3)))
 
 
-def search_all(projects: list[Project], query: str, page: int = 1, page_size: int = 10) -> list[dict]:
-    """One page over several projects: each gives page * page_size results, then scores descend (text hits worst first)."""
+def search_all(projects: list[Project], query: str, page: int = 1, page_size: int = 10, options: filters.Filters | None = None) -> paging.Page:
+    """One page over several projects: each gives page * page_size results in its own order, then scores descend (text hits
+    worst first), ties by project and place. A project in which nothing is found strictly is asked the relaxed query.
+
+    Every project keeps its own statistics; hits of all are one union, so the page is one job and the totals another."""
     page, page_size = paging.clamp(page, page_size)
-    rows = [(r.asDict() | {"project": p.name}) for p in projects for r in p.search(query, page_size=page * page_size).results]
-    return sorted(rows, key=lambda r: -r["score"])[(page - 1) * page_size : page * page_size]
+    options, strict, loose = options or filters.Filters(types=("entity",)), fulltext.prepare(query), fulltext.relaxed(query)
+    if not projects or strict is None:
+        return paging.Page([], 0, True, False, page, page_size)
+    hits = lambda expression: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [p._hits(expression, options).withColumns({"place": F.lit(k), "project": F.lit(p.name)}) for k, p in enumerate(projects)])
+    found = hits(strict)
+    if loose:
+        found = scratch.written(found, "hits")
+        found = found.unionByName(hits(loose).join(found.select("place").distinct(), "place", "left_anti"))
+    found = scratch.written(found, "hits")
+    rows = paging.merge_projects(found, "place", "score", [F.col("score"), F.col("type"), F.col("id")], page, page_size).drop("pos", "place").collect()
+    totals = paging.project_totals(found, "place", page, page_size).first()
+    return paging.Page(rows, totals.total, totals.total_is_exact, totals.has_more, page, page_size)
 
 
 def registry(spark: SparkSession, path: str) -> dict[str, dict]:

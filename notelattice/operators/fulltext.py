@@ -437,8 +437,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_postings(rows: DataFrame, path: str) -> None:
     """Postings in ranges of terms, so that a term is in few files; one that many rows have goes on in the next."""
-    order = ["term", "column", *KEY]
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
+    rows.repartitionByRange("term", "id").sortWithinPartitions("term", "column").write.parquet(path)
 
 
 def write_index(rows: DataFrame, folder: str) -> Index:
@@ -455,11 +454,8 @@ def write_index(rows: DataFrame, folder: str) -> Index:
     tokens.select(*OWNED, size.alias("d")).write.parquet(f"{folder}/sizes")
     spark.read.parquet(f"{folder}/sizes").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("d").alias("avg_d")).write.parquet(f"{folder}/stats")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tokens.select(*OWNED).schema)
-    tokens.select(*OWNED, *[f"t_{c}" for c in INDEXED]).mapInArrow(_gathered, f"term string, column string, {kinds}, positions array<int>").write.parquet(f"{folder}/gathered")
-    write_postings(spark.read.parquet(f"{folder}/gathered"), f"{folder}/postings")
-    files = Files(spark, folder)
-    files.delete("tokens")
-    files.delete("gathered")
+    write_postings(tokens.select(*OWNED, *[f"t_{c}" for c in INDEXED]).mapInArrow(_gathered, f"term string, column string, {kinds}, positions array<int>"), f"{folder}/postings")
+    Files(spark, folder).delete("tokens")
     return open_index(spark, folder)
 
 

@@ -69,11 +69,33 @@ def context_counts(found: DataFrame, observations: DataFrame) -> DataFrame:
     return kinds.join(totals, "root_id", "left").select("root_id", "n_entities", "n_relations", F.coalesce("n_observations", F.lit(0)).cast("long").alias("n_observations"))
 
 
-def resolve_path(entities: DataFrame, path: str) -> DataFrame:
-    """The entity of a path: by permalink, path, path with .md, then the first whose permalink ends with /path."""
-    p = F.lit(path)
-    rank = F.when(F.col("permalink") == p, 0).when(F.col("file_path") == p, 1).when(F.col("file_path") == F.concat(p, F.lit(".md")), 2).when(F.col("permalink").endswith("/" + path), 3)
-    return entities.withColumn("rank", rank).where("rank is not null").orderBy("rank", "file_path").limit(1).drop("rank")
+#: What an identifier may be, best first.
+KINDS = ("permalink", "path", "path without .md", "end of a permalink", "title")
+
+
+def identifier_keys(entities: DataFrame) -> DataFrame:
+    """key, rank (a place in KINDS) and id: for all that identifiers of entities (id, permalink, file_path, title) may say, the first entity by path.
+
+    Every permalink gives all its ends behind a slash, so an end is found by equality, not by a scan for each identifier. Of
+    equal titles the shortest path counts, then the first."""
+    parts = F.split("permalink", "/")
+    ends = F.when(F.col("permalink").contains("/"), F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))).otherwise(F.array().cast("array<string>"))
+    one = lambda c: F.array(c)
+    bare = F.when(F.col("file_path").endswith(".md"), F.array(F.regexp_replace("file_path", r"\.md$", ""))).otherwise(F.array().cast("array<string>"))
+    said = [one(F.col("permalink")), one(F.col("file_path")), bare, ends, one(F.col("title"))]
+    of = lambda r: lambda k: F.struct(k.alias("key"), F.lit(r).alias("rank"))
+    keys = F.flatten(F.array(*[F.transform(keys, of(r)) for r, keys in enumerate(said)]))
+    rows = entities.select("id", "file_path", F.explode(keys).alias("k")).select("k.key", "k.rank", "id", "file_path").where("key is not null and key <> ''")
+    first = F.struct(F.when(F.col("rank") == len(KINDS) - 1, F.length("file_path")).otherwise(0), F.col("file_path"), F.col("id"))
+    return rows.groupBy("key", "rank").agg(F.min_by("id", first).alias("id"))
+
+
+def resolve_identifiers(asked: DataFrame, entities: DataFrame, identifier: str = "identifier") -> DataFrame:
+    """asked with id and kind (null if there is none): what each identifier names, by the best kind that fits; one equi-join for all."""
+    name = F.trim(F.regexp_replace(F.regexp_replace(identifier, "^memory://", ""), "^/+|/+$", ""))
+    best = asked.select(identifier).distinct().withColumn("key", name).join(identifier_keys(entities), "key").groupBy(identifier).agg(F.min(F.struct("rank", "id")).alias("best"))
+    kind = F.when(F.col("best").isNotNull(), F.element_at(F.array(*map(F.lit, KINDS)), F.col("best.rank") + 1))
+    return asked.join(best, identifier, "left").select(*asked.columns, F.col("best.id").alias("id"), kind.alias("kind"))
 
 
 def normalize_url(url: str) -> str:

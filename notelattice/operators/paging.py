@@ -56,6 +56,15 @@ def merge_projects(rows: DataFrame, project: str, score: str, order: list[Column
     return window(own, [F.desc(score), F.col(project), F.col("pos")], page, size)
 
 
+def project_totals(rows: DataFrame, project: str, page: int, size: int) -> DataFrame:
+    """One row: n_projects with rows, total, total_is_exact, and has_more behind the merged page, by counts of each project."""
+    page, size = clamp(page, size)
+    own = rows.groupBy(project).agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(True).alias("exact"), (F.col("n") > page * size).alias("more"))
+    total = F.coalesce(F.sum("n"), F.lit(0))
+    more = F.coalesce(F.bool_or("more"), F.lit(False)) | (total > page * size)
+    return own.agg(F.count(F.lit(1)).alias("n_projects"), total.alias("total"), F.coalesce(F.bool_and("exact"), F.lit(True)).alias("total_is_exact"), more.alias("has_more"))
+
+
 def with_total(rows: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
     """The page's rows, each with the exact total; the total is one partial count joined as a single row."""
     total = rows.agg(F.count(F.lit(1)).alias("total"))

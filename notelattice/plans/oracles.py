@@ -218,6 +218,13 @@ lists AS (SELECT root, string_agg(depth || ':' || type || ':' || id || ':' || ti
 notes AS (SELECT l_orderkey + 100000000 AS id, count(*) AS n FROM lineitem GROUP BY 1)
 SELECT pos, r.id, r.title, coalesce(o.n, 0) AS n_observations, coalesce(l.n, 0) AS n_relations, coalesce(related, '') AS related
 FROM roots r LEFT JOIN lists l ON l.root = r.id LEFT JOIN notes o ON o.id = r.id""",
+    "resolve_identifiers": f"""
+WITH e AS (SELECT doc_id, lang, {PATH} AS path FROM documents),
+a AS (SELECT doc_id, unnest([0, 1, 2, 3, 4]) AS n, unnest(['Doc ' || doc_id, regexp_replace(path, '\\.md$', ''), 'memory://' || path, lang || '/doc-' || doc_id, 'no such ' || doc_id]) AS identifier FROM e)
+SELECT doc_id, CAST(n AS BIGINT) AS n, identifier, CASE WHEN n < 4 THEN doc_id END AS id, ['title', 'permalink', 'path', 'end of a permalink', NULL][n + 1] AS kind FROM a""",
+    "search_project_totals": f"""
+WITH f AS ({_fts({"a": _prefix("therea")}, "{a}", limit=None)}), p AS (SELECT lang, count(*) AS n FROM f JOIN documents d ON d.doc_id = f.id GROUP BY lang)
+SELECT count(*) AS n_projects, CAST(coalesce(sum(n), 0) AS BIGINT) AS total, true AS total_is_exact, coalesce(bool_or(n > 25), false) OR coalesce(sum(n), 0) > 25 AS has_more FROM p""",
     "schema_validate_all": """
 WITH roles AS (SELECT conv_id AS note, bool_or(role = 'user') AS u, bool_or(role = 'assistant') AS a, bool_or(role = 'system') AS s FROM conversations GROUP BY 1),
 held AS (SELECT *, CASE WHEN note % 5 = 0 THEN 'inline' WHEN note % 5 = 1 THEN 'chat0' WHEN note % 3 < 2 THEN 'chat' || note % 3 END AS schema FROM roles),

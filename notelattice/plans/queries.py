@@ -474,6 +474,23 @@ def edit_notes(spark, sf_dir):
     return docs.mapInArrow(run, "doc_id long, text string").select("doc_id", F.sha2("text", 256).alias("hash"))
 
 
+@query
+def resolve_identifiers(spark, sf_dir):
+    """Every document's title, permalink, path and an end of its permalink, resolved at once."""
+    e = corpus.entities(spark, sf_dir)
+    said = F.array("title", F.col("permalink"), F.concat(F.lit("memory://"), F.col("file_path")), F.concat_ws("/", F.element_at("tags", 1), F.element_at(F.split("permalink", "/"), -1)), F.concat(F.lit("no such "), F.col("id")))
+    asked = e.select(F.col("id").alias("doc_id"), F.posexplode(said).alias("n", "identifier"))
+    return graph.resolve_identifiers(asked, e).select("doc_id", F.col("n").cast("long").alias("n"), "identifier", "id", "kind")
+
+
+@query
+def search_project_totals(spark, sf_dir):
+    """Languages as projects: how many rows a search finds in all of them, and whether others follow the first page."""
+    found = corpus.text_index(spark, sf_dir).match(fulltext.prepare("therea"))
+    where = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang")
+    return paging.project_totals(found.join(where, "id"), "lang", 1, PAGE)
+
+
 @query
 def schema_validate_all(spark, sf_dir):
     """Conversations as notes of three types, each held against the schema that is its own, that it names, or that of its type."""

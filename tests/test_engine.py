@@ -26,7 +26,9 @@ def test_search(project):
     assert [r.title for r in project.search("people/*", kind="permalink").results] == [] and {r.permalink for r in project.search("demo/people/*", kind="permalink").results} == {"demo/people/ada", "demo/people/bob"}
     assert [r.title for r in project.search(options=filters.Filters(types=("entity",), status="open")).results] == ["Alpha"]
     assert project.search("what is the qqq parquet thing").total == 1
-    assert [r["title"] for r in engine.search_all([project], "parquet")] == ["Alpha"]
+    assert [r.title for r in engine.search_all([project], "parquet").results] == ["Alpha"]
+    two = engine.search_all([project, project], "what is the qqq parquet thing", page_size=1)
+    assert (len(two.results), two.total, two.has_more, two.total_is_exact) == (1, 2, True, True) and engine.search_all([project], "qqqq").total == 0
 
 
 def test_title_and_permalink_legs(project):
