@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources import scratch
 
 SEARCH_COLUMNS = "id title content_stems content_snippet permalink file_path type project_id from_id to_id relation_type entity_id category metadata created_at updated_at".split()
 
@@ -33,14 +34,18 @@ def assign_ids(notes: DataFrame, known: DataFrame | None = None, after: tuple[in
 
 
 def ranked(rows: DataFrame, order: list[str], name: str = "id", after: int = 0) -> DataFrame:
-    """rows with their rank in a total order, counted from after + 1."""
+    """rows with their rank in a total order, counted from after + 1.
+
+    Ranges are drawn from a sample, and another plan, with other columns, may draw others: so rows are dealt once and written
+    with their place, range in the high bits and row in the low ones, and both counts and ranks are read from there."""
     spark = rows.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    local = dealt.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
-    counts = dealt.groupBy("__p").agg(F.count(F.lit(1)).alias("n"))
+    dealt = scratch.written(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("__m", 33)
+    counts = dealt.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("__p", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))  # one row for each range
-    return local.join(F.broadcast(before), "__p").withColumn(name, (F.col("__b") + F.col("__r") + after).cast("long")).drop("__p", "__r", "__b")
+    rank = F.col("__b") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)) + 1 + after
+    return dealt.withColumn("__p", part).join(F.broadcast(before), "__p").withColumn(name, rank.cast("long")).drop("__p", "__m", "__b")
 
 
 def entity_rows(entities: DataFrame) -> DataFrame:

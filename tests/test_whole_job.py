@@ -1,6 +1,6 @@
 """Inputs on which an operator of the engine once did less than its whole job."""
 
-from notelattice.operators import vectors
+from notelattice.operators import indexing, vectors
 from notelattice.plans.queries import QUERIES
 
 
@@ -21,3 +21,8 @@ def test_batch_asks_all_items(spark, sf_dir):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("text <> ''").count()
     got = QUERIES["fts_query_batch"](spark, sf_dir)
     assert got.select("item_id").distinct().count() == items and got.count() > items
+
+
+def test_ranks_of_a_table_whose_ranges_are_sampled(spark):
+    rows = spark.range(0, 200_000, 1, 8).selectExpr("id as n", "lpad(cast((id * 7919) % 200000 as string), 6, '0') as key", "repeat('x', 20) as other")
+    assert indexing.ranked(rows, ["key"], after=5).where("id <> (n * 7919) % 200000 + 6").count() == 0
