@@ -294,7 +294,7 @@ class Project:
         """All notes below a folder under another one, in one pass over the index; what moved and what did not."""
         source, target = safe_path(folder), safe_path(target)
         known = self.table("entity").where(F.col("file_path").startswith(source + "/")).select("id", "file_path", "title", "note_type", "permalink")
-        return self._move((r.asDict(), target + r.file_path[len(source) :]) for r in known.toLocalIterator())
+        return self._move((r.asDict(), target + r.file_path[len(source) :]) for r in known.orderBy("file_path").toLocalIterator())
 
     def _move(self, moves: Iterable[tuple[dict, str]]) -> dict[str, list[str]]:
         out: dict[str, list[str]] = {"done": [], "failed": []}
