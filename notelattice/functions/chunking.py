@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import slices, text_sizes
+
 SIZE, OVERLAP = 900, 120
 _HEADING, _BULLET = re.compile(r"\s*#{1,6}\s"), re.compile(r"[-*] ")
 
@@ -104,10 +106,11 @@ def chunk_records(rows: DataFrame) -> DataFrame:
     source = rows.select("type", "id", source_text(F.col("title"), F.col("permalink"), F.coalesce("category", "relation_type"), F.col("content_snippet")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [(f"{t}:{i}:{k}", t, i, c, hashlib.sha256(c.encode()).hexdigest()) for t, i, text in zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True) for k, c in enumerate(split(text or ""))]
+        for part in slices(batches, text_sizes(2)):
+            out = [(f"{t}:{i}:{k}", t, i, c, hashlib.sha256(c.encode()).hexdigest()) for t, i, text in zip(*(part.column(j).to_pylist() for j in range(3)), strict=True) for k, c in enumerate(split(text or ""))]
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()], strict=True)], ["chunk_key", "type", "id", "chunk_text", "source_hash"])
+            del part, out, columns
 
     return source.mapInArrow(run, "chunk_key string, type string, id long, chunk_text string, source_hash string")
 
