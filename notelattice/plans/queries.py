@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chunking, edits, markdown
 from ..functions import text as T
+from ..functions.batches import slices, text_sizes
 from ..operators import directory, filters, fulltext, graph, indexing, paging, schema, segments, vectors
 from ..sources import scratch
 from ..streaming import watch
@@ -459,19 +460,20 @@ def parse_notes(spark, sf_dir):
     return notes.select("doc_id", "title", "note_type", F.array_join("tags", ",").alias("tags"), o["category"].alias("category"), o["content"].alias("content"), o["context"].alias("context"), r["relation_type"].alias("relation_type"), r["to_name"].alias("to_name"))
 
 
-@query
-def edit_notes(spark, sf_dir):
-    """An edit applied to every document as a note, in Arrow batches."""
+def _edited(batches):
     import pyarrow as pa
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    for part in slices(batches, text_sizes(1)):
+        out = [edits.edit(f"## Intro\n{t or ''}\n## End\n", "replace_section", "Replaced.", section="End") for t in part.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out)], ["doc_id", "text"])
+        del part, out
 
-    def run(batches):
-        for batch in batches:
-            out = [edits.edit(f"## Intro\n{t or ''}\n## End\n", "replace_section", "Replaced.", section="End") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["doc_id", "text"])
 
-    return docs.mapInArrow(run, "doc_id long, text string").select("doc_id", F.sha2("text", 256).alias("hash"))
+@query
+def edit_notes(spark, sf_dir):
+    """An edit applied to every document as a note, in slices of Arrow batches."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.mapInArrow(_edited, "doc_id long, text string").select("doc_id", F.sha2("text", 256).alias("hash"))
 
 
 @query
