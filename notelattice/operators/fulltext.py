@@ -6,8 +6,8 @@ holds within one of the first three; its leg is the first of them that does. For
 with f the occurrences in the leg's column, n the rows whose leg column has q, D the row's tokens over all four columns,
 and N and avgD over the whole table, whatever the filters. Lower is better.
 
-An index is written once: postings (term, column, row, positions) in ranges of terms, so that a query reads the files and row
-groups of its own terms only (pushed-down comparisons and prefixes), the size of each row, and one row of table-wide statistics. A phrase
+An index is written once: postings (term, column, row, positions) in runs sorted by term, so that a query reads the pages of
+its own terms only (pushed-down comparisons and prefixes), the size of each row, and one row of table-wide statistics. A phrase
 joins the positions of its words, shifted, by row and column; what a query costs follows from how often its terms occur, not
 from the size of the corpus. `match` does the same by one scan of token columns, for rows that have no index.
 """
@@ -27,10 +27,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.files import Files
+from ..functions.batches import list_sizes, slices
 
 INDEXED = ("title", "content_stems", "content_snippet", "permalink")
 LEGS = INDEXED[:3]
+RUN = 1 << 20  # tokens that are gathered at once
+PAGE_ROWS = 4096
 K1, B = 1.2, 0.75
 
 # Characters that make a term a phrase.
@@ -416,46 +418,54 @@ class Index:
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (type, id, owner, token arrays) as one row for each distinct term of a row's column, with its positions."""
-    for batch in batches:
+    """Rows (type, id, owner, token arrays) as one row for each distinct term of a row's column, with its positions: runs of RUN tokens, each sorted by term."""
+    for part in slices(batches, list_sizes(*range(len(OWNED), len(OWNED) + len(INDEXED))), RUN):
         for k, name in enumerate(INDEXED):
-            lists = batch.column(len(OWNED) + k)
-            flat, n = pc.list_flatten(lists), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            row = np.repeat(np.arange(len(n)), n)
-            position = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            terms = flat.dictionary_encode()
-            keys = row * max(1, len(terms.dictionary)) + terms.indices.to_numpy()
+            lists = part.column(len(OWNED) + k)
+            terms, n = pc.list_flatten(lists).dictionary_encode(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            if not n.sum():
+                continue
+            by_term = pc.sort_indices(terms.dictionary).to_numpy()
+            place = np.empty(len(by_term), np.int64)
+            place[by_term] = np.arange(len(by_term))
+            keys = place[terms.indices.to_numpy()] * len(n) + np.repeat(np.arange(len(n)), n)
             order = np.argsort(keys, kind="stable")
             keys = keys[order]
-            edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-            first = order[edges]
-            ends = np.append(edges, len(keys)).astype(np.int32)
-            positions = pa.ListArray.from_arrays(pa.array(ends), pa.array(position[order].astype(np.int32)))
-            of = [batch.column(c).take(pa.array(row[first])) for c in range(len(OWNED))]
-            yield pa.RecordBatch.from_arrays([terms.dictionary.take(pa.array(terms.indices.to_numpy()[first])).cast(pa.string()), pa.array([name] * len(first), pa.string()), *of, positions], ["term", "column", *OWNED, "positions"])
+            edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            position = (order - np.repeat(np.cumsum(n) - n, n)[order]).astype(np.int32)
+            positions = pa.ListArray.from_arrays(pa.array(np.append(edges, len(keys)).astype(np.int32)), pa.array(position))
+            term, row = np.divmod(keys[edges], len(n))
+            of = [part.column(c).take(pa.array(row)) for c in range(len(OWNED))]
+            yield pa.RecordBatch.from_arrays([terms.dictionary.take(pa.array(by_term[term])).cast(pa.string()), pa.repeat(name, len(edges)), *of, positions], ["term", "column", *OWNED, "positions"])
+        del part, lists, terms
+
+
+def _write_pages(postings: DataFrame, path: str) -> None:
+    """In pages of few rows, so that a query reads few rows of other terms."""
+    postings.write.option("parquet.page.row.count.limit", PAGE_ROWS).parquet(path)
 
 
 def write_postings(rows: DataFrame, path: str) -> None:
     """Postings in ranges of terms, so that a term is in few files; one that many rows have goes on in the next."""
-    rows.repartitionByRange("term", "id").sortWithinPartitions("term", "column").write.parquet(path)
+    _write_pages(rows.repartitionByRange("term", "id").sortWithinPartitions("term", "column"), path)
 
 
 def write_index(rows: DataFrame, folder: str) -> Index:
     """The index of search rows, written to a folder and opened.
 
-    Token arrays are made once and written. The positions of a term in a row's column are gathered where the row is, so that
-    postings, not tokens, are shuffled; they are written in ranges of terms and sorted, and a query skips the files and pages
-    of other terms. Rows know their owner, the entity that they belong to."""
+    Texts are split into tokens once. The positions of a term in a row's column are gathered where the row is and written
+    there, in runs sorted by term: nothing is shuffled or sorted by Spark, and a query skips the pages of other terms in each
+    run; merged segments have ranges of terms. Sizes are summed from the postings. Rows know their owner, the entity that
+    they belong to."""
     spark = rows.sparkSession
-    owner = F.col("entity_id" if "entity_id" in rows.columns else "id").cast("long").alias("owner")
-    tokenized(rows.select(*KEY, owner, *INDEXED)).drop(*INDEXED).write.parquet(f"{folder}/tokens")
-    tokens = spark.read.parquet(f"{folder}/tokens")
-    size = sum((F.size(f"t_{c}") for c in INDEXED), F.lit(0))
-    tokens.select(*OWNED, size.alias("d")).write.parquet(f"{folder}/sizes")
+    owned = rows.select(*KEY, F.col("entity_id" if "entity_id" in rows.columns else "id").cast("long").alias("owner"), *INDEXED)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in owned.select(*OWNED).schema)
+    tokens = tokenized(owned).select(*OWNED, *[f"t_{c}" for c in INDEXED])
+    _write_pages(tokens.mapInArrow(_gathered, f"term string, column string, {kinds}, positions array<int>"), f"{folder}/postings")
+    found = spark.read.parquet(f"{folder}/postings").select(*OWNED, F.size("positions").alias("d"))
+    found = owned.select(*OWNED, F.lit(0).alias("d")).unionByName(found)  # rows without a token too
+    found.groupBy(*OWNED).agg(F.sum("d").cast("int").alias("d")).write.parquet(f"{folder}/sizes")
     spark.read.parquet(f"{folder}/sizes").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("d").alias("avg_d")).write.parquet(f"{folder}/stats")
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tokens.select(*OWNED).schema)
-    write_postings(tokens.select(*OWNED, *[f"t_{c}" for c in INDEXED]).mapInArrow(_gathered, f"term string, column string, {kinds}, positions array<int>"), f"{folder}/postings")
-    Files(spark, folder).delete("tokens")
     return open_index(spark, folder)
 
 
