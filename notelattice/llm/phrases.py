@@ -2,9 +2,10 @@
 
 Words are lower-cased (A-Z), pieces end at `.,;:!?` and line breaks, and a phrase is a run of 1 to `longest` words within a
 piece, counted by language. Pass 1: every task adds words and pairs to a count-min sketch of small saturating counters; the
-sketches travel as compressed blocks, are added up block by block as they stream in, and the sum is broadcast: 2**MOST_BITS
-cells for each of DEPTH hashes at most, whatever the input. Longer runs go to a second sketch in the same way, only those
-whose pairs all reach the threshold in the first. A sketch never underestimates, so nothing frequent is lost. Pass 2:
+sketches travel as compressed blocks and are added up block by block as they stream in: 2**MOST_BITS cells for each of DEPTH
+hashes at most, whatever the input. Later passes only ask whether a cell reaches the threshold, so one bit for each cell of
+the sum is collected and broadcast. Longer runs go to a second sketch in the same way, only those whose pairs all reach the
+threshold in the first. A sketch never underestimates, so nothing frequent is lost. Pass 2:
 n-grams whose estimate, and that of both their shorter parts, reaches the threshold are counted exactly, first within a
 task and then by phrase. Parts of a frequent phrase are frequent themselves, so the exact table answers every later
 question: the frequencies of the two sides of a cut, and the longer phrases that subsume a shorter one.
@@ -23,10 +24,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow_text import BYTE_VALUE, LOWER, U64, Chunk, chunks, mix, release, span_hashes
@@ -39,6 +41,7 @@ BLOCK = 1 << 16  # cells that travel together
 FULL = 255  # a counter's greatest value
 ENTRIES = 1 << 20  # distinct phrases that a task counts before it hands them on
 SALTS = 32
+BATCH = "2m"  # bytes of an Arrow batch: the JVM and the Python worker of each task hold some of them beside their work
 
 _FOLD = LOWER.copy()
 _FOLD[list(b".,;:!?")] = 0x0A
@@ -93,6 +96,19 @@ def _runs(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[Runs]:
         langs = ["und" if x is None else x for x in batch.column(1).to_pylist()]
         for chunk in chunks(batch.column(0), 1 << 20):
             yield Runs(chunk, langs[chunk.start : chunk.stop], longest)
+        del batch  # before the next one is read
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of BATCH bytes for the queries that run meanwhile: by default a batch has 10,000 texts, whatever their sizes."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def _cells(hashes: np.ndarray, depth: int, bits: int) -> np.ndarray:
@@ -113,17 +129,28 @@ def estimate(sketch: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.minimum.reduce([sketch[d, _cells(hashes, d, bits)] for d in range(DEPTH)])
 
 
+def reaching(cells: np.ndarray, least: int) -> np.ndarray:
+    """A bit for each cell, set if it reaches the threshold: all that `reach` asks of a sketch, in an eighth of its size."""
+    return np.packbits(cells >= min(least, FULL), axis=-1, bitorder="little")
+
+
+def reach(marks: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Which hashes have an estimate that reaches the threshold of these marks, a row of `reaching` for each row of the sketch."""
+    cells = [_cells(hashes, d, bits) for d in range(DEPTH)]
+    return np.bitwise_and.reduce([marks[d, c >> 3] >> (c & 7).astype(np.uint8) for d, c in enumerate(cells)]) & 1 == 1
+
+
 def bits_for(n_bytes: int) -> int:
     """A cell for each 24 bytes of text: some 8 words and pairs a cell."""
     return int(min(MOST_BITS, max(LEAST_BITS, int(n_bytes // 24).bit_length())))
 
 
-def survivors(runs: Runs, sketches: list[np.ndarray], bits: int, least: int) -> list[np.ndarray]:
-    """By length: which runs may occur `least` times by the sketches (of lengths up to PAIRS, of longer ones) and by their parts."""
+def survivors(runs: Runs, marks: list[np.ndarray], bits: int) -> list[np.ndarray]:
+    """By length: which runs may reach the threshold by the sketches' marks (of lengths up to PAIRS, of longer ones) and by their parts."""
     keep, shorter = [], None
     for k, (at, hashes) in enumerate(zip(runs.at, runs.hashes, strict=True)):
         which = 0 if k < PAIRS else 1
-        good = estimate(sketches[which], hashes, bits) >= min(least, FULL) if which < len(sketches) else np.ones(len(at), bool)
+        good = reach(marks[which], hashes, bits) if which < len(marks) else np.ones(len(at), bool)
         if shorter is not None:  # both parts of one word less, which lie within the same piece
             good &= shorter[at] & shorter[at + 1]
         keep.append(good)
@@ -132,8 +159,8 @@ def survivors(runs: Runs, sketches: list[np.ndarray], bits: int, least: int) ->
     return keep
 
 
-def sketch_of(texts: DataFrame, longest: int, bits: int, least: int, first=None) -> np.ndarray:
-    """The sum of all tasks' sketches of texts (text, lang): of words and pairs, or, given the broadcast sketch of these, of longer runs."""
+def marks_of(texts: DataFrame, longest: int, bits: int, least: int, first=None) -> np.ndarray:
+    """The marks of the sum of all tasks' sketches of texts (text, lang): of words and pairs, or, given the broadcast marks of these, of longer runs."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, codec = None, pa.Codec("zstd", 1)
@@ -144,7 +171,7 @@ def sketch_of(texts: DataFrame, longest: int, bits: int, least: int, first=None)
                 for hashes in runs.hashes:
                     add(sketch, hashes, bits)
             else:
-                for good, hashes in zip(survivors(runs, [first.value], bits, least)[PAIRS:], runs.hashes[PAIRS:], strict=True):
+                for good, hashes in zip(survivors(runs, [first.value], bits)[PAIRS:], runs.hashes[PAIRS:], strict=True):
                     add(sketch, hashes[good], bits)
         if sketch is not None:
             flat = sketch.reshape(-1, BLOCK)
@@ -161,15 +188,15 @@ def sketch_of(texts: DataFrame, longest: int, bits: int, least: int, first=None)
                 before = sums.get(block)
                 sums[block] = got.copy() if before is None else np.minimum(before.astype(np.uint16) + got, FULL).astype(np.uint8)
         for block, total in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([codec.compress(total.tobytes(), asbytes=True)], pa.binary())], ["block", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([reaching(total, least).tobytes()], pa.binary())], ["block", "marks"])
         release()
 
     kind, blocks = "block int, cells binary", DEPTH * (1 << bits) // BLOCK
-    merged = texts.mapInArrow(build, kind).repartition(min(blocks, 256), "block").mapInArrow(merge, kind)
-    out, codec = np.zeros((blocks, BLOCK), np.uint8), pa.Codec("zstd", 1)
-    for row in merged.toLocalIterator():
-        out[row.block] = np.frombuffer(codec.decompress(bytes(row.cells), BLOCK), np.uint8)
-    return out.reshape(DEPTH, 1 << bits)
+    merged = texts.mapInArrow(build, kind).repartition(min(blocks, 256), "block").mapInArrow(merge, "block int, marks binary")
+    out = np.zeros((blocks, BLOCK // 8), np.uint8)
+    for row in merged.collect():  # DEPTH * 2**MOST_BITS bits at most: 8 MB
+        out[row.block] = np.frombuffer(row.marks, np.uint8)
+    return out.reshape(DEPTH, (1 << bits) // 8)
 
 
 class Counter:
@@ -231,13 +258,13 @@ def frequencies(docs: DataFrame, least: int, longest: int, bits: int | None = No
     if bits is None:
         bits = bits_for(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     texts = texts.coalesce(2 * context.defaultParallelism)
-    first = context.broadcast(sketch_of(texts, longest, bits, least))
-    shared = [first, *([context.broadcast(sketch_of(texts, longest, bits, least, first))] if longest > PAIRS else [])]
+    first = context.broadcast(marks_of(texts, longest, bits, least))
+    shared = [first, *([context.broadcast(marks_of(texts, longest, bits, least, first))] if longest > PAIRS else [])]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketches, counter = [x.value for x in shared], Counter()
+        marks, counter = [x.value for x in shared], Counter()
         for runs in _runs(batches, longest):
-            keep = survivors(runs, sketches, bits, least)
+            keep = survivors(runs, marks, bits)
             counter.take(runs, keep)
             if counter.size >= ENTRIES:
                 yield from counter.flush()
@@ -254,7 +281,8 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = 4, percent: in
 
     A phrase with a = f >= least scores floor(2000000 * a / (l + r)) at its worst cut, of equal ones the first. Left out are
     those inside a longer one with percent % or more of their occurrences."""
-    counts = materialize(frequencies(docs, least, longest, bits), "phrases")
+    with small_batches(docs.sparkSession):
+        counts = materialize(frequencies(docs, least, longest, bits), "phrases")
     phrases = counts.where("length > 0").select("lang", "length", "phrase", "f")
     sizes = counts.where("length = 0").select("lang", F.col("f").alias("n"))
     words = F.split("phrase", " ")

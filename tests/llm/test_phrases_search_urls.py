@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from notelattice.llm import phrases, queries, search, urls
@@ -78,6 +79,25 @@ def test_sketches_never_underestimate_and_phrases_flow_over(spark, ):
     assert {tuple(r) for r in phrases.collocations(docs).select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()} == want
 
 
+def test_marks_say_what_a_sketch_would_in_an_eighth_of_its_size(spark):
+    """Whole sketches were once broadcast: 64 MB for each in every worker and executor. Batches had 10,000 texts of any size."""
+    rng = np.random.default_rng(6)
+    hashes = rng.integers(0, 1 << 63, 9000, dtype=np.uint64)[rng.zipf(1.2, 100_000) % 9000]
+    sketch = np.zeros((phrases.DEPTH, 1 << 12), np.uint8)
+    phrases.add(sketch, hashes, 12)
+    for least in (1, 7, 30, 255, 1000):
+        marks = phrases.reaching(sketch, least)
+        assert marks.nbytes * 8 == sketch.nbytes
+        assert (phrases.reach(marks, hashes, 12) == (phrases.estimate(sketch, hashes, 12) >= min(least, phrases.FULL))).all()
+    texts = spark.createDataFrame([("a b c " * 40_000, "en")] * 40, "text string, lang string").coalesce(1)
+    marks = phrases.marks_of(texts, 3, 16, 30)
+    assert marks.shape == (phrases.DEPTH, 1 << 13) and 0 < np.unpackbits(marks).sum() <= phrases.DEPTH * 6
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    with phrases.small_batches(spark):
+        sizes = texts.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long").collect()
+    assert max(r.n for r in sizes) < 3 << 20 and len(sizes) > 1 and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
 # -- 12
 
 
